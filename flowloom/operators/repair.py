@@ -83,11 +83,13 @@ def shift_check(flows: DataFrame) -> DataFrame:
     )
 
 
-def unshift(flows: DataFrame) -> DataFrame:
-    """Undo the shift: the real first field sits in the extra column ``index``."""
-    moved = ["index", *flows.columns[:-1]] if flows.columns[-1] != "index" else None
-    source = ["index"] + [c for c in flows.columns if c != "index"] if moved is None else moved
-    return flows.select([F.col(s).alias(n) for s, n in zip(source, FLOW_COLUMNS)])
+def rename_by_position(table: DataFrame) -> DataFrame:
+    """Undo a shift: the first 40 columns are the flow columns, whatever their names.
+
+    A shifted table has the true first field in a leading index column.
+    """
+    pairs = zip(table.columns, FLOW_COLUMNS, strict=False)
+    return table.select([F.col(f"`{found}`").alias(name) for found, name in pairs])
 
 
 # Names of the older export and what they are called now.
