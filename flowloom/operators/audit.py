@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions.columns import endpoint, or_zero_double, ratio_or_zero, seconds_floor
+from flowloom.functions.columns import or_zero_double, ratio_or_zero, seconds_floor
 from flowloom.operators.flow_features import query_response_ratio
 from flowloom.operators.packets import on_dns_port, valid_packets, with_flow_key
 
@@ -25,33 +25,69 @@ _JOIN = ["capture_id", "ep_lo", "ep_hi", "protocol", "bucket"]
 
 
 def _flow_side(flows: DataFrame, flow_id: str) -> DataFrame:
-    keyed = with_flow_key(flows)
     buckets = F.sequence(
         F.floor(F.col("start_ms") / F.lit(BUCKET_MS)), F.floor(F.col("end_ms") / F.lit(BUCKET_MS))
     )
-    return keyed.select(
+    return with_flow_key(flows).select(
         F.col(flow_id).alias("flow_id"),
         *_JOIN[:-1],
         "start_ms",
         "end_ms",
-        endpoint("src_ip", "src_port").alias("flow_src"),
-        endpoint("dst_ip", "dst_port").alias("flow_dst"),
+        F.col("rev").alias("flow_rev"),
         F.explode(buckets).alias("bucket"),
     )
 
 
+# Sums kept per direction of the key ("a": from ep_lo, "b": from ep_hi).
+_DIRECTED = [
+    "packets",
+    "bytes",
+    "queries",
+    "responses",
+    "query_bytes",
+    "response_bytes",
+    "answers",
+]
+
+
 def _packet_side(packets: DataFrame) -> DataFrame:
+    """Packets collapsed per key and millisecond, before anything is shuffled."""
     has_dns = on_dns_port() & F.col("dns").isNotNull()
-    return with_flow_key(valid_packets(packets)).select(
+    rows = with_flow_key(valid_packets(packets)).select(
         *_JOIN[:-1],
-        F.floor(F.col("ts_ms") / F.lit(BUCKET_MS)).alias("bucket"),
         "ts_ms",
+        "rev",
         F.col("len").cast("bigint").alias("len"),
-        endpoint("src_ip", "src_port").alias("src"),
-        endpoint("dst_ip", "dst_port").alias("dst"),
         F.when(has_dns, F.col("dns.qr")).alias("qr"),
         F.when(has_dns, F.col("dns.ancount")).alias("ancount"),
     )
+    sums = []
+    for side, here in (("a", ~F.col("rev")), ("b", F.col("rev"))):
+
+        def total(cond: Column, value: str) -> Column:
+            return F.coalesce(F.sum(F.when(cond, F.col(value))), F.lit(0))
+
+        query, response = here & ~F.col("qr"), here & F.col("qr")
+        measures = [
+            F.count_if(here),
+            total(here, "len"),
+            F.count_if(query),
+            F.count_if(response),
+            total(query, "len"),
+            total(response, "len"),
+            total(response, "ancount"),
+        ]
+        sums += [m.alias(f"{name}_{side}") for name, m in zip(_DIRECTED, measures)]
+    return (
+        rows.groupBy(*_JOIN[:-1], "ts_ms")
+        .agg(
+            F.sum(F.col("len") * F.col("len")).alias("bytes_sq"),
+            F.min("len").alias("len_min"),
+            F.max("len").alias("len_max"),
+            *sums,
+        )
+        .withColumn("bucket", F.floor(F.col("ts_ms") / F.lit(BUCKET_MS)))
+    )
 
 
 def flow_truth(flows: DataFrame, packets: DataFrame, flow_id: str) -> DataFrame:
@@ -64,31 +100,36 @@ def flow_truth(flows: DataFrame, packets: DataFrame, flow_id: str) -> DataFrame:
         .join(_flow_side(flows, flow_id), _JOIN)
         .filter(F.col("ts_ms").between(F.col("start_ms"), F.col("end_ms")))
     )
-    # A flow from an endpoint to itself has one direction only.
-    forward = (F.col("src") == F.col("flow_src")) & (F.col("dst") == F.col("flow_dst"))
-    matched = matched.withColumn("fwd", forward)
-    fwd, query, response = F.col("fwd"), ~F.col("qr"), F.col("qr")
-
-    def bytes_if(cond: Column) -> Column:
-        return F.coalesce(F.sum(F.when(cond, F.col("len"))), F.lit(0))
-
-    per_ms = matched.groupBy("flow_id", "bucket", "ts_ms").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(fwd).alias("fwd_packets"),
-        bytes_if(fwd).alias("fwd_bytes"),
-        F.sum("len").alias("bytes"),
-        F.sum(F.col("len") * F.col("len")).alias("bytes_sq"),
-        F.min("len").alias("len_min"),
-        F.max("len").alias("len_max"),
-        F.count_if(query).alias("queries"),
-        F.count_if(response).alias("responses"),
-        bytes_if(query).alias("query_bytes"),
-        bytes_if(response).alias("response_bytes"),
-        F.count_if(query & fwd).alias("fwd_queries"),
-        F.count_if(response & ~fwd).alias("bwd_responses"),
-        bytes_if(query & fwd).alias("fwd_query_bytes"),
-        bytes_if(response & ~fwd).alias("bwd_response_bytes"),
-        F.coalesce(F.sum(F.when(response & ~fwd, F.col("ancount"))), F.lit(0)).alias("bwd_answers"),
+
+    def forward(name: str) -> Column:
+        return F.when(F.col("flow_rev"), F.col(f"{name}_b")).otherwise(F.col(f"{name}_a"))
+
+    def backward(name: str) -> Column:
+        return F.when(F.col("flow_rev"), F.col(f"{name}_a")).otherwise(F.col(f"{name}_b"))
+
+    def both(name: str) -> Column:
+        return F.col(f"{name}_a") + F.col(f"{name}_b")
+
+    per_ms = matched.select(
+        "flow_id",
+        "bucket",
+        "ts_ms",
+        "bytes_sq",
+        "len_min",
+        "len_max",
+        both("packets").alias("n"),
+        forward("packets").alias("fwd_packets"),
+        forward("bytes").alias("fwd_bytes"),
+        both("bytes").alias("bytes"),
+        both("queries").alias("queries"),
+        both("responses").alias("responses"),
+        both("query_bytes").alias("query_bytes"),
+        both("response_bytes").alias("response_bytes"),
+        forward("queries").alias("fwd_queries"),
+        backward("responses").alias("bwd_responses"),
+        forward("query_bytes").alias("fwd_query_bytes"),
+        backward("response_bytes").alias("bwd_response_bytes"),
+        backward("answers").alias("bwd_answers"),
     )
     # Gaps between the distinct milliseconds of one bucket (at most BUCKET_MS rows).
     step = F.lag("ts_ms").over(Window.partitionBy("flow_id", "bucket").orderBy("ts_ms"))
