@@ -24,7 +24,7 @@ from flowloom.operators.sessions import (
     HotKeyPolicy,
     flow_parts,
 )
-from flowloom.schemas import FLOW_COLUMNS, FLOW_FIELDS
+from flowloom.schemas import FLOW_FIELDS
 
 # Factor reported for responses without any query, and the usual
 # initial IP TTLs.
@@ -56,6 +56,7 @@ def volume_group() -> list[Column]:
     return [
         F.max(F.when(F.col("is_new"), F.col("ts_ms"))).alias("start_ms"),
         F.max("ts_ms").alias("end_ms"),
+        F.max(F.when(F.col("is_new"), F.col("seq"))).alias("first_seq"),
         F.count_if(_fwd()).alias("total_fwd_packets"),
         F.count_if(_bwd()).alias("total_bwd_packets"),
         _sum_if(_fwd(), "len").alias("fwd_bytes"),
@@ -291,6 +292,3 @@ def with_server_fanout(flows: DataFrame) -> DataFrame:
     joined = flows.join(fanout, "src_ip", "left")
     value = or_zero(F.col("server_fanout")).cast("bigint")
     return joined.withColumn("dns_server_fanout", value).select(*flows.columns)
-
-
-assert set(FLOW_COLUMNS) == {n for n, _ in FLOW_FIELDS}

@@ -41,6 +41,8 @@ _BATCH_ROWS = 4096
 # run must also be longer than one frame, so that a capture file carried inside
 # a frame cannot be mistaken for the outer file.
 _MIN_CHAIN = 16
+# Records of one file lie within this distance of its first record.
+_NEAR_SECONDS = 5 * 366 * 86_400
 
 
 class ByteRange(InputPartition):
@@ -67,16 +69,27 @@ def _list(path: str) -> list[tuple[str, int]]:
     return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File)
 
 
-def _plausible(buf: bytes, at: int, order: str, fractions: int, limit: int):
-    """Length of the record at ``at``, or None if it cannot be a record."""
-    _, fraction, captured, original = struct.unpack_from(order + "4I", buf, at)
-    if fraction >= fractions or not 0 < captured <= limit or captured > original:
+def _plausible(buf: bytes, at: int, order: str, fractions: int, limit: int, near: int):
+    """Length of the record at ``at``, or None if it does not look like a record."""
+    sec, fraction, captured, original = struct.unpack_from(order + "4I", buf, at)
+    if abs(sec - near) > _NEAR_SECONDS or fraction >= fractions:
+        return None
+    if not 0 < captured <= limit or captured > original:
         return None
     return RECORD_HEADER + captured
 
 
-def find_boundary(read, start: int, size: int, order: str, fractions: int, limit: int) -> int:
-    """Offset of the first record at or after ``start`` (``size`` if there is none)."""
+def find_boundary(
+    read, start: int, size: int, order: str, fractions: int, limit: int, near: int
+) -> int:
+    """Offset at or after ``start`` where a run of records begins (``size`` if none).
+
+    The test is strict: it may pass over odd records, but does not take payload
+    for a record. The reader of the range before goes on up to the same offset,
+    so what is passed over here is read there.
+    """
+    if start >= size:
+        return size
     span = 3 * (limit + RECORD_HEADER) + _MIN_CHAIN * RECORD_HEADER
     buf = read(start, min(span, size - start))
     for candidate in range(min(limit + RECORD_HEADER, len(buf)) + 1):
@@ -89,7 +102,7 @@ def find_boundary(read, start: int, size: int, order: str, fractions: int, limit
                 if records >= _MIN_CHAIN or (records and start + len(buf) == size):
                     return start + candidate
                 break
-            length = _plausible(buf, at, order, fractions, limit)
+            length = _plausible(buf, at, order, fractions, limit, near)
             if length is None:
                 break
             at, records = at + length, records + 1
@@ -135,11 +148,13 @@ class CaptureReader(DataSourceReader):
             source.seek(at)
             return source.read(n)
 
-        at = part.start
-        if at > FILE_HEADER:
-            at = find_boundary(read, at, part.size, order, fractions, limit)
+        first = read(FILE_HEADER, 4)
+        near = struct.unpack(order + "I", first)[0] if len(first) == 4 else 0
+        rules = (part.size, order, fractions, limit, near)
+        at = part.start if part.start == FILE_HEADER else find_boundary(read, part.start, *rules)
+        stop = find_boundary(read, part.end, *rules)
         buf, base, rows = b"", at, []
-        while at < part.end:
+        while at < stop:
             if at - base + RECORD_HEADER > len(buf):
                 buf, base = read(at, _READ_BYTES), at
             if len(buf) < RECORD_HEADER:

@@ -165,7 +165,10 @@ def decode_frames(frames: DataFrame) -> DataFrame:
         protocol.alias("protocol"),
         F.length(data).alias("len"),
         by_ip(_number(data, l3 + 8, 1), _number(data, l3 + 7, 1)).alias("ip_ttl"),
-        F.when(protocol == "UDP", F.substr(data, at + 9)).alias("_payload"),
+        # The UDP length leaves out link-layer padding behind the payload.
+        F.when(
+            protocol == "UDP", F.substr(data, at + 9, F.greatest(_number(data, at + 4, 2) - 8, zero))
+        ).alias("_payload"),
         F.when((F.col("status") == "ok") & protocol.isNull(), "other")
         .otherwise(F.col("status"))
         .alias("status"),
