@@ -117,9 +117,9 @@ def fit(
 
     ``validation`` names a boolean column of rows that stop boosting early.
     """
-    model = classifier(kind, label, **overrides)
     if validation is not None and kind != "forest":
-        model = model.setValidationIndicatorCol(validation).setValidationTol(EARLY_STOP_TOLERANCE)
+        overrides |= {"validationIndicatorCol": validation, "validationTol": EARLY_STOP_TOLERANCE}
+    model = classifier(kind, label, **overrides)
     keep = [label] + ([validation] if validation else [])
     stages = feature_stages(features, scaling=scaling) + [model]
     return Pipeline(stages=stages).fit(prepare_features(train, features, keep))
