@@ -649,7 +649,9 @@ def precision_recall_area(spark, sf_dir):
 @check(
     "e08_test_sets",
     f"""{WITH_FLOWS}, n as (select *, capture_id || '-' || protocol as test_name from fx),
-    c as (select test_name, {_CM}, count(*) as row_total from n group by test_name), {_METRICS},
+    c as (select test_name, {_CM}, count(*) as row_total from n group by test_name),
+    d as (select *, case when tp + fp > 0 then tp / cast(tp + fp as double) else 0 end as pr,
+      case when tp + fn > 0 then tp / cast(tp + fn as double) else 0 end as rc from c),
     st as (select test_name, score, sum(y) as pos, sum(1 - y) as neg from n group by 1, 2),
     cu as (select *, sum(pos) over (partition by test_name order by score desc) as tps,
       sum(neg) over (partition by test_name order by score desc) as fps from st),
@@ -658,11 +660,11 @@ def precision_recall_area(spark, sf_dir):
     ar as (select test_name, sum(neg * (2 * tps - pos)) / (2.0 * sum(pos) * sum(neg)) as roc,
       sum(pos * (tps / cast(tps + fps as double) + pr0)) / (2.0 * sum(pos)) as area from l group by 1)
     select test_name, tn, fp, fn, tp, round((tp + tn) / cast(row_total as double), 4) as accuracy,
-     round(coalesce(pr, 0), 4) as precision, round(coalesce(rc, 0), 4) as recall,
-     round(coalesce(2 * pr * rc / (pr + rc), 0), 4) as f1,
-     round(coalesce(tn / cast(tn + fp as double), 0), 4) as specificity,
-     round(coalesce(fp / cast(tn + fp as double), 0), 4) as false_positive_rate,
-     round(coalesce(fn / cast(fn + tp as double), 0), 4) as false_negative_rate, row_total,
+     round(pr, 4) as precision, round(rc, 4) as recall,
+     round(case when pr + rc > 0 then 2 * pr * rc / (pr + rc) else 0 end, 4) as f1,
+     round(tn / cast(tn + fp as double), 4) as specificity,
+     round(fp / cast(tn + fp as double), 4) as false_positive_rate,
+     round(case when fn + tp > 0 then fn / cast(fn + tp as double) else 0 end, 4) as false_negative_rate, row_total,
      round(roc, 4) as roc_auc, round(area, 4) as pr_auc from d join ar using (test_name)""",
 )
 def test_sets(spark, sf_dir):

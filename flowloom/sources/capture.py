@@ -40,7 +40,7 @@ _BATCH_ROWS = 4096
 # Record headers that must follow each other before a boundary is believed. The
 # run must also be longer than one frame, so that a capture file carried inside
 # a frame cannot be mistaken for the outer file.
-_MIN_CHAIN = 16
+_MIN_CHAIN = 3
 # Records of one file lie within this distance of its first record.
 _NEAR_SECONDS = 5 * 366 * 86_400
 
@@ -79,35 +79,39 @@ def _plausible(buf: bytes, at: int, order: str, fractions: int, limit: int, near
     return RECORD_HEADER + captured
 
 
+def _end_of_chain(buf: bytes, at: int, order: str, fractions: int, limit: int, near: int):
+    """Where a run of records from ``at`` is longer than one frame; None if it is not."""
+    begin, records = at, 0
+    while at + RECORD_HEADER <= len(buf):
+        length = _plausible(buf, at, order, fractions, limit, near)
+        if length is None:
+            return None
+        at, records = at + length, records + 1
+        if records >= _MIN_CHAIN and at - begin > limit + RECORD_HEADER:
+            return at
+    return None
+
+
 def find_boundary(
     read, start: int, size: int, order: str, fractions: int, limit: int, near: int
 ) -> int:
-    """Offset at or after ``start`` where a run of records begins (``size`` if none).
-
-    The test is strict: it may pass over odd records, but does not take payload
-    for a record. The reader of the range before goes on up to the same offset,
-    so what is passed over here is read there.
+    """A record boundary shortly after ``start`` (``size`` if there is none).
+
+    The first run of record headers may begin inside a frame that carries a
+    capture file itself. Followed for more than one frame it has left that frame
+    and is on the records of the file, so the end of the run is the boundary.
+    It depends on the bytes only, and the reader of the range before goes on up
+    to the same offset, so what lies between is read there: nothing is lost and
+    nothing is read twice.
     """
-    if start >= size:
-        return size
-    span = 3 * (limit + RECORD_HEADER) + _MIN_CHAIN * RECORD_HEADER
-    buf = read(start, min(span, size - start))
-    for candidate in range(min(limit + RECORD_HEADER, len(buf)) + 1):
-        at, records = candidate, 0
-        while True:
-            if start + at == size:
-                return start + candidate if records else size
-            if at + RECORD_HEADER > len(buf):
-                # Ran out of look-ahead: long enough, or the file is cut off here.
-                if records >= _MIN_CHAIN or (records and start + len(buf) == size):
-                    return start + candidate
-                break
-            length = _plausible(buf, at, order, fractions, limit, near)
-            if length is None:
-                break
-            at, records = at + length, records + 1
-            if records >= _MIN_CHAIN and at - candidate > limit + RECORD_HEADER:
-                return start + candidate
+    step = limit + RECORD_HEADER
+    while start < size:
+        buf = read(start, min(5 * step, size - start))
+        for candidate in range(min(step, len(buf))):
+            end = _end_of_chain(buf, candidate, order, fractions, limit, near)
+            if end is not None:
+                return start + end
+        start += step
     return size
 
 
@@ -141,7 +145,8 @@ class CaptureReader(DataSourceReader):
 
     def _frames(self, source, part: ByteRange, head: bytes, order: str, fractions: int):
         snap, link = struct.unpack_from(order + "2I", head, 16)
-        limit = max(snap, MAX_FRAME) if snap < (1 << 24) else MAX_FRAME
+        # Frames keep to the snapshot length; longer ones are read all the same.
+        limit = snap if 0 < snap < MAX_FRAME else MAX_FRAME
         per_ms = fractions // 1000
 
         def read(at: int, n: int) -> bytes:
@@ -162,7 +167,7 @@ class CaptureReader(DataSourceReader):
                 break
             sec, fraction, captured, original = struct.unpack_from(order + "4I", buf, at - base)
             end = at - base + RECORD_HEADER + captured
-            if captured > limit:
+            if captured > MAX_FRAME:
                 rows.append((at, None, None, None, None, "malformed"))
                 break
             if end > len(buf):

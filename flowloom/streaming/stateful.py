@@ -184,7 +184,7 @@ class FlowProcessor(StatefulProcessor):
         rows = pd.concat(list(rows), ignore_index=True).sort_values("seq", ignore_index=True)
         state = self._load()
         batch = _Batch(rows, state, self.timeout_ms)
-        flows = batch.flows(state, self._response_times(batch))
+        flows = batch.flows(state, self._response_times(batch, state is not None))
         if state is not None and batch.flow[0] > 0:
             flows.insert(0, state)
         *closed, last = flows
@@ -194,7 +194,9 @@ class FlowProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self._load()
-        if state is not None:
+        # Timers of earlier packets fire as well; only the last one closes the flow.
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        if state is not None and due >= state["end_ms"] + self.timeout_ms + 1:
             self.flow.clear()
             self.pending.clear()
             yield self._emit(key, [state])
@@ -203,15 +205,14 @@ class FlowProcessor(StatefulProcessor):
         pass
 
     def _load(self) -> dict | None:
-        return dict(zip(_STATE, self.flow.get())) if self.flow.exists() else None
+        held = self.flow.get()
+        return None if held is None else dict(zip(_STATE, held))
 
     def _store(self, state: dict) -> None:
         self.flow.update(tuple(state[n] for n in _STATE))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         self.handle.registerTimer(state["end_ms"] + self.timeout_ms + 1)
 
-    def _response_times(self, batch: _Batch) -> np.ndarray:
+    def _response_times(self, batch: _Batch, continued: bool) -> np.ndarray:
         """Time since the open query with the same id, and the open queries for later."""
         pair = np.full(len(batch.ts), np.nan)
         at = np.flatnonzero(batch.dns_id >= 0)
@@ -227,7 +228,7 @@ class FlowProcessor(StatefulProcessor):
                 mark = (int(batch.dns_id[i]),)
                 if self.pending.containsKey(mark):
                     pair[i] = batch.ts[i] - self.pending.getValue(mark)[0]
-        if batch.flow[-1] > 0:
+        if continued and batch.flow[-1] > 0:
             self.pending.clear()
         if len(at):
             ends = np.append(~follows[1:], True) & (flow == batch.flow[-1])
@@ -235,7 +236,7 @@ class FlowProcessor(StatefulProcessor):
                 mark = (int(batch.dns_id[i]),)
                 if not batch.response[i]:
                     self.pending.updateValue(mark, (int(batch.ts[i]),))
-                elif self.pending.containsKey(mark):
+                elif batch.flow[-1] == 0 and self.pending.containsKey(mark):
                     self.pending.removeKey(mark)
         return pair
 
