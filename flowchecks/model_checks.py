@@ -752,7 +752,8 @@ _T2_COLUMNS = [
     "dns_total_responses",
     "flow_iat_mean",
 ]
-_CLOSED = f"end_ms + 120001 <= (select max(ts_ms) from vp) - {_DELAY_MS}"
+_WATERMARK = f"(select max(ts_ms) from vp) - {_DELAY_MS}"
+_CLOSED = f"end_ms + 120000 <= {_WATERMARK}"
 
 
 @check("t02_session_windows", f"{_T2} where {_CLOSED}")
@@ -767,7 +768,7 @@ def session_windows_on_table(spark, sf_dir):
 
 _T3 = f"""{WITH_FLOWS}, z as (select *, max(flow_no) over (partition by capture_id, lo, hi, protocol) as last_no from fl)
  select capture_id, start_ms, {sql_columns([c for c, _ in FLOW_FIELDS])} from z
- where flow_no < last_no or {_CLOSED}"""
+ where flow_no < last_no or end_ms + 120001 <= {_WATERMARK}"""
 
 
 @check("t03_arrival_order_stream", _T3)

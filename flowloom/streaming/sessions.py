@@ -49,11 +49,11 @@ def session_flows(
 ) -> DataFrame:
     """Closed flows of a stream (or all flows of a table).
 
-    A gap of exactly the timeout stays in the session, hence the extra
-    millisecond. Without late packets ``flow_iat_mean`` equals the mean gap.
+    Session windows that touch are one session, so a gap of exactly the timeout
+    stays in the flow, as in the batch rule. Without late packets ``flow_iat_mean`` equals the mean gap.
     """
     facts = timed_facts(packets, delay, questions)
-    window = F.session_window("ts", f"{timeout_ms + 1} milliseconds")
+    window = F.session_window("ts", f"{timeout_ms} milliseconds")
     forward = ~F.col("rev")
     query, response = ~F.col("is_response"), F.col("is_response")
 
