@@ -392,7 +392,7 @@ def type_histogram(spark, sf_dir):
 def _by_conversation(df):
     lo, hi = endpoint_text("ep_lo"), endpoint_text("ep_hi")
     text = F.concat_ws(" ", F.least(lo, hi), F.greatest(lo, hi))
-    return df.withColumn("conversation", text).drop("ep_lo", "ep_hi")
+    return df.withColumn("conversation", text).drop("ep_lo", "ep_hi", "key_hash")
 
 
 @check(

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.columns import or_zero_double, ratio_or_zero, seconds_floor
 from flowloom.operators.flow_features import query_response_ratio
-from flowloom.operators.packets import on_dns_port, valid_packets, with_flow_key
+from flowloom.operators.packets import FLOW_KEY, on_dns_port, valid_packets, with_flow_key
 
 BUCKET_MS = 600_000
 
 # The flow table must carry these next to the 40 columns.
 FLOW_HANDLE = ["capture_id", "start_ms", "end_ms"]
-_JOIN = ["capture_id", "ep_lo", "ep_hi", "protocol", "bucket"]
+_JOIN = [*FLOW_KEY, "bucket"]
 
 
 def _flow_side(flows: DataFrame, flow_id: str) -> DataFrame:

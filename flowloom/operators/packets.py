@@ -17,8 +17,9 @@ QTYPE_ANY = 255
 QTYPE_TXT = 16
 
 # Columns every window and aggregation of a flow starts with: hash-partitioning
-# by them once serves all later steps.
-FLOW_KEY = ["capture_id", "ep_lo", "ep_hi", "protocol"]
+# by them once serves all later steps. The hash adds nothing to the identity; it
+# comes first because sorts compare the first column as a machine word.
+FLOW_KEY = ["key_hash", "capture_id", "ep_lo", "ep_hi", "protocol"]
 
 
 def sane_time(ts_ms: Column) -> Column:
@@ -50,9 +51,10 @@ def dns_packets(packets: DataFrame) -> DataFrame:
 def with_flow_key(packets: DataFrame) -> DataFrame:
     """Add the direction-free key; ``rev`` is true for packets from ``ep_hi`` to ``ep_lo``."""
     src, dst = endpoint("src_ip", "src_port"), endpoint("dst_ip", "dst_port")
-    return packets.withColumns(
+    keyed = packets.withColumns(
         {"ep_lo": F.least(src, dst), "ep_hi": F.greatest(src, dst), "rev": src > dst}
     )
+    return keyed.withColumn("key_hash", F.xxhash64("capture_id", "ep_lo", "ep_hi", "protocol"))
 
 
 def packet_facts(packets: DataFrame, questions: str = "all") -> DataFrame:

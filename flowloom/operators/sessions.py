@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowloom.operators.packets import FLOW_KEY, packet_facts, valid_packets, with_flow_key
 
@@ -136,10 +135,10 @@ def _pair(packets: DataFrame, part: list[str], carry: Column | None) -> DataFram
     A response is answered by the DNS packet just before it with its id: if that
     is a query of the same flow, the two are a pair; otherwise none is open.
     """
-    w = Window.partitionBy(*part, "dns_id").orderBy("seq")
-    before = F.lag(
-        F.struct("flow_no", "ts_ms", "is_response")
-    ).over(w)
+    # As with the key, a hash in front keeps the sort on machine words.
+    packets = packets.withColumn("id_hash", F.xxhash64(part[0], "dns_id"))
+    w = Window.partitionBy("id_hash", "dns_id", *part).orderBy("seq")
+    before = F.lag(F.struct("flow_no", "ts_ms", "is_response")).over(w)
     packets = packets.withColumn("dns_before", before if carry is None else F.coalesce(before, carry))
     paired = (
         F.col("is_response")
@@ -148,7 +147,7 @@ def _pair(packets: DataFrame, part: list[str], carry: Column | None) -> DataFram
     )
     return packets.withColumn(
         "response_ms", F.when(paired, F.col("ts_ms") - F.col("dns_before.ts_ms"))
-    ).drop("dns_before")
+    ).drop("dns_before", "id_hash")
 
 
 def _ordinary(facts: DataFrame, timeout_ms: int) -> DataFrame:
@@ -158,7 +157,7 @@ def _ordinary(facts: DataFrame, timeout_ms: int) -> DataFrame:
 
 
 def _chunked(facts: DataFrame, timeout_ms: int, span: int) -> DataFrame:
-    part = FLOW_KEY + ["chunk"]
+    part = ["chunk", *FLOW_KEY]
     chunks = Window.partitionBy(*FLOW_KEY).orderBy("chunk")
     earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
     facts = facts.withColumn("chunk", F.floor(F.col("seq") / F.lit(span)))
@@ -250,16 +249,3 @@ def assign_flows(
     for part in rest:
         first = first.unionByName(part)
     return first
-
-
-def flow_id_type() -> T.StructType:
-    end = T.StructType([T.StructField("ip", T.StringType()), T.StructField("port", T.IntegerType())])
-    return T.StructType(
-        [
-            T.StructField("capture_id", T.StringType()),
-            T.StructField("ep_lo", end),
-            T.StructField("ep_hi", end),
-            T.StructField("protocol", T.StringType()),
-            T.StructField("flow_no", T.LongType()),
-        ]
-    )

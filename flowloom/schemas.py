@@ -88,6 +88,3 @@ NUMERIC_FEATURES = [name for name in FEATURE_COLUMNS if name != "protocol"]
 
 # Columns that are always zero and are hidden from reports.
 HIDDEN_IN_REPORTS = ["ttl_violation_rate", "dns_server_fanout"]
-
-# Flow bookkeeping that identifies a flow without depending on its features.
-FLOW_ID = ["capture_id", "ep_lo", "ep_hi", "protocol", "flow_no"]
