@@ -114,40 +114,26 @@ def score_steps(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return steps.withColumn("threshold", -F.col("down")).drop("down")
 
 
-def _class_totals(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count_if(F.col("label") == 1).alias("positives"),
-        F.count_if(F.col("label") == 0).alias("negatives"),
-    )
-
-
-def _with_totals(df: DataFrame, steps: DataFrame, by: Sequence[str]) -> DataFrame:
-    totals = _class_totals(df, by)
-    if by:
-        return steps.join(totals, list(by))
-    return steps.withColumns({c: totals.select(c).scalar() for c in ("positives", "negatives")})
-
-
 def roc_curve(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All points of the ROC curve, one per distinct score (the origin is implied)."""
-    steps = _with_totals(df, score_steps(df, by), by)
+    steps = score_steps(df, by)
     return steps.select(
         *by,
         "threshold",
-        ratio_or_zero(F.col("neg_upto"), F.col("negatives")).alias("fpr"),
-        ratio_or_zero(F.col("pos_upto"), F.col("positives")).alias("tpr"),
+        ratio_or_zero(F.col("neg_upto"), F.col("neg_all")).alias("fpr"),
+        ratio_or_zero(F.col("pos_upto"), F.col("pos_all")).alias("tpr"),
     )
 
 
 def precision_recall_curve(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """All points of the precision-recall curve (the end point (0, 1) is implied)."""
-    steps = _with_totals(df, score_steps(df, by), by)
+    steps = score_steps(df, by)
     tp, fp = F.col("pos_upto"), F.col("neg_upto")
     return steps.select(
         *by,
         "threshold",
         ratio_or_zero(tp, tp + fp).alias("precision"),
-        ratio_or_zero(tp, F.col("positives")).alias("recall"),
+        ratio_or_zero(tp, F.col("pos_all")).alias("recall"),
     )
 
 

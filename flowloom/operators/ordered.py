@@ -20,29 +20,37 @@ def _bucketed(counted: DataFrame, group: list[str], value: str, buckets: int) ->
     probs = [i / buckets for i in range(1, buckets)]
     cuts = F.percentile_approx(value, probs, 10_000).alias("cuts")
     below = F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("bucket")
-    if group:
-        table = counted.groupBy(*group).agg(cuts)
-        return counted.join(table, group).select(*counted.columns, below)
-    return counted.withColumn("cuts", counted.agg(cuts).scalar()).select(*counted.columns, below)
+    if not group:
+        placed = counted.withColumn("cuts", counted.agg(cuts).scalar())
+        return placed.select(*counted.columns, below)
+    # One group may hold most of the values, so its rows are spread over as many
+    # join keys as there are shuffle partitions; the cut points are repeated.
+    spread = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+    table = counted.groupBy(*group).agg(cuts).withColumn("salt", salts)
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(spread)).cast("int"))
+    return salted.join(table, [*group, "salt"]).select(*counted.columns, below)
 
 
 def running_totals(
     counted: DataFrame, group: Sequence[str], value: str, counts: Sequence[str], buckets: int = BUCKETS
 ) -> DataFrame:
-    """Add ``<count>_before`` and ``<count>_upto``: sums over smaller (or equal) values.
+    """Add ``<count>_before``, ``<count>_upto`` (sums over smaller, or equal, values)
+    and ``<count>_all`` (sum of the group).
 
     ``counted`` holds each value once per group.
     """
     group = list(group)
     placed = _bucketed(counted, group, value, buckets)
     totals = placed.groupBy(*group, "bucket").agg(*[F.sum(c).alias(f"{c}_in") for c in counts])
-    across = (
-        Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    # At most ``buckets`` rows per group.
+    whole = Window.partitionBy(*group)
+    across = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(
         *group,
         "bucket",
         *[F.coalesce(F.sum(f"{c}_in").over(across), F.lit(0)).alias(f"{c}_base") for c in counts],
+        *[F.sum(f"{c}_in").over(whole).alias(f"{c}_all") for c in counts],
     )
     inside = (
         Window.partitionBy(*group, "bucket")
@@ -52,7 +60,7 @@ def running_totals(
     joined = placed.join(bases, group + ["bucket"])
     upto = {f"{c}_upto": F.col(f"{c}_base") + F.sum(c).over(inside) for c in counts}
     before = {f"{c}_before": F.col(f"{c}_upto") - F.col(c) for c in counts}
-    keep = [*counted.columns, *before, *upto]
+    keep = [*counted.columns, *before, *upto, *[f"{c}_all" for c in counts]]
     return joined.withColumns(upto).withColumns(before).select(*keep)
 
 
@@ -77,12 +85,7 @@ def exact_quantiles(
     """
     group = list(group)
     counted = values.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    totals = counted.groupBy(*group).agg(F.sum("n").alias("total"))
     ranked = running_totals(counted, group, value, ["n"])
-    if group:
-        ranked = ranked.join(totals, group)
-    else:
-        ranked = ranked.withColumn("total", totals.scalar())
 
     def at(rank: Column) -> Column:
         hit = (F.col("n_before") <= rank) & (rank < F.col("n_upto"))
@@ -90,7 +93,7 @@ def exact_quantiles(
 
     picks, results = [], []
     for name, p in probs.items():
-        position = F.lit(float(p)) * (F.col("total") - 1)
+        position = F.lit(float(p)) * (F.col("n_all") - 1)
         picks += [
             at(F.floor(position)).alias(f"{name}_lo"),
             at(F.ceil(position)).alias(f"{name}_hi"),
