@@ -17,6 +17,7 @@ from flowchecks.base import (
     sql_columns,
     unpivot_sql,
 )
+from flowloom.functions.columns import epoch_ms_to_timestamp
 from flowloom.operators import audit, evaluate, learn, profile, report, sampling
 from flowloom.plans.flow_tables import detect, scratch_folder, stored, trained_model
 from flowloom.schemas import FLOW_FIELDS
@@ -484,7 +485,8 @@ _REPORT = f"""select capture_id, first_seq, {sql_columns(_SHOWN)}, label, (selec
 
 @check("m16_detection_report", f"{WITH_FLOWS} {_REPORT}")
 def detection_report(spark, sf_dir):
-    flows = flow_table(spark, sf_dir).withColumn("start_time", F.timestamp_millis("start_ms"))
+    start = epoch_ms_to_timestamp(F.col("start_ms"))
+    flows = flow_table(spark, sf_dir).withColumn("start_time", start)
     made = report.detection_report(flows)
     return made.drop("start_time", "flow_no", "start_ms", "end_ms", "u", "y")
 

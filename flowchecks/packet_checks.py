@@ -468,7 +468,11 @@ def time_functions(spark, sf_dir):
     return flow_table(spark, sf_dir).select(
         *FLOW_HANDLE,
         F.date_format(start, "yyyy-MM-dd HH:mm:ss").alias("start_text"),
-        F.unix_millis(F.try_to_timestamp(start.cast("string"))).alias("parsed_ms"),
+        F.timestamp_diff(
+            "MILLISECOND",
+            F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+            start.cast("string").try_cast("timestamp_ntz"),
+        ).alias("parsed_ms"),
     )
 
 

@@ -16,7 +16,7 @@ from flowchecks.base import (
     sql_columns,
     unpivot_sql,
 )
-from flowloom.functions.columns import label_text
+from flowloom.functions.columns import epoch_ms_to_timestamp, label_text
 from flowloom.operators import ordered, prepare, profile, repair, sampling
 from flowloom.plans.flow_tables import scratch_folder
 from flowloom.schemas import FEATURE_COLUMNS, FLOW_COLUMNS, FLOW_FIELDS, IDENTITY_COLUMNS
@@ -495,7 +495,7 @@ def source_comparison(spark, sf_dir):
     from fl where flow_no % 10 <> 0""",
 )
 def time_range(spark, sf_dir):
-    text = F.timestamp_millis("start_ms").cast("string")
+    text = epoch_ms_to_timestamp(F.col("start_ms")).cast("string")
     broken = F.when(F.col("flow_no") % 10 == 0, "not a time").otherwise(text)
     return profile.time_range(flow_table(spark, sf_dir).withColumn("start_time", broken))
 

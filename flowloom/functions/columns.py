@@ -141,7 +141,10 @@ def renamed_output(path: Column, old_suffix: str, new_suffix: str) -> Column:
 
 
 def epoch_ms_to_timestamp(ms: Column) -> Column:
-    return F.timestamp_millis(ms)
+    """UTC wall-clock time, whatever the time zone of the session is."""
+    seconds = (ms.cast("decimal(18,0)") / F.lit(1000)).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(secs=seconds)
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:

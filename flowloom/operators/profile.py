@@ -320,7 +320,7 @@ def time_range(df: DataFrame) -> DataFrame:
     column = next((c for c in TIMESTAMP_COLUMNS if c in df.columns), None)
     if column is None:
         return df.agg(F.count(F.lit(1)).alias("n")).select(now.alias("timestamp_range"))
-    parsed = F.try_to_timestamp(F.col(column).cast("string"))
+    parsed = F.col(column).cast("string").try_cast("timestamp_ntz")
     bounds = df.agg(F.min(parsed).alias("low"), F.max(parsed).alias("high"))
     text = F.concat(
         F.date_format("low", TIME_FORMAT), F.lit(" to "), F.date_format("high", TIME_FORMAT)
