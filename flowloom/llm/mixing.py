@@ -1,10 +1,10 @@
 """Soft-membership mixing of documents to target domain weights.
 
-A naive Bayes classifier, learned from labelled documents, gives each document
-posteriors over the domains. Nonnegative document rates are then fitted so that
+A naive Bayes classifier on the presence of words, learned from labelled
+documents, gives each document posteriors over the domains. Nonnegative document rates are then fitted so that
 the expected tokens of each domain, summed over rate * tokens * posterior, match
-the targets in the least-squares sense: accelerated projected gradient steps in
-the metric weighted by tokens, starting from rate 1. A step needs one sum per
+the targets in the (weighted) least-squares sense: accelerated projected gradient
+steps in the metric weighted by tokens, starting from rate 1. A step needs one sum per
 domain over all documents and updates each document on its own.
 
 All of it is DataFrame operations. ``TRAIN_ROWS`` bounds the labelled rows that
@@ -12,7 +12,7 @@ the classifier is fitted on (those with the smallest hashes of the key) and
 ``WORDS`` the words it uses; the rates are fitted on all documents.
 
 Edge cases: rows of one key are one document, their tokens add up; a null key
-takes no part; a text without words has 0 tokens and the prior as posterior; labels whose
+takes no part; a text without words has 0 tokens; labels whose
 domain is null or unknown are not used, of several labels of a key the smallest
 domain counts; without labels all posteriors are equal. A target for a
 domain that no document has is missed, the others are still matched.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +31,11 @@ from flowloom.llm.common import stored
 TRAIN_ROWS = 20_000
 WORDS = 4096
 SMOOTH = 1.0
-LEAST_Z = 6.0
-STEPS, UNROLLED = 96, 6
-TOLERANCE = 1e-5
-BETWEEN = r"[\s.,;:?()\"']+"
+LEAST_Z = 3.0
+STEPS, UNROLLED = 60, 6
+TOLERANCE = 1e-3
+#: Exclamation marks are words of their own.
+BETWEEN = r"[\s.,;:?()\"']+|(?<=[^!])(?=!)"
 
 
 def words_of(text: str) -> Column:
@@ -44,7 +46,7 @@ def words_of(text: str) -> Column:
 def learn_words(
     docs: DataFrame, labels: DataFrame, domains: list[str], key: str, text: str, domain: str
 ) -> tuple[DataFrame, list[float]]:
-    """Weights per word and domain (a bounded table) and the log priors."""
+    """What each word adds to a domain's log odds (a bounded table), and the logs of a document without any."""
     known = (
         labels.filter(F.col(domain).isin(*domains) & F.col(key).isNotNull())
         .groupBy(F.col(key).alias("k"))
@@ -54,52 +56,58 @@ def learn_words(
     )
     # At most TRAIN_ROWS rows.
     labelled = docs.select(F.col(key).alias("k"), words_of(text).alias("words")).join(F.broadcast(known), "k")
-    each = labelled.select("domain", F.explode("words").alias("word"))
+    each = labelled.select("k", "domain", F.explode(F.array_distinct("words")).alias("word"))
+    n = range(len(domains))
     counts = each.groupBy("word").agg(
         *[F.sum((F.col("domain") == d).cast("bigint")).alias(f"c{i}") for i, d in enumerate(domains)]
     )
-    counts = stored(counts, "words")
-    sums = counts.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(domains))]).first()
-    rows = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    size = [float(s) for s in sums]
-    everything = max(1.0, sum(size))
-    total = sum(F.col(f"c{i}") for i in range(len(domains)))
-    share = total / F.lit(everything)
-    weights, lifts = [], []
-    for i, n in enumerate(size):
-        expected = share * F.lit(n)
-        # Words that stand out in no domain would only add noise.
+    rows = {r["domain"]: r["n"] for r in labelled.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    size = [float(rows.get(d, 0)) for d in domains]
+    seen = sum(size)
+    share = sum(F.col(f"c{i}") for i in n) / F.lit(max(1.0, seen))
+    lifts, logs, without = [], [], []
+    for i in n:
+        expected = share * F.lit(size[i])
         lifts.append(F.abs(F.col(f"c{i}") - expected) / F.sqrt(expected + F.lit(1.0)))
-        weights.append(F.ln((F.col(f"c{i}") + SMOOTH * share) / (F.lit(n + SMOOTH) * share)).alias(f"w{i}"))
+        held = (F.col(f"c{i}") + F.lit(SMOOTH) * share) / F.lit(size[i] + SMOOTH)
+        held = F.least(held, F.lit(1.0 - 1e-6))
+        logs.append((F.ln(held) - F.ln(1.0 - held)).alias(f"w{i}"))
+        without.append(F.ln(1.0 - held).alias(f"a{i}"))
+    # Words that stand out in no domain would only add noise.
     lift = F.greatest(*lifts) if len(lifts) > 1 else lifts[0]
     table = (
-        counts.select("word", lift.alias("lift"), *weights)
+        counts.select("word", lift.alias("lift"), *logs, *without)
         .filter(F.col("lift") >= LEAST_Z)
         .orderBy(F.desc("lift"), "word")
         .limit(WORDS)
         .drop("lift")
     )
-    seen = sum(rows.values())
-    priors = [math.log((rows.get(d, 0) + 1) / (seen + len(domains))) for d in domains]
-    return stored(table, "weights"), priors
+    table = stored(table, "weights")
+    absent = table.agg(*[F.coalesce(F.sum(f"a{i}"), F.lit(0.0)) for i in n]).first()
+    starts = [math.log((s + 1) / (seen + len(domains))) + float(a) for s, a in zip(size, absent, strict=True)]
+    return table.select("word", *[f"w{i}" for i in n]), starts
 
 
 def posteriors(
-    docs: DataFrame, weights: DataFrame, priors: list[float], key: str = "doc_id", text: str = "text"
+    docs: DataFrame, weights: DataFrame, starts: list[float], key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Rows (k, tokens, p0, p1, ...): tokens and domain posteriors of each document."""
-    each = docs.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("k"), F.explode_outer(words_of(text)).alias("word")
+    words = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), words_of(text).alias("words"))
+    each = words.select(
+        "k", F.size("words").alias("size"), F.posexplode_outer(F.array_distinct("words")).alias("at", "word")
     )
-    n = range(len(priors))
+    n = range(len(starts))
     # The table of weights has at most WORDS rows.
     logs = (
         each.join(F.broadcast(weights), "word", "left")
         .groupBy("k")
-        .agg(F.count("word").alias("tokens"), *[F.sum(f"w{i}").alias(f"l{i}") for i in n])
-        .select("k", "tokens", *[(F.coalesce(f"l{i}", F.lit(0.0)) + F.lit(priors[i])).alias(f"l{i}") for i in n])
+        .agg(
+            F.coalesce(F.sum(F.when(F.col("at") == 0, F.col("size"))), F.lit(0)).alias("tokens"),
+            *[F.sum(f"w{i}").alias(f"l{i}") for i in n],
+        )
+        .select("k", "tokens", *[(F.coalesce(f"l{i}", F.lit(0.0)) + F.lit(starts[i])).alias(f"l{i}") for i in n])
     )
-    top = F.greatest(*[F.col(f"l{i}") for i in n]) if len(priors) > 1 else F.col("l0")
+    top = F.greatest(*[F.col(f"l{i}") for i in n]) if len(starts) > 1 else F.col("l0")
     raised = logs.withColumn("top", top).select(
         "k", "tokens", *[F.exp(F.col(f"l{i}") - F.col("top")).alias(f"e{i}") for i in n]
     )
@@ -114,16 +122,13 @@ def _sums(table: DataFrame, rate: Column, n: int) -> list[float]:
     return [float(x) for x in row]
 
 
-def _largest_eigenvalue(matrix: list[list[float]]) -> float:
-    """Upper bound of the largest eigenvalue of a small nonnegative matrix: its largest row sum."""
-    return max(sum(row) for row in matrix)
-
-
 def fit_rates(table: DataFrame, targets: list[float], steps: int = STEPS) -> DataFrame:
     """Add the column rate to a table of tokens and posteriors.
 
-    ``targets`` are tokens per domain. Stops when all sums are within
-    ``TOLERANCE`` of the total, or no longer move.
+    ``targets`` are tokens per domain. Gaps are weighted by the inverse of the
+    matrix of token-weighted posterior products, one number per pair of domains,
+    so that small domains close as fast as large ones and a step of 1 is safe.
+    Stops when all sums are within ``TOLERANCE`` of the total, or no longer move.
     """
     n = len(targets)
     gram = table.agg(
@@ -133,27 +138,29 @@ def fit_rates(table: DataFrame, targets: list[float], steps: int = STEPS) -> Dat
             for j in range(n)
         ]
     ).first()
-    matrix = [[float(gram[i * n + j]) for j in range(n)] for i in range(n)]
-    bound = _largest_eigenvalue(matrix)
+    weight = np.linalg.pinv(np.array(gram, dtype=float).reshape(n, n), rcond=1e-9, hermitian=True)
     scale = max(1.0, sum(targets))
     now = table.withColumns({"rate": F.lit(1.0), "last": F.lit(1.0)})
-    if bound <= 0.0:
-        return now.drop("last")
-    momentum, quiet, best = 1.0, 0, math.inf
+    momentum, before, still = 1.0, math.inf, 0
     for step in range(steps):
         following = (1.0 + math.sqrt(1.0 + 4.0 * momentum * momentum)) / 2.0
         ahead = F.col("rate") + F.lit((momentum - 1.0) / following) * (F.col("rate") - F.col("last"))
         now = now.withColumn("ahead", ahead)
-        gaps = [s - t for s, t in zip(_sums(now, F.col("ahead"), n), targets, strict=True)]
-        moved = F.col("ahead") - sum(F.col(f"p{i}") * F.lit(g / bound) for i, g in enumerate(gaps))
+        gaps = np.array(_sums(now, F.col("ahead"), n)) - np.array(targets)
+        descent = weight @ gaps
+        loss = float(gaps @ descent)
+        if np.abs(gaps).max() < TOLERANCE * scale:
+            now = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("ahead")))
+            break
+        moved = F.col("ahead") - sum(F.col(f"p{i}") * F.lit(float(d)) for i, d in enumerate(descent))
         now = now.withColumn("last", F.col("rate")).withColumn("rate", F.greatest(F.lit(0.0), moved))
         if (step + 1) % UNROLLED == 0:
             now = stored(now.drop("ahead"), "rates")
-        worst = max(abs(g) for g in gaps) / scale
-        quiet = quiet + 1 if worst > best * 0.999 else 0
-        best = min(best, worst)
-        momentum = following if worst <= best else 1.0
-        if worst < TOLERANCE or quiet >= 16:
+        # The momentum starts anew where it overshoots.
+        momentum = following if loss <= before else 1.0
+        still = still + 1 if abs(before - loss) <= 1e-6 * loss else 0
+        before = loss
+        if still >= 4:
             break
     return now.drop("ahead", "last")
 
@@ -172,8 +179,8 @@ def mix(
     scaled to a sum of 1.
     """
     domains = list(targets)
-    weights, priors = learn_words(docs, labels, domains, key, text, domain)
-    table = stored(posteriors(docs, weights, priors, key, text), "posteriors")
+    weights, starts = learn_words(docs, labels, domains, key, text, domain)
+    table = stored(posteriors(docs, weights, starts, key, text), "posteriors")
     total = table.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     whole = sum(targets.values())
     rated = fit_rates(table, [float(total) * t / whole for t in targets.values()])

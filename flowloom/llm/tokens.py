@@ -56,7 +56,9 @@ class WordCounter:
 
         self.processor = sentencepiece.SentencePieceProcessor(model_file=path)
         self.single = proven_words(self.processor)
-        self.known: dict[str, int] = dict.fromkeys(self.single or (), 1)
+        #: A single space at the end is a mark of its own.
+        self.last = {"": len(self.processor.encode("a ")) - len(self.processor.encode("a"))}
+        self.known: dict[str, int] = dict.fromkeys(self.single or (), 1) | self.last
 
     def words(self, text: str) -> list[str]:
         """The parts of a text between single spaces; spaces beyond one stay in front."""
@@ -68,7 +70,7 @@ class WordCounter:
     def _learn(self, words: Iterable[str]) -> None:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > KEPT_WORDS:
-            self.known = dict.fromkeys(self.single or (), 1)
+            self.known = dict.fromkeys(self.single or (), 1) | self.last
             new = [w for w in words if w not in self.known]
         counts = map(len, self.processor.encode(new, num_threads=1))
         self.known.update(zip(new, counts, strict=True))
@@ -84,7 +86,6 @@ class WordCounter:
                 chars += len(texts[at])
                 chunk.append(self.words(texts[at]))
                 at += 1
-            # A lone "" is the mark of a text made of one space only.
             self._learn(set().union(*chunk))
             count = self.known.__getitem__
             out += [sum(map(count, words)) for words in chunk]

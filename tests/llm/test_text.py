@@ -1,0 +1,198 @@
+"""Token counts, language, personal data, decontamination."""
+
+import random
+
+import duckdb
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from flowloom.llm import decontaminate, langid, pii, queries, tokens
+from tests.llm import brute
+
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id bigint, text string, lang string, score string, n_tokens string"
+ODD = [
+    (1, None, None),
+    (2, "", "en"),
+    (3, " ", None),
+    (4, "  two  spaces \n\t tabs ", "en"),
+    (5, "a▁b <s> </s> <unk> é ﷺ 漢字 🙂​　x", "fr"),
+    (6, "word " * 40_000, "en"),
+    (7, "x" * 30_000, None),
+    (None, "no key", "de"),
+    (4, "  two  spaces \n\t tabs ", "en"),
+]
+
+
+@pytest.fixture(scope="module")
+def texts(data_dir):
+    rows = duckdb.execute(f"select doc_id, text, lang from '{data_dir}/documents.parquet'").fetchall()
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
+
+
+def test_token_counts_equal_the_library(spark, texts):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = [*texts, *ODD]
+    found = tokens.token_counts(frame(spark, rows), MODEL, limit=100).collect()
+    for row in found:
+        text = row["text"] or ""
+        assert row["n_tokens"] == len(library.encode(text)), text[:50]
+        assert row["n_bytes"] == len(text.encode())
+        assert row["over_limit"] == (row["n_tokens"] > 100)
+    assert len(found) == len(rows)
+    assert tokens.token_counts(frame(spark, []), MODEL).count() == 0
+
+
+def test_proven_words_are_single_tokens():
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    words = tokens.proven_words(library)
+    assert len(words) > 10_000
+    assert all(len(library.encode(w)) == 1 for w in list(words)[:2000])
+
+
+def test_language_is_right_on_held_out_documents(spark, data_dir):
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op7_language"](spark, data_dir).collect()}
+    truth = duckdb.execute(f"select doc_id, lang from '{data_dir}/documents.parquet'").fetchall()
+    held = [(rows[d]["lang_pred"], lang) for d, lang in truth if rows[d]["held_out"]]
+    assert all(rows[d]["held_out"] == (brute.crc(d) % 5 == 0) for d, _ in truth)
+    assert len(held) > 10
+    assert sum(a == b for a, b in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in rows.values())
+
+
+def test_phrases_equal_plain_parsing(texts):
+    samples = {"en": [texts[0][1]], "fr": [texts[1][1]]}
+    model = langid.PhraseModel(samples)
+    some = [t for _, t, _ in texts[2:12]] + ["", "12 34", "été Ünï ΑΒΓ"]
+    phrases, letters = model.phrases(some)
+    for row, text in enumerate(some):
+        assert letters[row] == sum(c.isalpha() for c in text.lower())
+        codes, _ = model.encode([text])
+        for column, language in enumerate(model.languages):
+            sample, _ = model.encode(samples[language])
+            sample = bytes(sample[: langid.SAMPLE_CHARS])
+            count = 0
+            for at in range(0, len(codes), langid.LANE):
+                lane, start = bytes(codes[at : at + langid.LANE]), 0
+                count += 1
+                for end in range(1, len(lane) + 1):
+                    if lane[start:end] not in sample:
+                        # A symbol that the sample lacks is a phrase of its own.
+                        count += 1
+                        start = end - 1 if lane[end - 1 : end] in sample else end
+            assert phrases[row, column] == count
+
+
+def test_language_of_odd_rows(spark, texts):
+    model = langid.train(frame(spark, texts))
+    found = langid.identify(frame(spark, [*ODD, (9, "12 34 !?", None)]), model).collect()
+    assert len(found) == len(ODD) + 1
+    for row in found:
+        letters = any(c.isalpha() for c in row["text"] or "")
+        assert (row["lang_pred"] == "und") == (not letters)
+        assert letters or row["score"] == 0
+    empty = langid.train(frame(spark, []))
+    assert {r["lang_pred"] for r in langid.identify(frame(spark, ODD), empty).collect()} == {"und"}
+    assert langid.identify(frame(spark, []), model).count() == 0
+
+
+PRIVATE = [
+    "mail a.b+c@x-y.co.uk, foo@bar, @x.y and z@a.b.c@d.e",
+    "1.2.3.4.5.6.7.8 300.1.1.1 1.2.3 00001.2.3.4 1..2.3.4",
+    "4111 1111 1111 1111 4111-1111-1111-1112 1 2 34 5500000000000004x 12345678901234567890",
+    "+1 (555) 123-4567. +49 30 1 +4 +123456789012345678 ++31 20 123 4567+44 20 7946 0958",
+    "http://example.com/a?b=c. IBAN DE89 3704 0044 0532 0130 00 account no: 12345678",
+    "éü@x.y 🙂 a@b.c 127.0.0.1:80",
+]
+
+
+def test_private_spans_equal_the_patterns(spark, texts):
+    rng = random.Random(5)
+    made = ["".join(rng.choice("ab1234567890.@+- ()_%\né") for _ in range(300)) for _ in range(400)]
+    rows = [(i, t, None) for i, t in enumerate([*PRIVATE, *made, *[t for _, t, _ in texts]])] + ODD
+    found = pii.personal_data(frame(spark, rows)).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        text = row["text"] or ""
+        assert row["base_sha256"] == brute.base_digest(text), text
+        spans = brute.base_spans(text)
+        for kind in pii.BASE_KINDS:
+            assert row[f"n_{kind}"] == sum(s[0] == kind for s in spans)
+        every = [s for s in row["spans"].split(",") if s]
+        assert [f"{k}:{s}:{e}" for k, s, e in spans] == [s for s in every if s.split(":")[0] in pii.BASE_KINDS]
+        assert len(every) == len(spans) + row["n_added"]
+    assert pii.personal_data(frame(spark, [])).count() == 0
+
+
+def test_accounts_and_addresses_are_added():
+    kinds = {k for k, _, _ in pii.find_spans(PRIVATE[4])}
+    assert {"url", "account"} <= kinds
+    assert pii.redact("a@b.c and 1.2.3.4!") == "[EMAIL] and [IP]!"
+
+
+def test_redacted_keeps_null(spark):
+    rows = pii.redacted(frame(spark, [(1, None, None), (2, "x a@b.c", None)])).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows] == [None, "x [EMAIL]"]
+
+
+def changed(rng, text, edits):
+    text = list(text)
+    for _ in range(edits):
+        at = rng.randrange(len(text))
+        kind = rng.randrange(3)
+        if kind == 0:
+            text[at] = rng.choice("qz")
+        elif kind == 1:
+            del text[at]
+        else:
+            text.insert(at, rng.choice("qz"))
+    return "".join(text)
+
+
+def test_items_are_found_within_their_edits(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(20))) for i in range(12)] + [(90, ""), (91, None), (92, "Kurz")]
+    docs = []
+    for i in range(120):
+        parts = [" ".join(word() for _ in range(rng.randint(0, 30)))]
+        for _ in range(rng.randint(0, 2)):
+            parts += [changed(rng, items[rng.randrange(12)][1], rng.randint(0, 9)), word()]
+        docs.append((1000 + i, " , ".join(parts).title(), None))
+    docs += [*ODD, (500, items[0][1], None), (501, ("!! " + items[1][1].upper() + "\n") * 3, None)]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    for blocks in (4_000_000, 300):
+        found = decontaminate.contaminated(frame(spark, docs), table, block_chars=blocks).collect()
+        hits = {(r["doc_id"], r["item_id"]): r for r in found}
+        wanted = {}
+        for key, text, _ in docs:
+            if key in (6, 7):
+                continue
+            for item, pattern in items:
+                pattern = decontaminate.normal(pattern or "")
+                distance = brute.edit_distance(pattern, decontaminate.normal(text or "")) if pattern else 99
+                if distance <= int(0.05 * len(pattern)):
+                    wanted[key, item] = distance
+        assert {k: r["edits"] for k, r in hits.items()} == wanted
+    text = dict((k, t) for k, t, _ in docs)
+    for (key, item), row in hits.items():
+        part = decontaminate.normal(text[key][row["span_start"] : row["span_end"]])
+        pattern = decontaminate.normal(dict(items)[item])
+        assert abs(len(part) - len(pattern)) <= row["edits"]
+        assert brute.edit_distance(part, pattern) <= row["edits"]
+    assert decontaminate.contaminated(frame(spark, []), table).count() == 0
+    assert decontaminate.contaminated(frame(spark, docs), table.limit(0)).count() == 0
+
+
+def test_query_rows(spark, data_dir):
+    n = spark.read.parquet(f"{data_dir}/documents.parquet").count()
+    for name in ("op6_token_counts", "op7_language", "op8_personal_data"):
+        found = queries.QUERIES[name](spark, data_dir)
+        assert found.count() == found.select("doc_id").distinct().count() == n
+    assert queries.QUERIES["op4_decontamination"](spark, data_dir).filter(F.col("edits") == 0).count() > 0
