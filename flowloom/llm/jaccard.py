@@ -224,18 +224,54 @@ def _clusters(sets: DataFrame, least: list[int]) -> DataFrame:
         "tiles", F.ceil(F.col("size") / F.lit(BUCKET_TILE))
     )
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("digest")
-        signatures = np.frombuffer(b"".join(frame["sig"]), dtype=np.uint32).reshape(-1, HASHES)
-        names = frame["digest"].to_numpy()
-        edges = np.array(_forest(signatures, least), dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": names[edges[:, 0]], "b": names[edges[:, 1]]}, dtype=object)
-
     tiled = _tiled(members, "tiles", "digest").select("bucket", "x", "y", "digest", "sig")
-    edges = tiled.groupBy("bucket", "x", "y").applyInPandas(run, "a binary, b binary")
+    dealt = tiled.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "digest")
+    edges = dealt.mapInPandas(_bucket_forests(least), "a binary, b binary")
     return components(edges).withColumnRenamed("node", "digest")
 
 
+def _bucket_forests(least: list[int]):
+    """Spanning edges of each bucket; most buckets are small, so a batch of them is done at a time."""
+
+    def forests(rows: pd.DataFrame) -> pd.DataFrame:
+        signatures = np.frombuffer(b"".join(rows["sig"]), dtype=np.uint32).reshape(-1, HASHES)
+        names, starts = rows["digest"].to_numpy(), np.flatnonzero(_starts(rows))
+        sizes = np.diff(np.append(starts, len(rows)))
+        two = starts[sizes == 2]
+        same = signatures[two] == signatures[two + 1]
+        same = same.reshape(len(two), HASHES // STEP, STEP).sum(axis=2).cumsum(axis=1)
+        kept = two[(same >= np.array(least)).all(axis=1)]
+        edges = [np.stack([kept, kept + 1], axis=1)]
+        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            found = _forest(signatures[start : start + size], least)
+            edges.append(np.array(found, dtype=np.int64).reshape(-1, 2) + start)
+        every = np.concatenate(edges)
+        return pd.DataFrame({"a": names[every[:, 0]], "b": names[every[:, 1]]}, dtype=object)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The rows are sorted by bucket; the last bucket of a batch may go on in the next.
+        waiting: list[pd.DataFrame] = []
+        for frame in frames:
+            begins = _starts(pd.concat([waiting[-1].tail(1), frame]))[1:] if waiting else _starts(frame)
+            if not begins.any():
+                waiting.append(frame)
+                continue
+            first = np.flatnonzero(begins)[-1]
+            if waiting or first:
+                yield forests(pd.concat([*waiting, frame.iloc[:first]]))
+            waiting = [frame.iloc[first:]]
+        if waiting:
+            yield forests(pd.concat(waiting))
+
+    return run
+
+
+def _starts(rows: pd.DataFrame) -> np.ndarray:
+    """True where a row begins another bucket or pair of tiles than the row before."""
+    keys = rows[["bucket", "x", "y"]].to_numpy()
+    return np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
+
+
 def _verified(
     docs: DataFrame,
     sets: DataFrame,
@@ -266,7 +302,7 @@ def _verified(
     schema = "root binary, digest binary, weight bigint, tiles bigint, sig binary, shingles binary"
     ready = members.select("root", "digest", "weight", "tiles", "sig", "t").mapInPandas(prepare, schema)
 
-    def run(group, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return _compare(frame.drop_duplicates("digest").sort_values("digest"), group[1] == group[2], least, ratio)
 
     tiled = _tiled(ready, "tiles", "digest").drop("tiles")

@@ -109,7 +109,10 @@ def test_near_duplicates_equal_all_pairs(spark, texts, monkeypatch):
     assert sorted(tuple(r) for r in found) == wanted
     monkeypatch.setattr(jaccard, "BUCKET_TILE", 16)
     monkeypatch.setattr(jaccard, "TILE_DOCS", 16)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     found = jaccard.near_duplicates(frame(spark, rows)).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted(tuple(r) for r in found) == wanted
 
 
