@@ -64,7 +64,9 @@ def _transport_of_ipv6(data: Column, at: Column) -> Column:
             kind == IPV6_FRAGMENT, fragment
         ).otherwise(state)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step)
+    # Every header takes at least eight bytes, so a frame holds no more of them than this.
+    most = F.greatest(F.lit(1), F.floor(F.length(data) / 8)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), most), start, step)
 
 
 def _skip_name(payload: bytes, at: int) -> int:

@@ -155,3 +155,18 @@ def test_ipv6_vlan_and_malformed_dns(spark, folder):
     assert (rows[3].protocol, rows[3].status) == (None, "other")
     flows = flow_features(decode_frames(load(spark, folder)))
     assert flows.agg(F.sum("total_fwd_packets")).first()[0] == 3
+
+
+def test_long_chain_of_ipv6_headers(spark):
+    from pyspark.sql import functions as F
+
+    from flowloom.sources.decode import _transport_of_ipv6
+
+    chain = 12
+    fixed = bytes([0x60, 0, 0, 0, 0, 0, 0, 64]) + bytes(32)
+    headers = b"".join(bytes([60 if i < chain - 1 else 17, 0, 1, 4, 0, 0, 0, 0]) for i in range(chain))
+    data = bytearray(fixed + headers + bytes(8))
+    data[6] = 60
+    frame = spark.createDataFrame([(bytes(data),)], "data binary")
+    row = frame.select(_transport_of_ipv6(F.col("data"), F.lit(0)).alias("x")).first()["x"]
+    assert (row["kind"], row["at"]) == (17, 40 + 8 * chain)
