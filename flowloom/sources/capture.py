@@ -79,8 +79,13 @@ def _plausible(buf: bytes, at: int, order: str, fractions: int, limit: int, near
     return RECORD_HEADER + captured
 
 
-def _end_of_chain(buf: bytes, at: int, order: str, fractions: int, limit: int, near: int):
-    """Where a run of records from ``at`` is longer than one frame; None if it is not."""
+def _end_of_chain(
+    buf: bytes, at: int, order: str, fractions: int, limit: int, near: int, last: bool = False
+):
+    """Where a run of records from ``at`` is longer than one frame; None if it is not.
+
+    With ``last`` a run that ends with the bytes counts as well.
+    """
     begin, records = at, 0
     while at + RECORD_HEADER <= len(buf):
         length = _plausible(buf, at, order, fractions, limit, near)
@@ -89,11 +94,11 @@ def _end_of_chain(buf: bytes, at: int, order: str, fractions: int, limit: int, n
         at, records = at + length, records + 1
         if records >= _MIN_CHAIN and at - begin > limit + RECORD_HEADER:
             return at
-    return None
+    return at if last and at == len(buf) and records else None
 
 
 def find_boundary(
-    read, start: int, size: int, order: str, fractions: int, limit: int, near: int
+    read, start: int, size: int, order: str, fractions: int, limit: int, near: int, begin: bool = False
 ) -> int:
     """A record boundary shortly after ``start`` (``size`` if there is none).
 
@@ -102,15 +107,17 @@ def find_boundary(
     and is on the records of the file, so the end of the run is the boundary.
     It depends on the bytes only, and the reader of the range before goes on up
     to the same offset, so what lies between is read there: nothing is lost and
-    nothing is read twice.
+    nothing is read twice. With ``begin`` the begin of the run is returned, to go
+    on behind a bad record.
     """
     step = limit + RECORD_HEADER
     while start < size:
         buf = read(start, min(5 * step, size - start))
         for candidate in range(min(step, len(buf))):
-            end = _end_of_chain(buf, candidate, order, fractions, limit, near)
+            last = begin and start + len(buf) == size
+            end = _end_of_chain(buf, candidate, order, fractions, limit, near, last)
             if end is not None:
-                return start + end
+                return start + (candidate if begin else end)
         start += step
     return size
 
@@ -169,7 +176,9 @@ class CaptureReader(DataSourceReader):
             end = at - base + RECORD_HEADER + captured
             if captured > MAX_FRAME:
                 rows.append((at, None, None, None, None, "malformed"))
-                break
+                at = find_boundary(read, at + 1, *rules, begin=True)
+                buf, base = b"", at
+                continue
             if end > len(buf):
                 buf, base = read(at, max(_READ_BYTES, RECORD_HEADER + captured)), at
                 end = RECORD_HEADER + captured
@@ -177,6 +186,7 @@ class CaptureReader(DataSourceReader):
                     rows.append((at, None, None, None, None, "truncated"))
                     break
             frame = buf[end - captured : end]
+            original = min(original, 2**31 - 1)
             rows.append((at, sec * 1000 + fraction // per_ms, link & 0xFFFF, original, frame, "ok"))
             at = base + end
             if len(rows) >= _BATCH_ROWS:

@@ -170,3 +170,24 @@ def test_long_chain_of_ipv6_headers(spark):
     frame = spark.createDataFrame([(bytes(data),)], "data binary")
     row = frame.select(_transport_of_ipv6(F.col("data"), F.lit(0)).alias("x")).first()["x"]
     assert (row["kind"], row["at"]) == (17, 40 + 8 * chain)
+
+
+def test_records_behind_a_bad_one_are_read_for_every_split(spark, folder):
+    import struct
+
+    from flowloom.sources import capture
+
+    path = f"{folder}/bad.pcap"
+    with open(path, "wb") as out:
+        out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 2000, 1))
+        for i in range(600):
+            out.write(struct.pack("<4I", 1_700_000_000 + i, 0, 500_000 if i == 200 else 400, 400))
+            out.write(bytes([i % 7]) * 400)
+    capture.register(spark)
+    found = []
+    for split in ("100000000", "60000", "33333"):
+        rows = spark.read.format("capture").option("splitBytes", split).load(path)
+        found.append(sorted((r["seq"], r["status"]) for r in rows.select("seq", "status").collect()))
+    assert found[0] == found[1] == found[2]
+    assert sum(s == "ok" for _, s in found[0]) == 599
+    assert sum(s == "malformed" for _, s in found[0]) == 1
