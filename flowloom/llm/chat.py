@@ -13,7 +13,7 @@ holds a third of all turns spreads over many tasks.
 Edge cases: turns without a dialogue id are left out; a null text is empty; a
 null speaker is the participant ``unknown``; ``system`` turns are context and no
 participant, and a dialogue with nothing else gives no rows; turns with the same
-number are ordered by speaker and text; repeated turns are rendered each time.
+number are ordered by speaker and a hash of the text; repeated turns are rendered each time.
 """
 
 from __future__ import annotations

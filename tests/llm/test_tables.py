@@ -240,7 +240,6 @@ def test_perspectives(spark):
     assert ann["rendered"].startswith("<|system|>\nbe kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\n<|end|>\n<|user name=cem|>\nx")
     learned = [ann["rendered"][int(a) : int(b)] for a, b in (s.split(":") for s in ann["mask"].split(","))]
     assert learned == ["hi<|end|>", "bye<|end|>", "bye<|end|>"]
-    assert next(r for r in found if r["conv_id"] == 4)["rendered"].index("\na<") < next(r for r in found if r["conv_id"] == 4)["rendered"].index("\nb<") or True
     parts = chat.rotate_perspectives(turns, part_chars=40).orderBy("part").collect()
     for whole in found:
         own = [p for p in parts if (p["conv_id"], p["speaker"]) == (whole["conv_id"], whole["speaker"])]
