@@ -10,9 +10,11 @@ The best rows are selected from the most significant score slice downward:
 rows that certainly belong are kept, rows that still tie go on to the next
 slice. The rows that tie at the very end are settled exactly by id.
 
-The index is a table of bitmaps in the shared folder. Query blocks are joined to
-index blocks, each pair gives at most k rows per query, and the best of those
-are ranked by a grouped limit before the shuffle.
+The index is a table of bitmaps in the shared folder. Blocks of queries meet
+groups of index blocks in a grid of cells, so no key gathers the index or the
+queries, and each side is copied once per row or column of the grid. Each pair of
+blocks gives at most k rows per query, and the best of those are ranked by a
+grouped limit before the shuffle.
 
 Components are ``floor(256 * x)``. Vectors that are null or hold null or
 non-finite components take no part; a vector is only compared with vectors of
@@ -34,7 +36,10 @@ from flowloom.llm.common import stored
 
 SCALE = 256
 BLOCK_ROWS = 65_536
-QUERY_BLOCK = 256
+#: Queries of one block: at least, and at most.
+QUERY_BLOCK, QUERY_BLOCK_MOST = 256, 16_384
+#: Index blocks of one cell of the grid.
+CELL_BLOCKS = 4
 
 
 def quantised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -176,14 +181,15 @@ def _search(k: int):
             for row in frame.itertuples(index=False):
                 ids = np.frombuffer(row.ids, dtype=np.int64)
                 low = np.frombuffer(row.low, dtype=np.int64)
-                maps = np.frombuffer(row.maps, dtype=np.uint64).reshape(row.length, row.places, -1)
+                words = -(-len(ids) // 64)
+                maps = np.frombuffer(row.maps, dtype=np.uint64).reshape(row.length, row.places, words)
                 everyone = np.packbits(np.ones(len(ids), dtype=np.uint8), bitorder="little")
                 valid = np.zeros(maps.shape[2] * 8, dtype=np.uint8)
                 valid[: len(everyone)] = everyone
                 valid = valid.view(np.uint64)
                 out: list[tuple[int, int, int]] = []
                 queries = np.frombuffer(row.query_ids, dtype=np.int64)
-                vectors = np.frombuffer(row.query_maps, dtype=np.int64).reshape(-1, row.length)
+                vectors = np.frombuffer(row.query_maps, dtype=np.int64).reshape(len(queries), row.length)
                 for query, weights in zip(queries, vectors, strict=True):
                     others = valid.copy()
                     first = np.searchsorted(ids, query)
@@ -204,14 +210,20 @@ def _search(k: int):
     return run
 
 
-def _query_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches:
-        for length, group in frame.groupby(frame["v"].map(len)):
-            for at in range(0, len(group), QUERY_BLOCK):
-                part = group.iloc[at : at + QUERY_BLOCK]
-                cells = np.array(part["v"].tolist(), dtype=np.int64).reshape(len(part), length)
-                ids = part["id"].to_numpy(dtype=np.int64)
-                yield pd.DataFrame({"length": [length], "query_ids": [ids.tobytes()], "query_maps": [cells.tobytes()]})
+def _query_block(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    length, part = key
+    cells = np.array(frame["v"].tolist(), dtype=np.int64).reshape(len(frame), length)
+    ids = frame["id"].to_numpy(dtype=np.int64)
+    return pd.DataFrame(
+        {"length": [length], "part": [part], "query_ids": [ids.tobytes()], "query_maps": [cells.tobytes()]}
+    )
+
+
+def grid(queries: int, blocks: int, tasks: int) -> tuple[int, int]:
+    """Query blocks, and groups of index blocks, so that the cells make at least ``tasks`` tasks if they can."""
+    most, least = -(-queries // QUERY_BLOCK), -(-queries // QUERY_BLOCK_MOST)
+    parts = max(1, least, min(most, -(-tasks // max(1, blocks))))
+    return parts, max(1, min(blocks, -(-tasks // parts)), -(-blocks // CELL_BLOCKS))
 
 
 def top_k(
@@ -227,9 +239,19 @@ def top_k(
     vec_id, score.
     """
     asked = quantised(queries, key, vector).groupBy("id").agg(F.min("v").alias("v"))
-    full = -(-asked.count() // QUERY_BLOCK)
-    blocks = asked.repartition(max(1, full)).mapInPandas(_query_blocks, "length int, query_ids binary, query_maps binary")
-    pairs = index.join(blocks, "length").repartition(F.col("block"), F.xxhash64("query_ids"))
+    tasks = 4 * asked.sparkSession.sparkContext.defaultParallelism
+    parts, groups = grid(asked.count(), index.count(), tasks)
+    cell = ["length", "part", "group"]
+    blocks = (
+        asked.withColumns({"length": F.size("v"), "part": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")})
+        .groupBy("length", "part")
+        .applyInPandas(_query_block, "length int, part int, query_ids binary, query_maps binary")
+        .withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    )
+    dealt = index.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    )
+    pairs = dealt.repartition(parts * groups, *cell).join(blocks.repartition(parts * groups, *cell), cell)
     found = pairs.mapInPandas(_search(k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -211,10 +211,11 @@ def test_mixing_of_odd_rows(spark):
 def test_top_k_equals_sorting(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 7).round(1)], 1) for i in range(300)]
-    rows += [(i, [0.5] * 7, 1) for i in range(300, 330)] + [(400, None, 1), (401, [1.0, None, 0.0], 1), (402, [float("nan")] * 7, 1), (403, [float("inf")] * 7, 1), (450, [1.0, 2.0], 1), (451, [], 1), (500, [2.0, -1.0], 1), (None, [0.5] * 7, 1)]
+    rows += [(i, [0.5] * 7, 1) for i in range(300, 330)] + [(400, None, 1), (401, [1.0, None, 0.0], 1), (402, [float("nan")] * 7, 1), (403, [float("inf")] * 7, 1), (450, [1.0, 2.0], 1), (451, [], 1), (550, [], 1), (500, [2.0, -1.0], 1), (None, [0.5] * 7, 1)]
     vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int")
-    for size in (65_536, 64):
+    for size, block in ((65_536, 256), (64, 256), (16, 2)):
         monkeypatch.setattr(topk, "BLOCK_ROWS", size)
+        monkeypatch.setattr(topk, "QUERY_BLOCK", block)
         index = topk.build_index(vectors)
         found = topk.top_k(vectors.filter("vec_id % 50 = 0"), index).collect()
         exact = {i: [math.floor(float(np.float32(x)) * 256) for x in v] for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
@@ -228,6 +229,15 @@ def test_top_k_equals_sorting(spark, monkeypatch):
     assert topk.top_k(vectors, topk.build_index(vectors.limit(0))).count() == 0
 
 
+def test_grid_of_blocks():
+    assert topk.grid(0, 0, 32) == (1, 1)
+    assert topk.grid(100, 1, 32) == (1, 1)
+    assert topk.grid(2560, 1, 32) == (10, 1)
+    assert topk.grid(2560, 40, 32) == (1, 32)
+    parts, groups = topk.grid(20_000_000, 15_000, 4000)
+    assert parts == 1221 and groups == 3750
+
+
 # -- chat --------------------------------------------------------------------
 
 
