@@ -41,8 +41,11 @@ _BATCH_ROWS = 4096
 # run must also be longer than one frame, so that a capture file carried inside
 # a frame cannot be mistaken for the outer file.
 _MIN_CHAIN = 3
-# Records of one file lie within this distance of its first record.
+# A record lies within this distance of the record before it.
 _NEAR_SECONDS = 5 * 366 * 86_400
+# No fraction of a second and no length is as large as this, so a time above it
+# cannot be a header that is read out of place.
+_SURE_SECONDS = 1_000_000_000
 
 
 class ByteRange(InputPartition):
@@ -69,36 +72,41 @@ def _list(path: str) -> list[tuple[str, int]]:
     return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File)
 
 
-def _plausible(buf: bytes, at: int, order: str, fractions: int, limit: int, near: int):
-    """Length of the record at ``at``, or None if it does not look like a record."""
+def _plausible(buf: bytes, at: int, order: str, fractions: int, limit: int, snap: int):
+    """Seconds and length of the record at ``at``, or None if it does not look like a record.
+
+    A clock that is far behind (relative times) is believed only of whole frames
+    or frames cut at the snapshot length.
+    """
     sec, fraction, captured, original = struct.unpack_from(order + "4I", buf, at)
-    if abs(sec - near) > _NEAR_SECONDS or fraction >= fractions:
+    if fraction >= fractions or not 0 < captured <= limit or captured > original:
         return None
-    if not 0 < captured <= limit or captured > original:
+    if sec < _SURE_SECONDS and captured not in (original, snap):
         return None
-    return RECORD_HEADER + captured
+    return sec, RECORD_HEADER + captured
 
 
 def _end_of_chain(
-    buf: bytes, at: int, order: str, fractions: int, limit: int, near: int, last: bool = False
+    buf: bytes, at: int, order: str, fractions: int, limit: int, snap: int, last: bool = False
 ):
     """Where a run of records from ``at`` is longer than one frame; None if it is not.
 
     With ``last`` a run that ends with the bytes counts as well.
     """
-    begin, records = at, 0
+    begin, records, before = at, 0, None
     while at + RECORD_HEADER <= len(buf):
-        length = _plausible(buf, at, order, fractions, limit, near)
-        if length is None:
+        found = _plausible(buf, at, order, fractions, limit, snap)
+        if found is None or (before is not None and abs(found[0] - before) > _NEAR_SECONDS):
             return None
-        at, records = at + length, records + 1
+        before = found[0]
+        at, records = at + found[1], records + 1
         if records >= _MIN_CHAIN and at - begin > limit + RECORD_HEADER:
             return at
     return at if last and at == len(buf) and records else None
 
 
 def find_boundary(
-    read, start: int, size: int, order: str, fractions: int, limit: int, near: int, begin: bool = False
+    read, start: int, size: int, order: str, fractions: int, limit: int, snap: int, begin: bool = False
 ) -> int:
     """A record boundary shortly after ``start`` (``size`` if there is none).
 
@@ -115,7 +123,7 @@ def find_boundary(
         buf = read(start, min(5 * step, size - start))
         for candidate in range(min(step, len(buf))):
             last = begin and start + len(buf) == size
-            end = _end_of_chain(buf, candidate, order, fractions, limit, near, last)
+            end = _end_of_chain(buf, candidate, order, fractions, limit, snap, last)
             if end is not None:
                 return start + (candidate if begin else end)
         start += step
@@ -160,9 +168,7 @@ class CaptureReader(DataSourceReader):
             source.seek(at)
             return source.read(n)
 
-        first = read(FILE_HEADER, 4)
-        near = struct.unpack(order + "I", first)[0] if len(first) == 4 else 0
-        rules = (part.size, order, fractions, limit, near)
+        rules = (part.size, order, fractions, limit, snap)
         at = part.start if part.start == FILE_HEADER else find_boundary(read, part.start, *rules)
         stop = find_boundary(read, part.end, *rules)
         buf, base, rows = b"", at, []
@@ -183,8 +189,12 @@ class CaptureReader(DataSourceReader):
                 buf, base = read(at, max(_READ_BYTES, RECORD_HEADER + captured)), at
                 end = RECORD_HEADER + captured
                 if end > len(buf):
-                    rows.append((at, None, None, None, None, "truncated"))
-                    break
+                    # A wrong length looks like the end of the file; records may follow.
+                    following = find_boundary(read, at + 1, *rules, begin=True)
+                    status = "truncated" if following >= part.size else "malformed"
+                    rows.append((at, None, None, None, None, status))
+                    buf, base, at = b"", following, following
+                    continue
             frame = buf[end - captured : end]
             original = min(original, 2**31 - 1)
             rows.append((at, sec * 1000 + fraction // per_ms, link & 0xFFFF, original, frame, "ok"))
