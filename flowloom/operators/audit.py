@@ -23,13 +23,20 @@ BUCKET_MS = 600_000
 FLOW_HANDLE = ["capture_id", "start_ms", "end_ms"]
 _JOIN = [*FLOW_KEY, "bucket"]
 
+#: A column, or several that name a flow together.
+FlowId = str | Sequence[str]
 
-def _flow_side(flows: DataFrame, flow_id: str) -> DataFrame:
+
+def _named(flow_id: FlowId) -> Column:
+    return F.col(flow_id) if isinstance(flow_id, str) else F.struct(*flow_id)
+
+
+def _flow_side(flows: DataFrame, flow_id: FlowId) -> DataFrame:
     buckets = F.sequence(
         F.floor(F.col("start_ms") / F.lit(BUCKET_MS)), F.floor(F.col("end_ms") / F.lit(BUCKET_MS))
     )
     return with_flow_key(flows).select(
-        F.col(flow_id).alias("flow_id"),
+        _named(flow_id).alias("flow_id"),
         *_JOIN[:-1],
         "start_ms",
         "end_ms",
@@ -90,9 +97,11 @@ def _packet_side(packets: DataFrame) -> DataFrame:
     )
 
 
-def flow_truth(flows: DataFrame, packets: DataFrame, flow_id: str) -> DataFrame:
+def flow_truth(flows: DataFrame, packets: DataFrame, flow_id: FlowId) -> DataFrame:
     """Truth per flow from the packets in its time range, both directions.
 
+    Ids need to be unique within a capture only; give several columns (with
+    ``capture_id``) to tell the captures apart in the result as well.
     Flows without any packet are absent from the result.
     """
     matched = (
@@ -111,6 +120,7 @@ def flow_truth(flows: DataFrame, packets: DataFrame, flow_id: str) -> DataFrame:
         return F.col(f"{name}_a") + F.col(f"{name}_b")
 
     per_ms = matched.select(
+        "capture_id",
         "flow_id",
         "bucket",
         "ts_ms",
@@ -132,7 +142,7 @@ def flow_truth(flows: DataFrame, packets: DataFrame, flow_id: str) -> DataFrame:
         backward("answers").alias("bwd_answers"),
     )
     # Gaps between the distinct milliseconds of one bucket (at most BUCKET_MS rows).
-    step = F.lag("ts_ms").over(Window.partitionBy("flow_id", "bucket").orderBy("ts_ms"))
+    step = F.lag("ts_ms").over(Window.partitionBy("capture_id", "flow_id", "bucket").orderBy("ts_ms"))
     stepped = per_ms.withColumn("gap", F.col("ts_ms") - step)
     sums = [
         "n",
@@ -149,7 +159,7 @@ def flow_truth(flows: DataFrame, packets: DataFrame, flow_id: str) -> DataFrame:
         "bwd_response_bytes",
         "bwd_answers",
     ]
-    per_bucket = stepped.groupBy("flow_id", "bucket").agg(
+    per_bucket = stepped.groupBy("capture_id", "flow_id", "bucket").agg(
         *[F.sum(c).alias(c) for c in sums],
         F.sum(F.col("bytes_sq").cast("double")).alias("bytes_sq"),
         F.min("len_min").alias("len_min"),
@@ -160,10 +170,10 @@ def flow_truth(flows: DataFrame, packets: DataFrame, flow_id: str) -> DataFrame:
         F.min(F.when(F.col("n") > 1, F.lit(0).cast("bigint")).otherwise(F.col("gap"))).alias("gap_min"),
     )
     seam = F.col("first_ms") - F.lag("last_ms").over(
-        Window.partitionBy("flow_id").orderBy("bucket")
+        Window.partitionBy("capture_id", "flow_id").orderBy("bucket")
     )
     per_bucket = per_bucket.withColumn("seam", seam)
-    total = per_bucket.groupBy("flow_id").agg(
+    total = per_bucket.groupBy("capture_id", "flow_id").agg(
         *[F.sum(c).alias(c) for c in sums],
         F.sum("bytes_sq").alias("bytes_sq"),
         F.min("len_min").cast("double").alias("len_min"),
@@ -193,10 +203,10 @@ def flow_truth(flows: DataFrame, packets: DataFrame, flow_id: str) -> DataFrame:
     ).drop("bytes_sq")
 
 
-def _with_truth(flows: DataFrame, packets: DataFrame, flow_id: str) -> DataFrame:
+def _with_truth(flows: DataFrame, packets: DataFrame, flow_id: FlowId) -> DataFrame:
     truth = flow_truth(flows, packets, flow_id)
-    renamed = truth.select("flow_id", F.struct(*truth.columns[1:]).alias("truth"))
-    return flows.withColumn("flow_id", F.col(flow_id)).join(renamed, "flow_id", "left")
+    renamed = truth.select("capture_id", "flow_id", F.struct(*truth.columns[2:]).alias("truth"))
+    return flows.withColumn("flow_id", _named(flow_id)).join(renamed, ["capture_id", "flow_id"], "left")
 
 
 def _check(column: str, tool: Column, truth: Column, status: Column, applies: Column) -> Column:
@@ -234,7 +244,7 @@ LOOSE_CHECKS = [
 ]
 
 
-def loose_audit(flows: DataFrame, packets: DataFrame, flow_id: str) -> DataFrame:
+def loose_audit(flows: DataFrame, packets: DataFrame, flow_id: FlowId) -> DataFrame:
     """One row per flow and column: tool value, truth, PASS, DIFF or NO PACKETS."""
     joined = _with_truth(flows, packets, flow_id)
     checks = []
@@ -280,7 +290,7 @@ SANITY_COLUMNS = ["packet_size_std", "flow_iat_std", "fwd_iat_mean", "bwd_iat_me
 VALID_LABELS = ["ATTACK", "BENIGN"]
 
 
-def strict_audit(flows: DataFrame, packets: DataFrame, flow_id: str) -> DataFrame:
+def strict_audit(flows: DataFrame, packets: DataFrame, flow_id: FlowId) -> DataFrame:
     """All checks of every flow: 22, and up to 6 more for flows with DNS.
 
     Rates are checked with the tool's own duration and the ratio of queries to
@@ -360,7 +370,7 @@ def strict_audit(flows: DataFrame, packets: DataFrame, flow_id: str) -> DataFram
     return _report(joined, checks)
 
 
-def short_audit(flows: DataFrame, packets: DataFrame, flow_id: str) -> DataFrame:
+def short_audit(flows: DataFrame, packets: DataFrame, flow_id: FlowId) -> DataFrame:
     """Totals only: packets, duration within 0.001 s, DNS counts, bytes (UDP flows)."""
     joined = _with_truth(flows.filter(F.col("protocol") == "UDP"), packets, flow_id)
     tool_packets = F.col("total_fwd_packets") + F.col("total_bwd_packets")

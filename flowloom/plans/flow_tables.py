@@ -24,6 +24,11 @@ from flowloom.sources import capture
 from flowloom.sources.decode import decode_frames
 
 
+#: Names a flow built from captures (``first_seq`` is unique in its capture only).
+FLOW_ID = ("capture_id", "first_seq")
+_HANDLE = (*FLOW_ID, "flow_no", "start_ms", "end_ms")
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder of this application."""
     base = ensure_checkpoint_dir(spark)
@@ -40,12 +45,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def flows_from_captures(
     spark: SparkSession, path: str, label: str | None = None, split_bytes: int | None = None
 ) -> DataFrame:
-    """Capture files to the labelled or unlabelled flow table."""
+    """Capture files to the labelled or unlabelled flow table.
+
+    The columns of ``FLOW_ID`` and the times come along, so that the table can be
+    audited, sampled and split.
+    """
     capture.register(spark)
     reader = spark.read.format("capture")
     if split_bytes:
         reader = reader.option("splitBytes", str(split_bytes))
-    return flow_features(decode_frames(reader.load(path)), label=label, keep=("capture_id",))
+    return flow_features(decode_frames(reader.load(path)), label=label, keep=_HANDLE)
 
 
 def trained_model(

@@ -191,3 +191,47 @@ def test_records_behind_a_bad_one_are_read_for_every_split(spark, folder):
     assert found[0] == found[1] == found[2]
     assert sum(s == "ok" for _, s in found[0]) == 599
     assert sum(s == "malformed" for _, s in found[0]) == 1
+
+
+def read_for_every_split(spark, path):
+    found = set()
+    for split in (100_000_000, 90_001, 60_000, 50_000, 33_333, 21_000, 15_000, 12_345, 9_999, 8_000):
+        rows = load(spark, path, splitBytes=str(split)).select("seq", "ts_ms", "orig_len", "status")
+        found.add(tuple(sorted(tuple(r) for r in rows.collect())))
+    (same,) = found
+    return same
+
+
+@pytest.mark.parametrize("wrong", ["first", "all", "end"])
+def test_wrong_clock_and_wrong_lengths_for_every_split(spark, folder, wrong):
+    path = f"{folder}/a.pcap"
+    with open(path, "wb") as out:
+        out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 2000, 1))
+        for i in range(400):
+            sec = i if wrong == "all" or (wrong == "first" and i == 0) else T0 + i
+            size = 250_000 if wrong == "end" and i == 300 else 400
+            out.write(struct.pack("<4I", sec, i * 7, size, max(size, 400)))
+            out.write(bytes([i % 7]) * 400)
+    rows = read_for_every_split(spark, path)
+    bad = wrong == "end"
+    assert sum(r[3] == "ok" for r in rows) == 400 - bad
+    assert sum(r[3] == "malformed" for r in rows) == bad
+    if not bad:
+        assert [r[0] for r in rows] == [24 + 416 * i for i in range(400)]
+
+
+def test_flows_of_two_captures_are_audited_apart(spark, folder):
+    from flowloom.operators.audit import audit_summary, flow_truth, strict_audit
+    from flowloom.plans.flow_tables import FLOW_ID, stored
+
+    write(f"{folder}/a.pcap", three_packets())
+    write(f"{folder}/b.pcap", three_packets()[:2])
+    flows = stored(flows_from_captures(spark, folder, label="BENIGN"), "flows")
+    packets = stored(decode_frames(load(spark, folder)), "packets")
+    assert flows.select("first_seq").distinct().count() == 1
+    for flow_id in ("first_seq", FLOW_ID):
+        assert sorted(r.n for r in flow_truth(flows, packets, flow_id).collect()) == [2, 3]
+    report = stored(strict_audit(flows, packets, FLOW_ID), "report")
+    assert report.filter("status <> 'PASS'").count() == 0
+    lines = audit_summary(report).collect()
+    assert sorted(r.is_total for r in lines) == [0, 0, 1]
