@@ -21,6 +21,7 @@ from flowloom.functions.columns import epoch_ms_to_timestamp
 from flowloom.operators import audit, evaluate, learn, profile, report, sampling
 from flowloom.plans.flow_tables import detect, scratch_folder, stored, trained_model
 from flowloom.schemas import FLOW_FIELDS
+from flowloom.sources import sinks
 from flowloom.sources.events import packets_from_events
 from flowloom.streaming import run
 from flowloom.streaming.sessions import session_flows
@@ -705,19 +706,18 @@ def expected_shares(spark, sf_dir):
 
 # --- streams -----------------------------------------------------------------
 
-# A session is written once the watermark (latest time minus the delay) passes it.
-_DELAY_MS = 600000
 
-
-def _event_stream(spark, sf_dir):
+def _event_stream(spark, sf_dir, marks):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return packets_from_events(run.packet_stream(spark, f"{sf_dir}/events.[p]arquet", events))
+    stream = run.packet_stream(spark, f"{sf_dir}/events.[p]arquet", events)
+    return run.with_end_marks(packets_from_events(stream), marks)
 
 
-def _drained(spark, flows, times: int = 1):
-    out, checkpoint = scratch_folder(spark, "stream"), scratch_folder(spark, "offsets")
-    for _ in range(times):
-        run.drain(run.write_stream(flows, out, checkpoint))
+def _complete(spark, sf_dir, make):
+    """All flows of the stream, those still open at its end included."""
+    out, checkpoint, marks = (scratch_folder(spark, n) for n in ("stream", "offsets", "marks"))
+    flows = make(_event_stream(spark, sf_dir, marks))
+    run.finish(spark, lambda: run.write_stream(flows, out, checkpoint), marks)
     return spark.read.parquet(out)
 
 
@@ -754,13 +754,9 @@ _T2_COLUMNS = [
     "dns_total_responses",
     "flow_iat_mean",
 ]
-_WATERMARK = f"(select max(ts_ms) from vp) - {_DELAY_MS}"
-_CLOSED = f"end_ms + 120000 <= {_WATERMARK}"
-
-
-@check("t02_session_windows", f"{_T2} where {_CLOSED}")
+@check("t02_session_windows", _T2)
 def session_windows(spark, sf_dir):
-    return _drained(spark, session_flows(_event_stream(spark, sf_dir))).select(*_T2_COLUMNS)
+    return _complete(spark, sf_dir, session_flows).select(*_T2_COLUMNS)
 
 
 @check("t02_session_windows_on_table", _T2)
@@ -768,42 +764,53 @@ def session_windows_on_table(spark, sf_dir):
     return session_flows(packets(spark, sf_dir)).select(*_T2_COLUMNS)
 
 
-_T3 = f"""{WITH_FLOWS}, z as (select *, max(flow_no) over (partition by capture_id, lo, hi, protocol) as last_no from fl)
- select capture_id, start_ms, {sql_columns([c for c, _ in FLOW_FIELDS])} from z
- where flow_no < last_no or end_ms + 120001 <= {_WATERMARK}"""
-
-
-@check("t03_arrival_order_stream", _T3)
+@check(
+    "t03_arrival_order_stream",
+    f"{WITH_FLOWS} select capture_id, start_ms, {sql_columns([c for c, _ in FLOW_FIELDS])} from fl",
+)
 def arrival_order_stream(spark, sf_dir):
     run.use_rocksdb(spark)
-    return _drained(spark, arrival_order_flows(_event_stream(spark, sf_dir)))
+    return _complete(spark, sf_dir, arrival_order_flows)
 
 
-@check("t06_resumed_drain", f"with r as ({_T2} where {_CLOSED}) select count(*) as flows, cast(sum(total_fwd_packets) as bigint) as packets from r")
+@check("t06_resumed_drain", f"with r as ({_T2}) select count(*) as flows, cast(sum(total_fwd_packets) as bigint) as packets from r")
 def resumed_drain(spark, sf_dir):
-    """A second start from the same checkpoint finds nothing new."""
-    flows = _drained(spark, session_flows(_event_stream(spark, sf_dir)), times=2)
+    """A restart between the halves of the table; one more start after the end finds nothing new."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source, out, checkpoint, marks = (scratch_folder(spark, n) for n in ("in", "stream", "offsets", "marks"))
+    middle = events.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+
+    def start():
+        stream = packets_from_events(run.packet_stream(spark, source, events))
+        return run.write_stream(session_flows(run.with_end_marks(stream, marks)), out, checkpoint)
+
+    events.filter(F.col("event_id") <= middle).write.parquet(source)
+    run.drain(start())
+    events.filter(F.col("event_id") > middle).write.mode("append").parquet(source)
+    run.finish(spark, start, marks)
+    run.drain(start())
+    flows = spark.read.parquet(out)
     return flows.agg(F.count(F.lit(1)).alias("flows"), F.sum("total_fwd_packets").alias("packets"))
 
 
-@check("t08_stream_two_sinks", f"with r as ({_T2} where {_CLOSED}) select capture_id, count(*) as flows from r group by capture_id")
+@check("t08_stream_two_sinks", f"with r as ({_T2}) select capture_id, count(*) as flows from r group by capture_id")
 def stream_two_sinks(spark, sf_dir):
-    out, checkpoint = scratch_folder(spark, "main"), scratch_folder(spark, "offsets")
+    out, checkpoint, marks = (scratch_folder(spark, n) for n in ("main", "offsets", "marks"))
 
-    def broken(_):
+    def broken(*_):
         raise ConnectionError("second sink is not reachable")
 
-    flows = session_flows(_event_stream(spark, sf_dir))
-    run.drain(run.write_both(flows, checkpoint, lambda b: b.write.mode("append").parquet(out), broken))
+    flows = session_flows(_event_stream(spark, sf_dir, marks))
+    run.finish(spark, lambda: run.write_both(flows, checkpoint, sinks.folder_sink(out), broken), marks)
     back = spark.read.parquet(out)
     return back.groupBy("capture_id").agg(F.count(F.lit(1)).alias("flows"))
 
 
 @check("t09_scored_stream")
 def scored_stream(spark, sf_dir):
-    flows = session_flows(_event_stream(spark, sf_dir))
-    scored = run.score_stream(_model(spark, sf_dir, "forest"), flows)
-    return _drained(spark, scored).groupBy("prediction_label", "risk_level").count()
+    model = _model(spark, sf_dir, "forest")
+    rows = _complete(spark, sf_dir, lambda packets: run.score_stream(model, session_flows(packets)))
+    return rows.groupBy("prediction_label", "risk_level").count()
 
 
 @check("stored_flows", f"{WITH_FLOWS} select capture_id, count(*) as n from fl group by capture_id")

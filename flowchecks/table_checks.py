@@ -126,10 +126,10 @@ def export_lines_unlabelled(spark, sf_dir):
 def two_sinks(spark, sf_dir):
     folder = scratch_folder(spark, "tee")
 
-    def broken(_):
+    def broken(*_):
         raise ConnectionError("second sink is not reachable")
 
-    write = sinks.tee(lambda batch: batch.write.parquet(folder), broken)
+    write = sinks.tee(sinks.folder_sink(folder), broken)
     write(flow_table(spark, sf_dir))
     back = spark.read.parquet(folder)
     return back.groupBy("capture_id").agg(

@@ -50,23 +50,34 @@ def write_pair(flows: DataFrame, labelled_path: str, plain_path: str, label: str
     flows.drop(label).write.mode("overwrite").option("header", True).csv(plain_path)
 
 
-def tee(write_main: Callable[[DataFrame], None], write_extra: Callable[[DataFrame], None]):
+#: Gets the rows and the number of the batch; returns the rows as written, read back.
+Sink = Callable[[DataFrame, int], DataFrame]
+
+
+def folder_sink(path: str, kind: str = "parquet") -> Sink:
+    """One folder per batch, so that a batch that is replayed replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> DataFrame:
+        target = f"{path}/batch={batch_id}"
+        batch.write.mode("overwrite").format(kind).save(target)
+        return batch.sparkSession.read.schema(batch.schema).format(kind).load(target)
+
+    return write
+
+
+def tee(write_main: Sink, write_extra: Callable[[DataFrame, int], object]):
     """A batch function for two sinks; a failing second sink is logged, not raised.
 
-    Usable with ``foreachBatch`` and on a plain table. The rows are persisted
-    for the two writes.
+    Usable with ``foreachBatch`` and on a plain table. The second sink reads what
+    the main one wrote, so the rows are computed once and not held on executors.
     """
 
     def write(batch: DataFrame, batch_id: int = 0) -> None:
-        batch.persist()
+        written = write_main(batch, batch_id)
         try:
-            write_main(batch)
-            try:
-                write_extra(batch)
-            except Exception as error:  # noqa: BLE001 - the second sink is best effort
-                log.warning("second sink failed for batch %s: %s", batch_id, error)
-        finally:
-            batch.unpersist()
+            write_extra(written, batch_id)
+        except Exception as error:  # noqa: BLE001 - the second sink is best effort
+            log.warning("second sink failed for batch %s: %s", batch_id, error)
 
     return write
 

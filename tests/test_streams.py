@@ -93,3 +93,25 @@ def test_invalid_time_does_not_move_the_watermark(spark, folder):
     table = land(spark, rows, folder, 4)
     found = drained(spark, folder, session_flows, table).collect()
     assert [r.total_fwd_packets for r in found] == [2]
+
+
+@pytest.mark.parametrize("make", [session_flows, arrival_order_flows])
+def test_open_flows_are_written_once_at_the_end(spark, folder, make):
+    run.use_rocksdb(spark)
+    rows = traffic(13, late=False)[:-1]
+    table = land(spark, rows, folder, 3)
+
+    def start():
+        packets = run.packet_stream(spark, f"{folder}/in", table, files_per_batch=1)
+        marked = run.with_end_marks(packets, f"{folder}/marks")
+        return run.write_stream(make(marked), f"{folder}/out", f"{folder}/offsets")
+
+    run.drain(start())
+    before = spark.read.parquet(f"{folder}/out").count()
+    run.finish(spark, start, f"{folder}/marks")
+    run.finish(spark, start, f"{folder}/marks")
+    found = spark.read.parquet(f"{folder}/out")
+    names = [c for c in found.columns if c != "capture_id"]
+    wanted = rounded(flow_features(table, keep=("capture_id", "start_ms")).select(names))
+    assert before < found.count() == wanted.count()
+    assert rounded(found.select(names)).exceptAll(wanted).count() == 0

@@ -211,10 +211,16 @@ def test_time_column_preference(spark):
 
 
 def test_second_sink_failure_is_not_fatal(spark, folder):
-    def broken(_):
+    def broken(*_):
         raise OSError("gone")
 
-    sinks.tee(lambda b: b.write.parquet(f"{folder}/main"), broken)(spark.range(5))
+    seen = []
+    write = sinks.tee(sinks.folder_sink(f"{folder}/main"), broken)
+    write(spark.range(5))
+    write(spark.range(5))
     assert spark.read.parquet(f"{folder}/main").count() == 5
+    sinks.tee(sinks.folder_sink(f"{folder}/main"), lambda rows, n: seen.append((n, rows.count())))(spark.range(7), 1)
+    assert spark.read.parquet(f"{folder}/main").count() == 12
+    assert seen == [(1, 7)]
     with pytest.raises(OSError, match="gone"):
-        sinks.tee(broken, lambda b: None)(spark.range(5))
+        sinks.tee(broken, lambda *_: None)(spark.range(5))
