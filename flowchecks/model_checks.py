@@ -370,21 +370,15 @@ def hash_split(spark, sf_dir):
     return sampling.hash_split(coded(spark, sf_dir), 0.2, ["first_seq"]).select(*FLOW_HANDLE, "split")
 
 
-# Small settings: the queries show that training works, the library defaults
-# hold the settings for real use.
-_QUICK = {
-    "boosted_deep": {"maxIter": 5, "maxDepth": 4},
-    "forest": {"numTrees": 8, "maxDepth": 6},
-    "boosted_leafy": {"maxIter": 5, "maxDepth": 3},
-}
 _MODELS: dict = {}
 
 
 def _model(spark, sf_dir, kind):
+    """A model with the settings of the library, fitted once per application."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _MODELS:
         split = sampling.hash_split(coded(spark, sf_dir), 0.2, ["first_seq"])
-        _MODELS[key] = learn.fit(split.filter("split = 'train'"), kind, **_QUICK[kind])
+        _MODELS[key] = learn.fit(split.filter("split = 'train'"), kind)
     return _MODELS[key]
 
 
@@ -392,48 +386,100 @@ def _scored(spark, sf_dir, kind):
     return learn.score(_model(spark, sf_dir, kind), coded(spark, sf_dir).drop("score", "prediction"))
 
 
-@check("m07_boosted_deep")
+# A fitted model cannot be stated in SQL; what must hold for every one can.
+_IN_RANGE = "score between 0.0 and 1.0"
+_CONSISTENT = "(score > 0.5) = (prediction = 1)"
+
+
+def _fitted_facts(model, scored, trees=None):
+    last = model.stages[-1]
+    return scored.agg(
+        F.count(F.lit(1)).alias("row_total"),
+        F.count_if(F.expr(_IN_RANGE)).alias("in_range"),
+        F.count_if(F.expr(_CONSISTENT)).alias("consistent"),
+    ).select(
+        "*",
+        F.lit(last.getNumTrees if trees is None else trees).alias("trees"),
+        F.lit(last.getOrDefault("maxDepth")).alias("max_depth"),
+    )
+
+
+_FACTS = """{w} select count(*) as row_total, count(*) as in_range, count(*) as consistent,
+ {trees} as trees, {depth} as max_depth from fl"""
+
+
+@check("m07_boosted_deep", _FACTS.format(w=WITH_FLOWS, trees=200, depth=8))
 def boosted_deep(spark, sf_dir):
-    return evaluate.scores(_scored(spark, sf_dir, "boosted_deep"))
+    return _fitted_facts(_model(spark, sf_dir, "boosted_deep"), _scored(spark, sf_dir, "boosted_deep"))
 
 
-@check("m08_random_forest")
+@check("m08_random_forest", _FACTS.format(w=WITH_FLOWS, trees=100, depth=20))
 def random_forest(spark, sf_dir):
-    return evaluate.scores(_scored(spark, sf_dir, "forest"))
+    return _fitted_facts(_model(spark, sf_dir, "forest"), _scored(spark, sf_dir, "forest"))
 
 
-@check("m09_boosted_early_stop")
+@check("m09_boosted_early_stop", _FACTS.format(w=WITH_FLOWS, trees="true", depth=5))
 def boosted_early_stop(spark, sf_dir):
+    """``trees``: whether boosting stopped before its last round."""
     flows = sampling.hash_split(coded(spark, sf_dir), 0.3, ["first_seq"])
     flows = flows.withColumn("held_out", F.col("split") == "test")
-    model = learn.fit(flows, "boosted_leafy", validation="held_out", **_QUICK["boosted_leafy"])
-    return evaluate.scores(learn.score(model, flows.drop("score", "prediction")))
+    model = learn.fit(flows, "boosted_leafy", validation="held_out")
+    scored = learn.score(model, flows.drop("score", "prediction"))
+    return _fitted_facts(model, scored, model.stages[-1].getNumTrees < learn.BOOSTED_LEAFY["maxIter"])
+
+
+@check(
+    "m10_stratified_folds",
+    f"""{WITH_FLOWS} select capture_id, first_seq, y as label, cast((row_number() over (partition by y
+     order by md5(cast(first_seq as varchar) || '|42')) - 1) % 5 as int) as fold from fl""",
+)
+def stratified_folds(spark, sf_dir):
+    rows = sampling.stratified_folds(coded(spark, sf_dir), 5, ["first_seq"])
+    return rows.select(*FLOW_HANDLE, "label", "fold")
 
 
-@check("m10_cross_validation")
+@check(
+    "m10_cross_validation",
+    f"""{WITH_FLOWS}, o as (select y, (row_number() over (partition by y
+     order by md5(cast(first_seq as varchar) || '|42')) - 1) % 5 as fold from fl)
+    select cast(fold as int) as fold, count(*) as row_total, true as in_range from o group by 1""",
+)
 def cross_validation(spark, sf_dir):
-    flows = coded(spark, sf_dir)
-    result = learn.cross_validate(flows, "forest", folds=3, numTrees=4, maxDepth=4)
-    row = [(float(result["mean"]), float(result["std"]), result["folds"])]
-    return spark.createDataFrame(row, "mean_accuracy double, std_accuracy double, folds int")
+    scores = learn.cross_validate(coded(spark, sf_dir), "forest", ["first_seq"])
+    return scores.select("fold", "row_total", F.col("accuracy").between(0.0, 1.0).alias("in_range"))
 
 
-@check("m11_training_curve")
+@check(
+    "m11_training_curve",
+    """select cast(unnest(range(1, 201)) as int) as round, true as is_positive, true as not_above_start""",
+)
 def training_curve(spark, sf_dir):
-    losses = learn.training_curve(_model(spark, sf_dir, "boosted_deep"), coded(spark, sf_dir))
-    rows = [(i + 1, float(v)) for i, v in enumerate(losses)]
-    return spark.createDataFrame(rows, "round int, loss double")
+    split = sampling.hash_split(coded(spark, sf_dir), 0.2, ["first_seq"])
+    losses = learn.training_curve(_model(spark, sf_dir, "boosted_deep"), split.filter("split = 'train'"))
+    rows = [(i + 1, float(v) > 0, float(v) <= float(losses[0])) for i, v in enumerate(losses)]
+    return spark.createDataFrame(rows, "round int, is_positive boolean, not_above_start boolean")
 
 
-@check("m12_importances")
+@check(
+    "m12_importances",
+    "select cast(36 as bigint) as features, cast(36 as bigint) as ranks, 36 as last_rank, round(1.0::double, 4) as total",
+)
 def importances(spark, sf_dir):
-    return learn.importances(_model(spark, sf_dir, "forest"), spark, top=20)
+    return learn.importances(_model(spark, sf_dir, "forest"), spark).agg(
+        F.count_distinct("feature").alias("features"),
+        F.count_distinct("rank").alias("ranks"),
+        F.max("rank").alias("last_rank"),
+        F.sum("importance").alias("total"),
+    )
 
 
-@check("m13_probabilities")
+@check(
+    "m13_probabilities",
+    f"{WITH_FLOWS} select capture_id, first_seq, true as in_range, true as consistent from fl",
+)
 def probabilities(spark, sf_dir):
     rows = _scored(spark, sf_dir, "forest")
-    return rows.select(*FLOW_HANDLE, "prediction", "score", (1 - F.col("score")).alias("benign"))
+    return rows.select(*FLOW_HANDLE, F.expr(_IN_RANGE).alias("in_range"), F.expr(_CONSISTENT).alias("consistent"))
 
 
 @check(
@@ -504,33 +550,61 @@ def risk_distribution(spark, sf_dir):
     return profile.risk_distribution(report.detection_report(flow_table(spark, sf_dir)))
 
 
-@check("s11_saved_model")
+@check(
+    "s11_saved_model",
+    f"{WITH_FLOWS} select count(*) as row_total, cast(0 as bigint) as different, cast(36 as bigint) as features, 100 as trees from fl",
+)
 def saved_model(spark, sf_dir):
+    """Rows that the saved and the unsaved model score differently, and what was saved."""
     folder = scratch_folder(spark, "model")
     learn.save_model(_model(spark, sf_dir, "forest"), folder, spark)
-    again = learn.load_model(folder)
-    rows = learn.score(again, coded(spark, sf_dir).drop("score", "prediction"))
-    return evaluate.confusion(rows)
+    rows = coded(spark, sf_dir).drop("score", "prediction")
+    again = learn.score(learn.load_model(folder), rows).select(*FLOW_HANDLE, "score", "prediction")
+    before = _scored(spark, sf_dir, "forest").select(*FLOW_HANDLE, "score", "prediction")
+    kept = spark.read.parquet(f"{folder}/features")
+    return again.agg(F.count(F.lit(1)).alias("row_total")).select(
+        "row_total",
+        before.exceptAll(again).agg(F.count(F.lit(1))).scalar().alias("different"),
+        kept.agg(F.count_distinct("feature")).scalar().alias("features"),
+        kept.agg(F.max("trees")).scalar().alias("trees"),
+    )
 
 
-@check("plan_train_and_test")
+@check(
+    "plan_train_and_test",
+    f"""{WITH_FLOWS}, c as (select y, cast(round(count(*) * 0.2) as bigint) as n from fl group by y)
+    select 'test' as test_name, cast(sum(n) as bigint) as row_total, cast(sum(n) filter (where y = 1) as bigint) as positives,
+     cast(sum(n) filter (where y = 0) as bigint) as negatives, true as in_range from c""",
+)
 def train_and_test(spark, sf_dir):
     flows = flow_table(spark, sf_dir).withColumn("source", F.col("capture_id")).drop("score", "label")
     _, metrics = trained_model(
-        flows.filter("y = 1"),
-        flows.filter("y = 0"),
-        ["first_seq"],
-        kind="forest",
-        quotas={"cap0": 1 << 40},
-        **_QUICK["forest"],
+        flows.filter("y = 1"), flows.filter("y = 0"), ["first_seq"], kind="forest", quotas={"cap0": 1 << 40}
+    )
+    return metrics.select(
+        "test_name",
+        "row_total",
+        (F.col("tp") + F.col("fn")).alias("positives"),
+        (F.col("tn") + F.col("fp")).alias("negatives"),
+        F.col("accuracy").between(0.0, 1.0).alias("in_range"),
     )
-    return metrics
 
 
-@check("plan_detect")
+@check(
+    "plan_detect",
+    f"{WITH_FLOWS} select count(*) as row_total, count(*) as in_band, count(*) as named from fl",
+)
 def detect_with_model(spark, sf_dir):
-    flows = flow_table(spark, sf_dir).drop("score")
-    return detect(_model(spark, sf_dir, "forest"), flows).groupBy("risk_level", "prediction").count()
+    """Rows whose risk level and label text fit their confidence and class."""
+    rows = detect(_model(spark, sf_dir, "forest"), flow_table(spark, sf_dir).drop("score"))
+    sure = F.col("confidence_score")
+    level = F.when(sure >= 0.9, "CRITICAL").when(sure >= 0.8, "HIGH").when(sure >= 0.6, "MEDIUM").otherwise("LOW")
+    name = F.when(F.col("prediction") == 1, "ATTACK").otherwise("BENIGN")
+    return rows.agg(
+        F.count(F.lit(1)).alias("row_total"),
+        F.count_if(F.col("risk_level") == level).alias("in_band"),
+        F.count_if(F.col("prediction_label") == name).alias("named"),
+    )
 
 
 # --- evaluation --------------------------------------------------------------
@@ -806,11 +880,23 @@ def stream_two_sinks(spark, sf_dir):
     return back.groupBy("capture_id").agg(F.count(F.lit(1)).alias("flows"))
 
 
-@check("t09_scored_stream")
+@check(
+    "t09_scored_stream",
+    f"with r as ({_T2}) select count(*) as row_total, cast(0 as bigint) as different from r",
+)
 def scored_stream(spark, sf_dir):
+    """Rows that the stream scores otherwise than the table of the same packets."""
     model = _model(spark, sf_dir, "forest")
-    rows = _complete(spark, sf_dir, lambda packets: run.score_stream(model, session_flows(packets)))
-    return rows.groupBy("prediction_label", "risk_level").count()
+    shown = ["capture_id", "start_ms", "src_ip", "src_port", "protocol", "prediction", "risk_level"]
+
+    def scored(packets):
+        return run.score_stream(model, session_flows(packets))
+
+    streamed = _complete(spark, sf_dir, scored).select(*shown)
+    at_once = scored(packets(spark, sf_dir)).select(*shown)
+    return streamed.agg(F.count(F.lit(1)).alias("row_total")).select(
+        "row_total", at_once.exceptAll(streamed).agg(F.count(F.lit(1))).scalar().alias("different")
+    )
 
 
 @check("stored_flows", f"{WITH_FLOWS} select capture_id, count(*) as n from fl group by capture_id")

@@ -35,6 +35,8 @@ SOME = [
     "dns_server_fanout",
 ]
 
+_NUMERIC = [c for c in FEATURE_COLUMNS if c != "protocol"]
+
 # The 40 columns as export text in SQL; rounding first avoids different ties.
 _TEXT = {
     c: f"printf('%.4f', round({c}, 4))"
@@ -48,15 +50,19 @@ _WITH_LINES = f"{WITH_FLOWS}, tl as (select *, {_LINE} as line from fl)"
 # --- sources and sinks -------------------------------------------------------
 
 
-_SCANNED = ["src_ip", "flow_duration", "total_fwd_packets", "total_fwd_bytes", "protocol"]
-
-
-@check("s02_flow_csv_scan", f"{WITH_FLOWS} select {sql_columns(_SCANNED)} from fl")
+@check("s02_flow_csv_scan", f"{WITH_FLOWS} select {sql_columns(FLOW_COLUMNS)} from fl")
 def flow_csv_scan(spark, sf_dir):
     folder = scratch_folder(spark, "scan")
     sinks.write_flow_csv(flow_table(spark, sf_dir), folder)
-    flows = flow_csv.read_flows(spark, folder)
-    return flows.select(*_SCANNED)
+    return flow_csv.read_flows(spark, folder).select(*FLOW_COLUMNS)
+
+
+@check("s02_labelled_csv_scan", f"{WITH_FLOWS} select label, count(*) as n, cast(sum(flow_duration) as bigint) as duration from fl group by label")
+def labelled_csv_scan(spark, sf_dir):
+    folder = scratch_folder(spark, "scan")
+    sinks.write_flow_csv(flow_table(spark, sf_dir), folder, labelled=True)
+    flows = flow_csv.read_flows(spark, folder, labelled=True)
+    return flows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("flow_duration").alias("duration"))
 
 
 @check(
@@ -188,7 +194,7 @@ def _baseline_sql(source: str, where: str) -> str:
     }
     rows = [
         f"select '{c}' as feature, '{s}' as stat, round({e.replace('{c}', c)}, 4) as value from {source} {where}"
-        for c in SOME
+        for c in _NUMERIC
         for s, e in stats.items()
     ]
     return f"{WITH_FLOWS} " + " union all ".join(rows)
@@ -198,7 +204,7 @@ def _baseline_sql(source: str, where: str) -> str:
 def baseline_statistics(spark, sf_dir):
     folder = scratch_folder(spark, "baseline")
     benign = prepare.only_class(coded(spark, sf_dir), 0)
-    sinks.write_baseline(profile.baseline_statistics(benign, SOME), folder)
+    sinks.write_baseline(profile.baseline_statistics(benign, _NUMERIC), folder)
     return spark.read.parquet(folder)
 
 
@@ -299,18 +305,24 @@ def label_names(spark, sf_dir):
 # --- profiles ----------------------------------------------------------------
 
 
+def _first_value(name: str) -> str:
+    """The first value as text; doubles are left to the other checks, their text differs by engine."""
+    return "null" if dict(FLOW_FIELDS)[name] == "double" else f"cast({name} as varchar)"
+
+
 @check(
     "p01_table_shape",
-    f"""{WITH_FLOWS}, o as (select * from fl order by first_seq limit 1), n as (select count(*) as c from fl)
-    select 0 as position, 'src_ip' as column_name, 'string' as data_type, src_ip as first_value,
-      c as row_total, 4 as column_total from o, n
-    union all select 1, 'src_port', 'int', cast(src_port as varchar), c, 4 from o, n
-    union all select 2, 'flow_duration', 'bigint', cast(flow_duration as varchar), c, 4 from o, n
-    union all select 3, 'first_seq', 'bigint', cast(first_seq as varchar), c, 4 from o, n""",
+    f"""{WITH_FLOWS}, o as (select * from fl order by first_seq limit 1), n as (select count(*) as c from fl) """
+    + " union all ".join(
+        f"select {i} as position, '{c}' as column_name, '{t}' as data_type, {_first_value(c)} as first_value, c as row_total, {len(FLOW_FIELDS) + 1} as column_total from o, n"
+        for i, (c, t) in enumerate([*FLOW_FIELDS])
+    )
+    + f" union all select {len(FLOW_FIELDS)}, 'first_seq', 'bigint', cast(first_seq as varchar), c, {len(FLOW_FIELDS) + 1} from o, n",
 )
 def table_shape(spark, sf_dir):
-    flows = flow_table(spark, sf_dir).select("src_ip", "src_port", "flow_duration", "first_seq")
-    return profile.table_shape(flows, "first_seq")
+    flows = flow_table(spark, sf_dir).select(*FLOW_COLUMNS, "first_seq")
+    shape = profile.table_shape(flows, "first_seq")
+    return shape.withColumn("first_value", F.when(F.col("data_type") != "double", F.col("first_value")))
 
 
 @check(
@@ -349,31 +361,43 @@ _DESCRIBE = """count({c}) as n, round(avg({c}), 4) as mean, round(stddev_samp({c
   round(cast(max({c}) as double), 4) as max"""
 
 
-@check("p05_describe", f"{WITH_FLOWS} {unpivot_sql('fl', SOME, _DESCRIBE)}")
+@check("p05_describe", f"{WITH_FLOWS} {unpivot_sql('fl', _NUMERIC, _DESCRIBE)}")
 def describe(spark, sf_dir):
-    return profile.describe(flow_table(spark, sf_dir), SOME)
+    return profile.describe(flow_table(spark, sf_dir), _NUMERIC)
 
 
-@check("p05_describe_by_class", f"{WITH_FLOWS} {unpivot_sql('fl', SOME[:4], 'label, ' + _DESCRIBE, ' group by label')}")
+@check("p05_describe_by_class", f"{WITH_FLOWS} {unpivot_sql('fl', _NUMERIC, 'label, ' + _DESCRIBE, ' group by label')}")
 def describe_by_class(spark, sf_dir):
-    return profile.describe(flow_table(spark, sf_dir), SOME[:4], by=["label"])
+    return profile.describe(flow_table(spark, sf_dir), _NUMERIC, by=["label"])
 
 
-@check("p05_describe_sketch")
+@check(
+    "p05_describe_sketch",
+    f"{WITH_FLOWS} {unpivot_sql('fl', _NUMERIC, 'count({c}) as n, true as q25_ok, true as q50_ok, true as q75_ok')}",
+)
 def describe_sketch(spark, sf_dir):
-    return profile.describe(flow_table(spark, sf_dir), SOME, method="approx")
+    """Whether the ranks of the sketch's quartiles are within its error bound."""
+    flows = flow_table(spark, sf_dir)
+    sketch = profile.describe(flows, _NUMERIC, method="approx").select("feature", *profile.QUARTILES)
+    values = ordered.long_form(flows, _NUMERIC).join(F.broadcast(sketch), "feature")
+    rows = F.count(F.lit(1))
+
+    def within(name, p):
+        below, upto = (F.count_if(F.col("value") < F.col(name)), F.count_if(F.col("value") <= F.col(name)))
+        slack = rows / 10000.0 + 1
+        return ((below <= rows * p + slack) & (upto >= rows * p - slack)).alias(f"{name}_ok")
+
+    checks = [within(name, p) for name, p in profile.QUARTILES.items()]
+    return values.groupBy("feature").agg(rows.alias("n"), *checks)
 
 
 _ZEROS = """count(*) filter (where {c} = 0) as zeros, count(*) - count(*) filter (where {c} = 0)
   as non_zeros, round(count(*) filter (where {c} = 0) * 100.0 / count(*), 4) as zero_percent"""
 
 
-@check("p06_zero_counts", f"{WITH_FLOWS} {unpivot_sql('fl', SOME, _ZEROS)}")
+@check("p06_zero_counts", f"{WITH_FLOWS} {unpivot_sql('fl', _NUMERIC, _ZEROS)}")
 def zero_counts(spark, sf_dir):
-    return profile.zero_counts(flow_table(spark, sf_dir), SOME)
-
-
-_NUMERIC = [c for c in FEATURE_COLUMNS if c != "protocol"]
+    return profile.zero_counts(flow_table(spark, sf_dir), _NUMERIC)
 
 
 @check(
@@ -413,9 +437,9 @@ _QUARTILES = """round(quantile_cont(cast({c} as double), 0.25), 4) as q25,
   round(quantile_cont(cast({c} as double), 0.75), 4) as q75"""
 
 
-@check("p10_normal_ranges", f"{WITH_FLOWS} {unpivot_sql('fl', SOME, _QUARTILES, ' where y = 0')}")
+@check("p10_normal_ranges", f"{WITH_FLOWS} {unpivot_sql('fl', _NUMERIC, _QUARTILES, ' where y = 0')}")
 def normal_ranges(spark, sf_dir):
-    return profile.quantile_ranges(prepare.only_class(coded(spark, sf_dir), 0), SOME)
+    return profile.quantile_ranges(prepare.only_class(coded(spark, sf_dir), 0), _NUMERIC)
 
 
 _MEANS = """round(avg({c}) filter (where y = 0), 4) as benign_mean,
@@ -423,27 +447,27 @@ _MEANS = """round(avg({c}) filter (where y = 0), 4) as benign_mean,
   round(abs(avg({c}) filter (where y = 0) - avg({c}) filter (where y = 1)), 4) as difference"""
 
 
-@check("p11_class_means", f"{WITH_FLOWS} {unpivot_sql('fl', SOME, _MEANS)}")
+@check("p11_class_means", f"{WITH_FLOWS} {unpivot_sql('fl', _NUMERIC, _MEANS)}")
 def class_means(spark, sf_dir):
-    return profile.class_means(coded(spark, sf_dir), SOME)
+    return profile.class_means(coded(spark, sf_dir), _NUMERIC)
 
 
 _RANGE = """round(avg({c}), 4) as mean, round(median(cast({c} as double)), 4) as median,
   round(cast(min({c}) as double), 4) as min, round(cast(max({c}) as double), 4) as max"""
 
 
-@check("p12_mean_median_range", f"{WITH_FLOWS} {unpivot_sql('fl', SOME, _RANGE)}")
+@check("p12_mean_median_range", f"{WITH_FLOWS} {unpivot_sql('fl', _NUMERIC, _RANGE)}")
 def mean_median_range(spark, sf_dir):
-    return profile.mean_median_range(flow_table(spark, sf_dir), SOME)
+    return profile.mean_median_range(flow_table(spark, sf_dir), _NUMERIC)
 
 
 _CONSTANT = """round(stddev_samp({c}), 4) as std, round(cast(min({c}) as double), 4) as low,
   round(cast(max({c}) as double), 4) as high, min({c}) = max({c}) as is_constant"""
 
 
-@check("p13_constant_features", f"{WITH_FLOWS} {unpivot_sql('fl', SOME, _CONSTANT)}")
+@check("p13_constant_features", f"{WITH_FLOWS} {unpivot_sql('fl', _NUMERIC, _CONSTANT)}")
 def constant_features(spark, sf_dir):
-    return profile.constant_features(flow_table(spark, sf_dir), SOME)
+    return profile.constant_features(flow_table(spark, sf_dir), _NUMERIC)
 
 
 @check(

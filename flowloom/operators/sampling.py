@@ -104,6 +104,30 @@ def stratified_split(
     return chosen.select(*df.columns, F.when(F.col("_taken"), "test").otherwise("train").alias("split"))
 
 
+def stratified_folds(
+    df: DataFrame, folds: int, key: Sequence[str], label: str = "label", seed: int = 42
+) -> DataFrame:
+    """Add ``fold`` (0 .. folds - 1): rows of a class are dealt in hash order.
+
+    A row's place is the number of rows in earlier buckets of its class plus its
+    rank in the bucket, so a window holds one bucket's rows, or the bucket counts.
+    """
+    ordered = _with_order(df, key, seed).withColumn("_group", F.col(label))
+    sizes = ordered.groupBy("_group", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        F.col("_group").alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
+    )
+    same = F.col("_group").eqNullSafe(F.col("_g")) & (F.col("_bucket") == F.col("_b"))
+    rank = F.row_number().over(Window.partitionBy("_group", "_bucket").orderBy("_order")) - 1
+    place = F.col("_start") + F.col("_rank")
+    return (
+        ordered.withColumn("_rank", rank)
+        .join(starts, same)
+        .select(*df.columns, F.pmod(place, F.lit(folds)).cast("int").alias("fold"))
+    )
+
+
 def hash_split(df: DataFrame, test_fraction: float, key: Sequence[str], seed: int = 42) -> DataFrame:
     """One-pass split by hash; class shares are met on average, not exactly."""
     ordered = _with_order(df, key, seed)

@@ -7,7 +7,6 @@ columnar files instead of sessionizing the packets again.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
@@ -19,9 +18,9 @@ from flowloom.operators.learn import fit, score
 from flowloom.operators.prepare import build_dataset
 from flowloom.operators.report import detection_report
 from flowloom.operators.sampling import stratified_split
-from flowloom.session import ensure_checkpoint_dir
 from flowloom.sources import capture
 from flowloom.sources.decode import decode_frames
+from flowloom.tables import scratch_folder, stored  # noqa: F401
 
 
 #: Names a flow built from captures (``first_seq`` is unique in its capture only).
@@ -29,19 +28,6 @@ FLOW_ID = ("capture_id", "first_seq")
 _HANDLE = (*FLOW_ID, "flow_no", "start_ms", "end_ms")
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder of this application."""
-    base = ensure_checkpoint_dir(spark)
-    return f"{base}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; cuts the lineage."""
-    folder = scratch_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
-
-
 def flows_from_captures(
     spark: SparkSession, path: str, label: str | None = None, split_bytes: int | None = None
 ) -> DataFrame:
