@@ -47,6 +47,7 @@ from flowloom.operators.packets import (
     valid_packets,
     with_flow_key,
 )
+from flowloom.operators.sessions import HotKeyPolicy, assign_flows
 from flowloom.sources.decode import decode_frames, skipped_summary
 
 _BASE = ["capture_id", "seq", "ts_ms", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "len"]
@@ -161,6 +162,14 @@ def flow_numbers(spark, sf_dir):
     return assigned(spark, sf_dir).select("capture_id", "seq", "flow_no", "is_new")
 
 
+@check("k02_flow_numbers_split", f"{WITH_ASSIGNED} select capture_id, seq, flow_no, is_new, is_fwd from pa")
+def flow_numbers_split(spark, sf_dir):
+    """Conversations of three packets or more are cut into chunks of the arrival order."""
+    policy = HotKeyPolicy(min_rows=3, one_in=1, chunk_span=4096)
+    rows = assign_flows(packets(spark, sf_dir), policy=policy)
+    return rows.select("capture_id", "seq", "flow_no", "is_new", "is_fwd")
+
+
 @check("k03_orientation", f"{WITH_ASSIGNED} select capture_id, seq, is_fwd from pa")
 def orientation(spark, sf_dir):
     return assigned(spark, sf_dir).select("capture_id", "seq", "is_fwd")

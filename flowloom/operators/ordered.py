@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 256
+#: Chunks that one window takes when something is carried over chunks.
+CHUNKS_PER_BLOCK = 4096
 
 
 def _bucketed(counted: DataFrame, group: list[str], value: str, buckets: int) -> DataFrame:
@@ -114,6 +116,49 @@ def approximate_quantiles(
     )
 
 
+def before_chunks(
+    chunks: DataFrame, keys: Sequence[str], columns: dict[str, tuple[str, str]]
+) -> DataFrame:
+    """Add to each row of ``(keys..., chunk)`` what the earlier chunks of its keys come to.
+
+    ``columns`` maps a new name to ``("sum" | "max" | "last", column)``; "last" is
+    the latest non-NULL value. Chunks are taken in blocks, so that no window holds
+    more than one block's chunks, or all blocks.
+    """
+    keys = list(keys)
+    blocked = chunks.withColumn("_block", F.floor(F.col("chunk") / F.lit(CHUNKS_PER_BLOCK)))
+    inside = Window.partitionBy("_block", *keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def whole(kind: str, column: str) -> Column:
+        if kind == "last":
+            latest = F.struct(F.col("chunk"), F.col(column).alias("value"))
+            return F.max(F.when(F.col(column).isNotNull(), latest))["value"]
+        return {"sum": F.sum, "max": F.max}[kind](column)
+
+    def running(kind: str, column: str, window) -> Column:
+        if kind == "last":
+            return F.last(column, ignorenulls=True).over(window)
+        return {"sum": F.sum, "max": F.max}[kind](column).over(window)
+
+    def both(kind: str, first: Column, second: Column) -> Column:
+        if kind == "sum":
+            return F.coalesce(first, F.lit(0)) + F.coalesce(second, F.lit(0))
+        return F.greatest(first, second) if kind == "max" else F.coalesce(second, first)
+
+    blocks = blocked.groupBy("_block", *keys).agg(
+        *[whole(kind, c).alias(f"_{name}") for name, (kind, c) in columns.items()]
+    )
+    starts = blocks.select(
+        "_block", *keys, *[running(kind, f"_{name}", across).alias(f"_{name}") for name, (kind, _) in columns.items()]
+    )
+    placed = blocked.join(starts, ["_block", *keys])
+    added = {
+        name: both(kind, F.col(f"_{name}"), running(kind, c, inside)) for name, (kind, c) in columns.items()
+    }
+    return placed.withColumns(added).drop("_block", *[f"_{name}" for name in columns])
+
+
 def changes_in_order(df: DataFrame, order: str, value: str, span: int = 1 << 20) -> DataFrame:
     """One row: rows, value changes in the given order, whether it looks shuffled.
 
@@ -134,8 +179,10 @@ def changes_in_order(df: DataFrame, order: str, value: str, span: int = 1 << 20)
         F.min_by("val", "pos").alias("first_val"),
         F.max_by("val", "pos").alias("last_val"),
     )
-    seam = F.lag("last_val").over(Window.orderBy("chunk"))
-    seamed = per_chunk.withColumn("seam", F.coalesce(F.col("first_val") != seam, F.lit(True)))
+    ended = per_chunk.withColumn("ended", F.struct("last_val"))
+    carried = before_chunks(ended, [], {"before": ("last", "ended")})
+    seam = F.col("first_val") != F.col("before.last_val")
+    seamed = carried.withColumn("seam", F.coalesce(seam, F.lit(True)))
     counted = seamed.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_total"),
         (

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.columns import sample_order
+from flowloom.operators.ordered import before_chunks, changes_in_order, running_totals
 
 _DIGITS = 5
 
@@ -146,8 +147,6 @@ def shuffle_if_sorted(
     df: DataFrame, order: str, label: str, key: Sequence[str], seed: int = 42
 ) -> DataFrame:
     """Shuffle only if the labels come in long runs; decided from one summary row."""
-    from flowloom.operators.ordered import changes_in_order
-
     state = changes_in_order(df, order, label).first()
     return df if state["is_shuffled"] else shuffle_rows(df, key, seed)
 
@@ -164,8 +163,8 @@ def pick_positions(df: DataFrame, order: str, span: int = 1 << 20) -> DataFrame:
     """
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(span)))
     sizes = chunked.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    sizes = before_chunks(sizes.withColumnRenamed("_chunk", "chunk"), [], {"_before": ("sum", "_n")})
+    sizes = sizes.withColumnRenamed("chunk", "_chunk")
     total = sizes.agg(F.sum("_n").alias("t")).scalar()
     wanted = F.array(
         F.struct(F.lit("top").alias("pick"), F.lit(0).cast("bigint").alias("at")),
@@ -193,8 +192,6 @@ def pick_positions(df: DataFrame, order: str, span: int = 1 << 20) -> DataFrame:
 
 def one_per_third(df: DataFrame, order: str, key: Sequence[str], seed: int = 42) -> DataFrame:
     """One random row from each third of the table in order."""
-    from flowloom.operators.ordered import running_totals
-
     counted = df.groupBy(order).agg(F.count(F.lit(1)).alias("n"))
     ranked = running_totals(counted, [], order, ["n"])
     total = df.agg(F.count(F.lit(1)).alias("t")).scalar()

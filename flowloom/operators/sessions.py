@@ -20,7 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.operators.ordered import before_chunks
 from flowloom.operators.packets import FLOW_KEY, packet_facts, valid_packets, with_flow_key
+from flowloom.tables import stored
 
 # Fixed value: a gap of exactly this long still belongs to the flow.
 IDLE_TIMEOUT_MS = 120000
@@ -34,16 +36,12 @@ class HotKeyPolicy:
     ``one_in``: packets looked at to find hot keys, chosen by a hash of the
     packet's identity. This only routes: both routes give the same rows, so
     the estimate cannot change a result.
-    ``max_keys``: bound of the broadcast routing table. The hottest keys are
-    listed first; a key beyond it has at most ``1 / max_keys`` of all rows and
-    takes the ordinary route.
     ``chunk_span``: width of a chunk in units of ``seq``; with ``seq`` unique in
     a capture no window group holds more rows than that.
     """
 
     min_rows: int = 1 << 22
     one_in: int = 1024
-    max_keys: int = 10_000
     chunk_span: int = 1 << 20
 
 
@@ -51,27 +49,19 @@ DEFAULT_POLICY = HotKeyPolicy()
 
 
 def hot_keys(packets: DataFrame, policy: HotKeyPolicy = DEFAULT_POLICY) -> DataFrame | None:
-    """Keys of hot conversations as a small local table, or None if there are none.
+    """All keys of hot conversations as a stored table, or None if there are none.
 
-    Runs one narrow job (key columns of one packet in ``one_in``) and brings at
-    most ``max_keys`` keys to the driver, so the routing is fixed before the
-    actual plan is built.
+    Runs one narrow job (key columns of one packet in ``one_in``), so the routing
+    is fixed before the actual plan is built. Spark broadcasts the table where
+    its stored size allows that and joins it by shuffle otherwise.
     """
     keyed = with_flow_key(packets)
     if policy.one_in > 1:
         keyed = keyed.filter(F.pmod(F.xxhash64("capture_id", "seq"), F.lit(policy.one_in)) == 0)
-    found = (
-        keyed.groupBy(*FLOW_KEY)
-        .count()
-        .filter(F.col("count") >= max(1, policy.min_rows // policy.one_in))
-        .orderBy(F.col("count").desc())
-        .limit(policy.max_keys)
-        .drop("count")
-    )
-    rows = found.collect()
-    if not rows:
-        return None
-    return F.broadcast(packets.sparkSession.createDataFrame(rows, found.schema))
+    counted = keyed.groupBy(*FLOW_KEY).count()
+    hot = counted.filter(F.col("count") >= max(1, policy.min_rows // policy.one_in))
+    table = stored(hot.drop("count"), "hot-keys")
+    return None if table.isEmpty() else table
 
 
 def _mark_starts(packets: DataFrame, part: list[str], timeout_ms: int, carried: bool) -> DataFrame:
@@ -157,64 +147,65 @@ def _ordinary(facts: DataFrame, timeout_ms: int) -> DataFrame:
 
 
 def _chunked(facts: DataFrame, timeout_ms: int, span: int) -> DataFrame:
+    """Flow columns chunk by chunk. ``facts`` is a stored table, for it is read twice.
+
+    The hot rows are shuffled three times: to number flows inside the chunks
+    (stored), for the gaps, and for the open transactions. All else are chunk
+    summaries.
+    """
     part = ["chunk", *FLOW_KEY]
-    chunks = Window.partitionBy(*FLOW_KEY).orderBy("chunk")
-    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
     facts = facts.withColumn("chunk", F.floor(F.col("seq") / F.lit(span)))
 
     # Latest time before each chunk.
-    top = facts.groupBy(*part).agg(F.max("ts_ms").alias("top_ms"))
-    top = top.select(*part, F.struct(F.max("top_ms").over(earlier).alias("top_ms")).alias("carry"))
+    top = facts.groupBy(*part).agg(F.max("ts_ms").alias("chunk_top"))
+    top = before_chunks(stored(top, "tops"), FLOW_KEY, {"top_ms": ("max", "chunk_top")})
+    top = top.select(*part, F.struct("top_ms").alias("carry"))
     marked = _mark_starts(facts.join(top, part, "left"), part, timeout_ms, carried=True)
-    marked = marked.drop("carry")
+
+    # Flows are numbered inside the chunks first.
+    local = stored(_number(marked.drop("carry"), part, F.lit(0), F.lit(None).cast("boolean")), "chunks")
 
     # Flow number, direction and last packet per direction before each chunk.
-    local = _number(marked, part, F.lit(0), F.lit(None).cast("boolean"))
     by_seq = F.struct("seq", "flow_no", "ts_ms")
     ends = local.groupBy(*part).agg(
         F.sum(F.col("is_new").cast("long")).alias("starts"),
-        F.max(F.when(F.col("is_new"), F.struct("seq", "rev"))).alias("last_start"),
+        F.max(F.when(F.col("is_new"), F.struct("seq", "rev")))["rev"].alias("last_start_rev"),
         F.max(F.when(~F.col("rev"), by_seq)).alias("last_fwd"),
         F.max(F.when(F.col("rev"), by_seq)).alias("last_rev"),
     )
-    ends = ends.withColumn("base", F.coalesce(F.sum("starts").over(earlier), F.lit(0)))
+    ends = stored(before_chunks(stored(ends, "ends"), FLOW_KEY, {"base": ("sum", "starts")}), "ends")
 
     def numbered_end(name: str) -> Column:
         end = F.col(name)
-        return F.when(
-            end.isNotNull(),
-            F.struct(
-                (F.col("base") + end["flow_no"]).alias("flow_no"), end["ts_ms"].alias("ts_ms")
-            ),
-        )
-
-    ends = ends.withColumns({"fwd": numbered_end("last_fwd"), "back": numbered_end("last_rev")})
-    carry = ends.select(
-        *part,
-        F.struct(
-            F.col("base"),
-            F.last("last_start.rev", ignorenulls=True).over(earlier).alias("open_rev"),
-            F.last("fwd", ignorenulls=True).over(earlier).alias("fwd"),
-            F.last("back", ignorenulls=True).over(earlier).alias("rev"),
-        ).alias("carry"),
+        number = (F.col("base") + end["flow_no"]).alias("flow_no")
+        return F.when(end.isNotNull(), F.struct(number, end["ts_ms"].alias("ts_ms")))
+
+    ends = ends.withColumns({"end_fwd": numbered_end("last_fwd"), "end_rev": numbered_end("last_rev")})
+    carried = {
+        "open_rev": ("last", "last_start_rev"),
+        "fwd": ("last", "end_fwd"),
+        "back": ("last", "end_rev"),
+    }
+    carry = before_chunks(ends, FLOW_KEY, carried).select(
+        *part, F.struct("base", "open_rev", "fwd", F.col("back").alias("rev")).alias("carry")
     )
-    numbered = _number(
-        marked.join(carry, part, "left"), part, F.col("carry.base"), F.col("carry.open_rev")
+    numbered = local.join(stored(carry, "carries"), part, "left").withColumns(
+        {
+            "flow_no": F.col("carry.base") + F.col("flow_no"),
+            "flow_rev": F.coalesce("flow_rev", F.col("carry.open_rev")),
+        }
     )
     gapped = _gaps(numbered, part, carried=True).drop("carry")
 
     # Last DNS packet per transaction id before each chunk.
-    seen = F.struct("seq", "flow_no", "ts_ms", "is_response")
     last_dns = (
-        gapped.filter(F.col("dns_id").isNotNull())
+        numbered.filter(F.col("dns_id").isNotNull())
         .groupBy(*part, "dns_id")
-        .agg(F.max(seen).alias("last"))
+        .agg(F.max(F.struct("seq", "flow_no", "ts_ms", "is_response")).alias("last"))
     )
-    by_id = Window.partitionBy(*FLOW_KEY, "dns_id").orderBy("chunk")
-    dns_carry = last_dns.select(
-        *part,
-        "dns_id",
-        F.lag(F.struct("last.flow_no", "last.ts_ms", "last.is_response")).over(by_id).alias("open"),
+    dns_carry = before_chunks(stored(last_dns, "open"), [*FLOW_KEY, "dns_id"], {"earlier": ("last", "last")})
+    dns_carry = dns_carry.select(
+        *part, "dns_id", F.struct("earlier.flow_no", "earlier.ts_ms", "earlier.is_response").alias("open")
     )
     paired = _pair(gapped.join(dns_carry, part + ["dns_id"], "left"), part, F.col("open"))
     return paired.drop("chunk", "open")
@@ -232,9 +223,13 @@ def flow_parts(
     hot = hot_keys(packets, policy) if policy else None
     if hot is None:
         return [_ordinary(facts, timeout_ms)]
+    # The packets are read and decoded once for both routes.
+    routed = facts.join(hot.withColumn("is_hot", F.lit(True)), FLOW_KEY, "left")
+    routed = routed.withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
+    table = stored(routed, "facts", by="is_hot")
     return [
-        _ordinary(facts.join(hot, FLOW_KEY, "left_anti"), timeout_ms),
-        _chunked(facts.join(hot, FLOW_KEY, "left_semi"), timeout_ms, policy.chunk_span),
+        _ordinary(table.filter(~F.col("is_hot")).drop("is_hot"), timeout_ms),
+        _chunked(table.filter("is_hot").drop("is_hot"), timeout_ms, policy.chunk_span),
     ]
 
 

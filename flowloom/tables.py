@@ -15,8 +15,12 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back; cuts the lineage."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back; cuts the lineage.
+
+    ``by`` names a column whose values get folders of their own.
+    """
     folder = scratch_folder(df.sparkSession, name)
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

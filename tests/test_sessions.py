@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.operators.flow_features import flow_features
+from flowloom.operators import ordered
 from flowloom.operators.sessions import HotKeyPolicy, assign_flows, flow_parts, hot_keys
 from flowloom.schemas import FLOW_COLUMNS, PACKET_SCHEMA
 from flowloom.sources.events import load_packets
@@ -14,7 +15,7 @@ from tests.model import packet
 
 T0 = 1704067200000
 # Every key is hot and chunks are tiny: flows cross many chunk borders.
-FORCED = HotKeyPolicy(min_rows=1, one_in=1, max_keys=1000, chunk_span=3)
+FORCED = HotKeyPolicy(min_rows=1, one_in=1, chunk_span=3)
 
 
 def table(spark, rows):
@@ -84,16 +85,36 @@ def test_chunked_route_matches_model(spark, seed):
 def test_mixed_routes_match_model(spark):
     rows = random_rows(5)
     rows += [packet(1000 + i, T0 + i * 700, length=70 + i % 9) for i in range(300)]
-    policy = HotKeyPolicy(min_rows=100, one_in=1, max_keys=2, chunk_span=32)
+    policy = HotKeyPolicy(min_rows=100, one_in=1, chunk_span=32)
     assert len(flow_parts(table(spark, rows), policy=policy)) == 2
     compare(spark, rows, policy)
 
 
-def test_route_bound_lists_hottest_keys_first(spark):
+def test_carries_over_blocks_of_chunks_match_model(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNKS_PER_BLOCK", 5)
+    compare(spark, random_rows(7), FORCED)
+
+
+def test_every_hot_key_is_listed(spark):
     rows = [packet(i, T0 + i, sp=40000 + (0 if i < 60 else i % 3)) for i in range(120)]
-    found = hot_keys(table(spark, rows), HotKeyPolicy(min_rows=10, one_in=1, max_keys=1))
-    assert found.count() == 1
-    assert found.first()["ep_lo"]["port"] == 40000
+    found = hot_keys(table(spark, rows), HotKeyPolicy(min_rows=10, one_in=1))
+    assert sorted(r.ep_lo.port for r in found.collect()) == [40000, 40001, 40002]
+
+
+def test_hot_route_reads_stored_rows_only(spark):
+    rows = [packet(i, T0 + i * 10) for i in range(300)]
+    policy = HotKeyPolicy(min_rows=10, one_in=1, chunk_span=64)
+    hot = flow_parts(table(spark, rows), policy=policy)[1]
+    text = plan_of(hot)
+    # None of the scans is the source; the open transactions are chunk summaries.
+    assert "Scan ExistingRDD" not in text and "LocalTableScan" not in text
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffles = [line for line in plan_of(flow_parts(table(spark, rows), policy=policy)[1]).splitlines() if "Exchange hashpartitioning" in line]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Two of hot rows (gaps, transactions), six of chunk summaries; numbering is stored before.
+    assert len(shuffles) <= 8
 
 
 def test_no_hot_keys_means_one_part(spark):

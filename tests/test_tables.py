@@ -224,3 +224,16 @@ def test_second_sink_failure_is_not_fatal(spark, folder):
     assert seen == [(1, 7)]
     with pytest.raises(OSError, match="gone"):
         sinks.tee(broken, lambda *_: None)(spark.range(5))
+
+
+@pytest.mark.parametrize("per_block", [1, 3, 1000])
+def test_before_chunks_for_every_block_size(spark, monkeypatch, per_block):
+    monkeypatch.setattr(ordered, "CHUNKS_PER_BLOCK", per_block)
+    rows = [(g, c * 2, (c * 7) % 5, None if c % 3 else c) for g in "ab" for c in range(11)]
+    table = spark.createDataFrame(rows, "g string, chunk bigint, n int, v int")
+    wanted = {"total": ("sum", "n"), "top": ("max", "n"), "seen": ("last", "v")}
+    for row in ordered.before_chunks(table, ["g"], wanted).collect():
+        earlier = [r for r in rows if r[0] == row.g and r[1] < row.chunk]
+        assert row.total == sum(r[2] for r in earlier)
+        assert row.top == max((r[2] for r in earlier), default=None)
+        assert row.seen == next((r[3] for r in reversed(earlier) if r[3] is not None), None)
