@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,3 +79,35 @@ def frames_from_packets(packets: DataFrame) -> DataFrame:
         F.unhex(padded).alias("frame"),
         F.lit("ok").alias("status"),
     )
+
+
+#: Packets of one capture file; its number and the offset in it give their order.
+FILE_SPAN = 4096
+
+
+def write_captures(frames: DataFrame, folder: str, big_endian: str, damaged: str) -> None:
+    """Capture files ``<capture>-<number>.pcap``, each of a bounded piece of a capture.
+
+    The capture ``big_endian`` is written in the other byte order. The file
+    ``damaged`` begins with a record whose length cannot be right.
+    """
+    from pyarrow import fs
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        capture, number = key
+        order = ">" if capture == big_endian else "<"
+        name = f"{capture}-{number}"
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        rows = rows.sort_values("seq")
+        with system.open_output_stream(f"{base}/{name}.pcap") as out:
+            out.write(struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
+            if name == damaged:
+                out.write(struct.pack(order + "4I", 0, 0, 1 << 30, 60) + bytes(60))
+            for ts, size, frame in zip(rows["ts_ms"], rows["orig_len"], rows["frame"]):
+                out.write(struct.pack(order + "4I", ts // 1000, ts % 1000 * 1000, len(frame), size) + frame)
+        return pd.DataFrame({"records": [len(rows)]})
+
+    number = F.floor(F.col("seq") / F.lit(FILE_SPAN)).alias("number")
+    written = frames.groupBy("capture_id", number).applyInPandas(write, "records bigint")
+    written.agg(F.sum("records")).first()

@@ -19,7 +19,7 @@ from flowchecks.base import (
     packets,
     r4,
 )
-from flowchecks.frames import frames_from_packets
+from flowchecks.frames import frames_from_packets, write_captures
 from flowloom.functions.columns import (
     confidence_band,
     dns_flag,
@@ -48,7 +48,10 @@ from flowloom.operators.packets import (
     with_flow_key,
 )
 from flowloom.operators.sessions import HotKeyPolicy, assign_flows
+from flowloom.plans.flow_tables import FLOW_ID
+from flowloom.sources import capture
 from flowloom.sources.decode import decode_frames, skipped_summary
+from flowloom.tables import scratch_folder
 
 _BASE = ["capture_id", "seq", "ts_ms", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "len"]
 
@@ -100,6 +103,58 @@ def skipped_frames(spark, sf_dir):
     return skipped_summary(decode_frames(frames_from_packets(packets(spark, sf_dir))))
 
 
+def _captured(spark, sf_dir):
+    """The packets as capture files, read back in ranges of 64 KiB."""
+    folder = f"{scratch_folder(spark, 'captures')}/in"
+    write_captures(frames_from_packets(packets(spark, sf_dir)), folder, "cap1", "cap0-0")
+    capture.register(spark)
+    frames = spark.read.format("capture").option("splitBytes", "65536").load(folder)
+    name = "([^/-]+)-([0-9]+)[.]pcap$"
+    number = F.regexp_extract("capture_id", name, 2).cast("bigint")
+    return decode_frames(frames).withColumns(
+        {
+            "capture_id": F.regexp_extract("capture_id", name, 1),
+            "seq": number * F.lit(1 << 32) + F.col("seq"),
+        }
+    )
+
+
+_AS_CAPTURED = """q as (select *, protocol in ('UDP', 'TCP') as known, case protocol
+   when 'TCP' then 54 when 'UDP' then 42 + case when is_dns
+     then 19 + 16 * dns_ancount + case when dns_opt_size > 0 then 11 else 0 end else 14 end
+   else 42 end as least_len from pk)"""
+
+
+@check(
+    "s01_capture_files",
+    f"""{WITH_PACKETS}, {_AS_CAPTURED} select capture_id, ts_ms, src_ip, dst_ip,
+     case when known then src_port end as src_port, case when known then dst_port end as dst_port,
+     case when known then protocol end as protocol, cast(greatest(len, least_len) as int) as len,
+     case when known then 'ok' else 'other' end as status,
+     case when protocol = 'UDP' and is_dns then dns_id end as dns_id from q
+    union all select 'cap0', null, null, null, null, null, null, null, 'malformed', null""",
+)
+def capture_files(spark, sf_dir):
+    rows = _captured(spark, sf_dir)
+    return rows.select(*[c for c in _BASE if c != "seq"], "status", F.col("dns.id").alias("dns_id"))
+
+
+@check(
+    "s01_capture_flows",
+    f"""{WITH_FLOWS} select capture_id, cast(sum(total_fwd_packets) as bigint) as fwd_packets,
+     cast(sum(total_bwd_packets) as bigint) as bwd_packets, count(*) as flows
+    from fl group by capture_id""",
+)
+def capture_flows(spark, sf_dir):
+    """Capture files to flows; offsets of records recur in the files."""
+    flows = flow_features(_captured(spark, sf_dir), keep=FLOW_ID)
+    return flows.groupBy("capture_id").agg(
+        F.sum("total_fwd_packets").alias("fwd_packets"),
+        F.sum("total_bwd_packets").alias("bwd_packets"),
+        F.count(F.lit(1)).alias("flows"),
+    )
+
+
 @check(
     "f01_sane_time",
     f"{WITH_PACKETS} select {', '.join(_BASE)} from pk where ts_ms between 1483228800000 and 1893456000000",

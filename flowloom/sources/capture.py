@@ -73,7 +73,8 @@ def _list(path: str) -> list[tuple[str, int]]:
 
 
 def _plausible(buf: bytes, at: int, order: str, fractions: int, limit: int, snap: int):
-    """Seconds and length of the record at ``at``, or None if it does not look like a record.
+    """Seconds and length of the record at ``at``, and whether its frame is as long as it
+    should be; None if it does not look like a record.
 
     A clock that is far behind (relative times) is believed only of whole frames
     or frames cut at the snapshot length.
@@ -81,9 +82,10 @@ def _plausible(buf: bytes, at: int, order: str, fractions: int, limit: int, snap
     sec, fraction, captured, original = struct.unpack_from(order + "4I", buf, at)
     if fraction >= fractions or not 0 < captured <= limit or captured > original:
         return None
-    if sec < _SURE_SECONDS and captured not in (original, snap):
+    whole = captured in (original, snap)
+    if sec < _SURE_SECONDS and not whole:
         return None
-    return sec, RECORD_HEADER + captured
+    return sec, RECORD_HEADER + captured, whole
 
 
 def _end_of_chain(
@@ -91,15 +93,21 @@ def _end_of_chain(
 ):
     """Where a run of records from ``at`` is longer than one frame; None if it is not.
 
-    With ``last`` a run that ends with the bytes counts as well.
+    With ``last`` a run that ends with the bytes counts as well. Single records with a
+    wrong clock do not end a run if their frames are whole.
     """
     begin, records, before = at, 0, None
     while at + RECORD_HEADER <= len(buf):
         found = _plausible(buf, at, order, fractions, limit, snap)
-        if found is None or (before is not None and abs(found[0] - before) > _NEAR_SECONDS):
+        if found is None:
             return None
-        before = found[0]
-        at, records = at + found[1], records + 1
+        sec, size, whole = found
+        far = before is not None and abs(sec - before) > _NEAR_SECONDS
+        if far and not whole:
+            return None
+        if sec >= _SURE_SECONDS and not far:
+            before = sec
+        at, records = at + size, records + 1
         if records >= _MIN_CHAIN and at - begin > limit + RECORD_HEADER:
             return at
     return at if last and at == len(buf) and records else None

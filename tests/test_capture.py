@@ -202,18 +202,19 @@ def read_for_every_split(spark, path):
     return same
 
 
-@pytest.mark.parametrize("wrong", ["first", "all", "end"])
+@pytest.mark.parametrize("wrong", ["first", "all", "some", "start", "end"])
 def test_wrong_clock_and_wrong_lengths_for_every_split(spark, folder, wrong):
     path = f"{folder}/a.pcap"
     with open(path, "wb") as out:
         out.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 2000, 1))
         for i in range(400):
-            sec = i if wrong == "all" or (wrong == "first" and i == 0) else T0 + i
-            size = 250_000 if wrong == "end" and i == 300 else 400
+            off = {"all": True, "first": i == 0, "some": i % 5 == 2, "start": i % 5 == 2}.get(wrong, False)
+            sec = i if off else T0 + i
+            size = 250_000 if (wrong, i) in (("end", 300), ("start", 0)) else 400
             out.write(struct.pack("<4I", sec, i * 7, size, max(size, 400)))
             out.write(bytes([i % 7]) * 400)
     rows = read_for_every_split(spark, path)
-    bad = wrong == "end"
+    bad = wrong in ("start", "end")
     assert sum(r[3] == "ok" for r in rows) == 400 - bad
     assert sum(r[3] == "malformed" for r in rows) == bad
     if not bad:
