@@ -10,6 +10,12 @@ The automaton walk is a table lookup, so many texts are parsed at a time: texts
 are cut into lanes of ``LANE`` symbols (a phrase ends at a cut, for every
 language alike) and all lanes of a batch advance together.
 
+The same entropy tells texts in none of the languages: :func:`bounds` learns from
+the labelled rows outside the sample how many bits per letter a text of its
+language takes, and how far rows lie from that. A bound is ``SPREADS`` spreads
+above the median; the part of the spread that shrinks with the root of the
+length is large for short texts.
+
 Only the sample is bounded (``DOCS_PER_LANGUAGE`` rows of at most
 ``CHARS_PER_DOC`` characters, ``SAMPLE_CHARS`` symbols per language); texts are
 parsed whole. A null text and one without letters get ``und`` and score 0, as
@@ -19,17 +25,23 @@ sorts first. Repeated rows get the same answer.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.llm.common import stored
+
 UNDETERMINED = "und"
 DOCS_PER_LANGUAGE = 64
 CHARS_PER_DOC = 4096
 SAMPLE_CHARS = 16_384
 LANE = 1024
 WIDTH = 64
+#: Spreads above the median, fewest rows to learn a bound of, least spread as a part of the median.
+SPREADS, LEAST_ROWS, LEAST_SPREAD = 8.0, 20, 0.02
 SPACE, UNKNOWN, PAD = 0, 62, 63
 
 
@@ -86,8 +98,12 @@ class PhraseModel:
         for code, letter in enumerate(alphabet, 1):
             self.symbols[ord(letter)] = code
         tables, self.roots, self.bits, base = [], [], [], 0
+        #: How many texts of each language reach into its sample, and the keys of those of all languages.
+        self.used: dict[str, int] = {}
+        self.learned: list = []
         for language in self.languages:
-            codes, _ = self.encode(samples[language])
+            codes, lengths = self.encode(samples[language])
+            self.used[language] = int((np.cumsum(lengths) - lengths < SAMPLE_CHARS).sum())
             sample = codes[:SAMPLE_CHARS].tolist()
             moves = suffix_automaton(sample)
             table = np.empty((len(moves), WIDTH), dtype=np.int32)
@@ -147,8 +163,13 @@ class PhraseModel:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; the score is the relative lead over the next."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """As predict; bits per letter under the best language (0 without letters) and letters too."""
         if not texts or not self.languages:
-            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            nothing = np.zeros(len(texts))
+            return [UNDETERMINED] * len(texts), nothing, nothing, nothing
         phrases, letters = self.phrases(texts)
         cost = phrases * np.array(self.bits)
         best = np.argmin(cost, axis=1)
@@ -159,7 +180,8 @@ class PhraseModel:
             score = 1.0 - ranked[:, 0] / ranked[:, 1]
         known = letters > 0
         names = [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)]
-        return names, np.where(known, np.clip(score, 0.0, 1.0), 0.0)
+        bits = np.where(known, ranked[:, 0] / np.maximum(letters, 1), 0.0)
+        return names, np.where(known, np.clip(score, 0.0, 1.0), 0.0), bits, letters
 
 
 def train(
@@ -185,34 +207,99 @@ def train(
         "l", F.xxhash64("k").alias("h"), "k", F.substring("t", 1, CHARS_PER_DOC).alias("t")
     )
     samples: dict[str, list[str]] = {}
+    keys: dict[str, list] = {}
     for row in sorted(picked.collect(), key=lambda r: (r["l"], r["h"], r["k"], r["t"])):
         samples.setdefault(row["l"], []).append(row["t"])
-    return PhraseModel(samples)
+        keys.setdefault(row["l"], []).append(row["k"])
+    model = PhraseModel(samples)
+    model.learned = [k for language, own in keys.items() for k in own[: model.used[language]]]
+    return model
+
+
+class Bound(NamedTuple):
+    """Bits per letter of a language: median, spread whatever the length, spread times the root of the letters."""
+
+    median: float
+    spread: float
+    by_length: float
+
+    def most(self, letters: Column) -> Column:
+        return F.lit(self.median) + SPREADS * (F.lit(self.spread) + self.by_length / F.sqrt(letters))
+
+
+def bounds(
+    labelled: DataFrame, model: PhraseModel, key: str = "doc_id", text: str = "text", lang: str = "lang"
+) -> dict[str, Bound]:
+    """A bound per language of the model, from all labelled rows that are not in its sample.
 
+    Rows that are taken for another language do not count, equal figures count
+    once, and spreads are those of the upper half, as copies of the sample lie
+    far below. A language with too few rows gets the bound of all languages
+    together; without enough rows of any language there are no bounds.
+    """
+    rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    if model.learned:
+        rows = rows.filter(~F.col(key).isin(model.learned))
+    found = identify(rows.select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t")), model, "t", True)
+    right = found.filter((F.col("l") == F.col("lang_pred")) & (F.col("letters") > 0))
+    seen = stored(right.select("l", "bits", "letters").distinct(), "language_bits")
+    out = {language: bound for language, bound in _bounds(seen).items() if language in model.languages}
+    if len(out) < len(model.languages):
+        for bound in _bounds(seen.withColumn("l", F.lit(""))).values():
+            out = dict.fromkeys(model.languages, bound) | out
+    return out
+
+
+def _bounds(seen: DataFrame) -> dict[str, Bound]:
+    half = seen.groupBy("l").agg(
+        F.percentile_approx("bits", [0.5, 0.75]).alias("q"), F.count(F.lit(1)).alias("n")
+    )
+    medians = {r["l"]: r["q"] for r in half.filter(F.col("n") >= LEAST_ROWS).collect()}
+    off = (F.col("bits") - F.col("q")[0]) * F.sqrt("letters")
+    wide = seen.join(F.broadcast(half), "l").groupBy("l").agg(F.percentile_approx(off, 0.75).alias("d")).collect()
+    upper = {r["l"]: r["d"] for r in wide}
+    normal = 0.6745  # upper quartile of the normal distribution
+    return {
+        language: Bound(
+            middle,
+            max(high - middle, LEAST_SPREAD * middle) / normal,
+            max(upper[language], LEAST_SPREAD * middle) / normal,
+        )
+        for language, (middle, high) in medians.items()
+    }
+
+
+def plausible(limits: dict[str, Bound]) -> Column:
+    """Whether a row of identify(bits=True) has a language, and no more bits per letter than that allows."""
+    good = F.col("lang_pred") != UNDETERMINED
+    for language, bound in limits.items():
+        good = good & ((F.col("lang_pred") != language) | (F.col("bits") <= bound.most(F.col("letters"))))
+    return good
 
-def identify(docs: DataFrame, model: PhraseModel, text: str = "text") -> DataFrame:
-    """Add lang_pred and score to every row."""
+
+def identify(docs: DataFrame, model: PhraseModel, text: str = "text", bits: bool = False) -> DataFrame:
+    """Add lang_pred and score to every row, on demand also bits (per letter) and letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, bits double, letters double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         values = texts.fillna("").tolist()
         names: list[str] = []
-        scores: list[np.ndarray] = [np.empty(0)]
+        figures: list[np.ndarray] = [np.empty((3, 0))]
         at = 0
         while at < len(values):
             end, chars = at, 0
             while end < len(values) and (end == at or chars + len(values[end]) <= 8_000_000):
                 chars += len(values[end])
                 end += 1
-            some, lead = shared.value.predict(values[at:end])
+            some, *rest = shared.value.judge(values[at:end])
             names += some
-            scores.append(lead)
+            figures.append(np.stack(rest))
             at = end
-        return pd.DataFrame({"lang_pred": names, "score": np.concatenate(scores)})
+        score, cost, letters = np.concatenate(figures, axis=1)
+        return pd.DataFrame({"lang_pred": names, "score": score, "bits": cost, "letters": letters})
 
     added = docs.withColumn("__lang", predict(F.col(text).cast("string")))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    return added.select(
-        *kept, F.col("__lang.lang_pred").alias("lang_pred"), F.col("__lang.score").alias("score")
-    )
+    names = ["lang_pred", "score", *(["bits", "letters"] if bits else [])]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return added.select(*kept, *[F.col(f"__lang.{n}").alias(n) for n in names])

@@ -8,6 +8,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from flowloom.llm import decontaminate, langid, pii, queries, tokens
 from tests.llm import brute
 
@@ -102,6 +103,29 @@ def test_language_of_odd_rows(spark, texts):
     assert langid.identify(frame(spark, []), model).count() == 0
 
 
+LARGER = "/root/testdata/sf0.01"
+
+
+def test_bits_per_letter_reject_texts_of_no_language(spark, texts):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [
+        (-1, "Это длинный текст на языке, которого среди размеченных строк нет. " * 4, "en"),
+        (-2, "qwrtz xkcd pqlm zzxv bnmk vvqx kjhg wqzt " * 5, "en"),
+        (-3, texts[0][1][:30], "en"),
+        (-4, "12 34", "en"),
+    ]
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), "").collect()}
+    assert kept & {-1, -2, -3, -4} == {-3}
+    assert docs.count() - len(kept - {-3}) <= 0.002 * docs.count()
+
+
+def test_bounds_of_few_rows(spark):
+    rows = [(i, f"word{'abcdefgh'[i % 8]} " * (i + 3), "en") for i in range(10)]
+    few = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert langid.bounds(few, langid.train(few)) == {}
+    assert corpus_pipeline.language(spark, few, "").count() == 10
+
+
 PRIVATE = [
     "mail a.b+c@x-y.co.uk, foo@bar, @x.y and z@a.b.c@d.e",
     "1.2.3.4.5.6.7.8 300.1.1.1 1.2.3 00001.2.3.4 1..2.3.4",
