@@ -1,4 +1,4 @@
-"""Bigram language model in sharded Elias-Fano tries.
+"""Trigram language model in sharded Elias-Fano tries.
 
 Counts and tries cover all training documents. Documents are tokenised into
 blocks of about ``BLOCK_BYTES``. A block sends each shard its distinct words,
@@ -14,6 +14,12 @@ unigram estimate ``(c + 0.1) / (N + 0.1 * (V + 1))``. Seen bigrams hold the
 quantised log10 of it in the trie (steps of 1 / 4096); unseen ones back off to
 ``MU * p(word) / (n(context) + MU)``.
 
+A trigram is asked for where the bigram in front and the one at its end were
+seen; its key is the place of the bigram in its shard plus the word, its estimate
+``(n(bigram, word) + MU * p(word | context)) / (n(bigram) + MU)`` with the bigram
+estimate as p. Where the bigram in front was not seen, the bigram estimate is
+left as it is. ``score`` sums the bigram, ``trigram_score`` the trigram estimates.
+
 A context begins each document; an end token closes it. Null texts are empty and
 score their end token alone; a null key is never learned from; repeated rows
 count and score each on its own. Without training documents N and V are 0.
@@ -22,6 +28,7 @@ count and score each on its own. Without training documents N and V are 0.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +44,8 @@ MU = 10.0
 STEPS = 4096
 UNSEEN = 65_535
 END = b""
+#: Block number of rows that hold a shard's level, and the id of words a model does not know.
+LEVEL, UNKNOWN = -1, 0xFFFFFFFE
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -126,7 +135,9 @@ _BLOCK_ARROW = pa.schema(
 )
 
 
-def make_blocks(docs: DataFrame, key: str, text: str, folds: int, shards: int) -> DataFrame:
+def make_blocks(docs: DataFrame, key: str, text: str, folds: int | None, shards: int) -> DataFrame:
+    """Without folds nothing is learned from."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -152,7 +163,7 @@ def make_blocks(docs: DataFrame, key: str, text: str, folds: int, shards: int) -
 
     rows = docs.select(
         F.col(key).cast("bigint").alias("k"),
-        held_out(key, folds).alias("h"),
+        (F.lit(True) if folds is None else held_out(key, folds)).alias("h"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"),
     )
     return stored(rows.mapInArrow(run, _BLOCK), "blocks")
@@ -160,13 +171,14 @@ def make_blocks(docs: DataFrame, key: str, text: str, folds: int, shards: int) -
 
 # -- words -------------------------------------------------------------------
 
-_ANSWER = "shard int, block bigint, first binary, second binary, tokens bigint, distinct bigint"
+_ANSWER = "shard int, block bigint, first binary, second binary, third binary, tokens bigint, distinct bigint"
 _ANSWER_ARROW = pa.schema(
     [
         ("shard", pa.int32()),
         ("block", pa.int64()),
         ("first", pa.binary()),
         ("second", pa.binary()),
+        ("third", pa.binary()),
         ("tokens", pa.int64()),
         ("distinct", pa.int64()),
     ]
@@ -198,7 +210,10 @@ def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_words(shards: int):
-    """Answers: id and count of each word; ids are the place in the shard times the shards, plus the shard."""
+    """The words of a shard, and answers: id and count of each word.
+
+    Ids are the place in the shard times the shards, plus the shard.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -214,23 +229,37 @@ def _count_words(shards: int):
         # By falling count, so frequent words have small ids.
         number = np.empty(len(place), dtype=np.int64)
         number[np.argsort(-total, kind="stable")] = np.arange(len(place))
-        out = [
-            {
-                "shard": shard,
-                "block": row["block"],
-                "first": pack((number[spot] * shards + shard).astype(np.uint32)),
-                "second": pack(total[spot]),
-                # The sums of the shard go with one of its answers.
-                "tokens": int(total.sum()) if i == 0 else 0,
-                "distinct": int((total > 0).sum()) if i == 0 else 0,
-            }
-            for i, (spot, row) in enumerate(zip(spots, rows, strict=True))
-        ]
+        ids = (number * shards + shard).astype(np.uint32)
+        out = [_answer(row, pack(ids[spot]), pack(total[spot])) for spot, row in zip(spots, rows, strict=True)]
+        level = _answer({"shard": shard, "block": LEVEL}, pack_words(list(place)), pack(total), pack(ids))
+        # The sums of the shard go with its level.
+        out.append(level | {"tokens": int(total.sum()), "distinct": int((total > 0).sum())})
         return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
 
     return run
 
 
+def _answer(row: dict, first: bytes, second: bytes = b"", third: bytes = b"") -> dict:
+    return {
+        "shard": row["shard"], "block": row["block"], "first": first, "second": second, "third": third, "tokens": 0, "distinct": 0
+    }
+
+
+def _known_words(left: pa.Table, right: pa.Table) -> pa.Table:
+    """As _count_words, by the stored words of a shard."""
+    place: dict[bytes, int] = {}
+    ids, total = np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
+    for level in right.to_pylist():
+        place = {w: i for i, w in enumerate(unpack_words(level["first"]))}
+        ids, total = unpack(level["third"]), unpack(level["second"])
+    ids, total = np.append(ids, np.uint32(UNKNOWN)), np.append(total, 0)
+    out = []
+    for row in left.to_pylist():
+        spot = np.array([place.get(w, len(ids) - 1) for w in unpack_words(row["keys"])], dtype=np.int64)
+        out.append(_answer(row, pack(ids[spot]), pack(total[spot])))
+    return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
+
+
 # -- bigrams -----------------------------------------------------------------
 
 
@@ -314,8 +343,8 @@ def smoothed(seen: np.ndarray, word: np.ndarray, context: np.ndarray, tokens: in
     return (seen + MU * unigram(word, tokens, distinct)) / (context + MU)
 
 
-def _level(rows: list[dict], tokens: int, distinct: int) -> tuple[list[np.ndarray], bytes]:
-    """Keys asked by each block, and the trie of the shard's training bigrams."""
+def _level(rows: list[dict], tokens: int, distinct: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, bytes]:
+    """Keys asked by each block; keys and counts of the shard's training bigrams, and their trie."""
     asked = [unpack_keys(r["keys"]) for r in rows]
     keys, place = np.unique(np.concatenate(asked), return_inverse=True)
     seen = np.bincount(place, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(keys))
@@ -328,32 +357,158 @@ def _level(rows: list[dict], tokens: int, distinct: int) -> tuple[list[np.ndarra
     context[place] = np.concatenate(spread)
     learned = seen > 0
     keys, seen, word, context = keys[learned], seen[learned], word[learned], context[learned]
-    codes = np.round(-np.log10(smoothed(seen, word, context, tokens, distinct)) * STEPS)
-    return asked, Trie.encode(
-        keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), np.clip(codes, 0, UNSEEN - 1).astype(np.uint16), 1 << 32
-    )
+    return asked, keys, seen, _trie(keys, smoothed(seen, word, context, tokens, distinct))
+
+
+def _trie(keys: np.ndarray, estimate: np.ndarray) -> bytes:
+    codes = np.clip(np.round(-np.log10(estimate) * STEPS), 0, UNSEEN - 1).astype(np.uint16)
+    return Trie.encode(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), codes, 1 << 32)
+
+
+def _found(level: bytes, asked: list[np.ndarray]) -> list[np.ndarray]:
+    trie = Trie(mapped(level))
+    out = []
+    for keys in asked:
+        value, found = trie.find(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF))
+        out.append(np.where(found, value, UNSEEN).astype(np.uint16))
+    return out
+
+
+def _bigram_answers(rows: list[dict], asked: list[np.ndarray], level: bytes, known: np.ndarray, seen: np.ndarray) -> list[dict]:
+    """Value of each bigram; counts and places in the shard of the seen ones."""
+    out = []
+    for keys, value, row in zip(asked, _found(level, asked), rows, strict=True):
+        spot = np.searchsorted(known, keys[value != UNSEEN])
+        out.append(_answer(row, pack(value), pack(seen[spot].astype(np.uint32)), pack_keys(spot.astype(np.uint64))))
+    return out
 
 
 def _look_up(tokens: int, distinct: int):
+    """The bigrams of a shard, and answers."""
+
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        asked, level = _level(rows, tokens, distinct)
-        trie = Trie(mapped(level))
-        out = []
-        for keys, row in zip(asked, rows, strict=True):
-            value, found = trie.find(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF))
-            value = np.where(found, value, UNSEEN).astype(np.uint16)
-            out.append(
-                {"shard": row["shard"], "block": row["block"], "first": pack(value), "second": pack(value[:0]), "tokens": 0, "distinct": 0}
-            )
+        asked, known, seen, level = _level(rows, tokens, distinct)
+        out = _bigram_answers(rows, asked, level, known, seen)
+        out.append(_answer({"shard": rows[0]["shard"], "block": LEVEL}, level, pack(seen.astype(np.uint32)), pack_keys(known)))
         return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
 
     return run
 
 
+def _known_bigrams(left: pa.Table, right: pa.Table) -> pa.Table:
+    """As _look_up, by the stored level of a shard."""
+    rows, levels = left.to_pylist(), right.to_pylist()
+    asked = [unpack_keys(r["keys"]) for r in rows]
+    if levels:
+        level, seen, known = levels[0]["first"], unpack(levels[0]["second"]), unpack_keys(levels[0]["third"])
+    else:
+        known = seen = np.empty(0, dtype=np.uint64)
+        level = _trie(known, np.empty(0))
+    return pa.Table.from_pylist(_bigram_answers(rows, asked, level, known, seen), schema=_ANSWER_ARROW)
+
+
+# -- trigrams ----------------------------------------------------------------
+
+
+class _Trigrams:
+    """Distinct trigrams of a block whose two bigrams were seen, sorted by shard and key.
+
+    A key is the place of the first bigram in its shard in the upper and the
+    word in the lower 32 bits. Trigrams lie in the shard of the first bigram,
+    moved on by the word, so those of a frequent bigram are spread; shard and word
+    tell which shard the place is of.
+    """
+
+    def __init__(self, row: dict, ids: np.ndarray, answers: list[dict], shards: int) -> None:
+        answers = sorted(answers, key=lambda r: r["shard"])
+        keys, shard, self.place, _ = _bigrams(row, ids, shards)
+        self.codes = np.concatenate([unpack(r["first"]) for r in answers])
+        seen = self.codes != UNSEEN
+        self.counts = np.zeros(len(keys), dtype=np.int64)
+        self.counts[seen] = np.concatenate([unpack(r["second"]) for r in answers])
+        spot = np.zeros(len(keys), dtype=np.uint64)
+        spot[seen] = np.concatenate([unpack_keys(r["third"]) for r in answers])
+        lengths = unpack(row["lengths"])
+        self.before = np.concatenate([[0], self.place[:-1]]) if len(self.place) else self.place
+        #: Tokens behind a seen bigram, and those of them whose own bigram was seen too.
+        self.behind = seen[self.before]
+        self.behind[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = False
+        self.asked = np.flatnonzero(self.behind & seen[self.place])
+        front, own = self.before[self.asked], self.place[self.asked]
+        word = keys[own] & np.uint64(0xFFFFFFFF)
+        moved = ((word & np.uint64(15)) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(shards)
+        to = (shard[front] + moved.astype(np.int64)) % shards
+        key = (spot[front] << np.uint64(32)) | word
+        order = np.lexsort((key, to))
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = (key[order][1:] != key[order][:-1]) | (to[order][1:] != to[order][:-1])
+        self.of = np.empty(len(order), dtype=np.int64)
+        self.of[order] = np.cumsum(fresh) - 1
+        chosen = order[fresh]
+        self.keys, self.shard = key[chosen], to[chosen]
+        self.context, self.code = self.counts[front[chosen]], self.codes[own[chosen]]
+        learned = np.repeat(np.frombuffer(row["held"], dtype=np.uint8) == 0, lengths)[self.asked]
+        self.seen = np.bincount(self.of[learned], minlength=len(chosen))
+
+
+def _split(answers: list[dict]) -> list[list[dict]]:
+    """Answers about words, bigrams and trigrams."""
+    return [[r for r in answers if r["level"] == level] for level in (1, 2, 3)]
+
+
+def _ask_trigrams(shards: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        of_words, of_bigrams, _ = _split(right.to_pylist())
+        for row in left.to_pylist():
+            own = _Trigrams(row, _answers(of_words)[0], of_bigrams, shards)
+            bounds = np.searchsorted(own.shard, np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(bounds)).tolist():
+                part = slice(bounds[s], bounds[s + 1])
+                out.append(
+                    {
+                        "shard": s,
+                        "block": row["block"],
+                        "keys": pack_keys(own.keys[part]),
+                        "counts": pack(own.seen[part].astype(np.uint32)),
+                        "words": pack(own.code[part]),
+                        "contexts": pack(own.context[part].astype(np.uint32)),
+                    }
+                )
+        return pa.Table.from_pylist(out, schema=_ASK_ARROW)
+
+    return run
+
+
+def _look_up_trigrams(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    asked = [unpack_keys(r["keys"]) for r in rows]
+    keys, place = np.unique(np.concatenate(asked), return_inverse=True)
+    seen = np.bincount(place, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(keys))
+    code, context = np.zeros(len(keys), dtype=np.uint16), np.zeros(len(keys), dtype=np.int64)
+    code[place] = np.concatenate([unpack(r["words"]) for r in rows])
+    context[place] = np.concatenate([unpack(r["contexts"]) for r in rows])
+    learned = seen > 0
+    keys, seen, code, context = keys[learned], seen[learned], code[learned], context[learned]
+    level = _trie(keys, (seen + MU * 10.0 ** (code / -STEPS)) / (context + MU))
+    out = [_answer(r, pack(v)) for r, v in zip(rows, _found(level, asked), strict=True)]
+    out.append(_answer({"shard": rows[0]["shard"], "block": LEVEL}, level))
+    return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
+
+
+def _known_trigrams(left: pa.Table, right: pa.Table) -> pa.Table:
+    """As _look_up_trigrams, by the stored level of a shard."""
+    rows, levels = left.to_pylist(), right.to_pylist()
+    asked = [unpack_keys(r["keys"]) for r in rows]
+    level = levels[0]["first"] if levels else _trie(np.empty(0, dtype=np.uint64), np.empty(0))
+    out = [_answer(r, pack(v)) for r, v in zip(rows, _found(level, asked), strict=True)]
+    return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
+
+
 # -- scores ------------------------------------------------------------------
 
-_SCORE = "k bigint, h boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+_SCORE = "k bigint, h boolean, n_tokens bigint, n_known bigint, base_score double, score double, trigram_score double"
 _SCORE_ARROW = pa.schema(
     [
         ("k", pa.int64()),
@@ -362,6 +517,7 @@ _SCORE_ARROW = pa.schema(
         ("n_known", pa.int64()),
         ("base_score", pa.float64()),
         ("score", pa.float64()),
+        ("trigram_score", pa.float64()),
     ]
 )
 
@@ -369,14 +525,13 @@ _SCORE_ARROW = pa.schema(
 def _score(shards: int, tokens: int, distinct: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        answers = right.to_pylist()
-        # Word answers hold two columns, bigram answers one.
-        of_words = [r for r in answers if r["bigrams"] == 0]
-        of_bigrams = sorted((r for r in answers if r["bigrams"] == 1), key=lambda r: r["shard"])
+        of_words, of_bigrams, of_trigrams = _split(right.to_pylist())
+        of_trigrams.sort(key=lambda r: r["shard"])
         for row in left.to_pylist():
             ids, counts = _answers(of_words)
             keys, _, place, _ = _bigrams(row, ids, shards)
-            codes = np.concatenate([unpack(r["first"]) for r in of_bigrams])
+            deep = _Trigrams(row, ids, of_bigrams, shards)
+            codes = deep.codes
             of = _word_counts(ids, counts)
             end = counts[unpack_words(row["words"]).index(END)]
             word = of(keys & np.uint64(0xFFFFFFFF))
@@ -385,6 +540,12 @@ def _score(shards: int, tokens: int, distinct: int):
                 np.log10(smoothed(0, word, _contexts(keys, of, end), tokens, distinct)),
                 codes / -STEPS,
             )
+            # Back off from trigrams that were not seen; seen ones hold their estimate.
+            deeper = logs[place]
+            deeper[deep.behind] += np.log10(MU / (deep.counts[deep.before[deep.behind]] + MU))
+            if of_trigrams:
+                value = np.concatenate([unpack(r["first"]) for r in of_trigrams])[deep.of]
+                deeper[deep.asked] = np.where(value == UNSEEN, deeper[deep.asked], value / -STEPS)
             own = unpack(row["tokens"])
             lengths = unpack(row["lengths"])
             first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -398,6 +559,7 @@ def _score(shards: int, tokens: int, distinct: int):
                         pa.array(np.add.reduceat((counts > 0)[own].astype(np.int64), first)),
                         pa.array(np.add.reduceat(base[own], first)),
                         pa.array(np.add.reduceat(logs[place], first)),
+                        pa.array(np.add.reduceat(deeper, first)),
                     ],
                     schema=_SCORE_ARROW,
                 )
@@ -407,8 +569,21 @@ def _score(shards: int, tokens: int, distinct: int):
     return run
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
-    """Rows: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+class LanguageModel(NamedTuple):
+    """Levels of all shards in the shared folder, and the sums of the training documents."""
+
+    shards: int
+    tokens: int
+    distinct: int
+    words: DataFrame
+    bigrams: DataFrame
+    trigrams: DataFrame
+
+
+def fit_and_score(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10
+) -> tuple[LanguageModel, DataFrame]:
+    """Learn from the documents that are not held out and score all; keys and texts travel once for both."""
     rows = docs.select(key, text)
     shards = max(8, 2 * rows.rdd.getNumPartitions())
     blocks = make_blocks(rows, key, text, folds, shards)
@@ -416,20 +591,70 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fo
     words = stored(asked.groupBy("shard").applyInArrow(_count_words(shards), _ANSWER), "unigrams")
     sums = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = int(sums[0]), int(sums[1])
-    pairs = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_ask_bigrams(shards), _ASK)
-    bigrams = pairs.groupBy("shard").applyInArrow(_look_up(tokens, distinct), _ANSWER)
-    answers = words.select("block", "shard", "first", "second", F.lit(0).alias("bigrams")).unionByName(
-        bigrams.select("block", "shard", "first", "second", F.lit(1).alias("bigrams"))
-    )
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score(shards, tokens, distinct), _SCORE
+    pairs = _pairs(blocks, words, shards)
+    bigrams = stored(pairs.groupBy("shard").applyInArrow(_look_up(tokens, distinct), _ANSWER), "bigrams")
+    triples = _triples(blocks, words, bigrams, shards)
+    trigrams = stored(triples.groupBy("shard").applyInArrow(_look_up_trigrams, _ANSWER), "trigrams")
+    levels = [t.filter(F.col("block") == LEVEL) for t in (words, bigrams, trigrams)]
+    model = LanguageModel(shards, tokens, distinct, *levels)
+    return model, _scores(blocks, words, bigrams, trigrams, model, key)
+
+
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10) -> LanguageModel:
+    return fit_and_score(docs, key, text, folds)[0]
+
+
+def score(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Score any documents by a fitted model; nothing is learned from them, so all are held out."""
+    blocks = make_blocks(docs.select(key, text), key, text, None, model.shards)
+    asked = blocks.select("block", "words", "counts", "shards").mapInArrow(_ask_words, _ASK)
+    words = stored(_known(asked, model.words, _known_words), "unigrams")
+    bigrams = stored(_known(_pairs(blocks, words, model.shards), model.bigrams, _known_bigrams), "bigrams")
+    trigrams = _known(_triples(blocks, words, bigrams, model.shards), model.trigrams, _known_trigrams)
+    return _scores(blocks, words, bigrams, trigrams, model, key)
+
+
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
+    """Rows: key, held_out, n_tokens, n_known, train_tokens, base_score, score, trigram_score."""
+    return fit_and_score(docs, key, text, folds)[1]
+
+
+def _known(asked: DataFrame, level: DataFrame, look_up) -> DataFrame:
+    return asked.groupBy("shard").cogroup(level.groupBy("shard")).applyInArrow(look_up, _ANSWER)
+
+
+def _of_blocks(*answers: DataFrame) -> DataFrame:
+    """Answers about words, bigrams and trigrams, as level 1 to 3, without the levels of the shards."""
+    found = None
+    for level, one in enumerate(answers, 1):
+        rows = one.filter(F.col("block") != LEVEL)
+        rows = rows.select("block", "shard", "first", "second", "third", F.lit(level).alias("level"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def _pairs(blocks: DataFrame, words: DataFrame, shards: int) -> DataFrame:
+    answers = _of_blocks(words).groupBy("block")
+    return blocks.groupBy("block").cogroup(answers).applyInArrow(_ask_bigrams(shards), _ASK)
+
+
+def _triples(blocks: DataFrame, words: DataFrame, bigrams: DataFrame, shards: int) -> DataFrame:
+    answers = _of_blocks(words, bigrams).groupBy("block")
+    return blocks.groupBy("block").cogroup(answers).applyInArrow(_ask_trigrams(shards), _ASK)
+
+
+def _scores(blocks, words, bigrams, trigrams, model: LanguageModel, key: str) -> DataFrame:
+    answers = _of_blocks(words, bigrams, trigrams).groupBy("block")
+    scored = blocks.groupBy("block").cogroup(answers).applyInArrow(
+        _score(model.shards, model.tokens, model.distinct), _SCORE
     )
     return scored.select(
         F.col("k").alias(key),
         F.col("h").alias("held_out"),
         "n_tokens",
         "n_known",
-        F.lit(tokens).cast("bigint").alias("train_tokens"),
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         "base_score",
         "score",
+        "trigram_score",
     )

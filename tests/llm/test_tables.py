@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -311,6 +312,53 @@ def test_language_model_equals_plain_counts(spark, texts, monkeypatch):
     assert alone[0]["train_tokens"] == 0 and alone[0]["n_known"] == 0
 
 
+def test_trigrams_equal_plain_counts(spark, texts, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 40_000)
+    rows = [*texts, (5001, None), (5002, ""), (5003, "one two three"), (5004, "the of " * 9_000), (None, "the of the")]
+    learned = [brute.tokens(t) for k, t in rows if k is not None and brute.crc(k) % 10]
+    words = Counter(t for d in learned for t in d)
+    pairs = Counter(p for d in learned for p in zip(["<s>", *d], d, strict=False))
+    triples = Counter(p for d in learned for p in zip(["<s>", *d], d, d[1:], strict=False))
+    n, v = words.total(), len(words)
+    grid = lambda log: -round(-log * lm.STEPS) / lm.STEPS
+
+    def pair(c, w):
+        seen = len(learned) if c == "<s>" else words[c]
+        log = math.log10((pairs[c, w] + lm.MU * (words[w] + 0.1) / (n + 0.1 * (v + 1))) / (seen + lm.MU))
+        return grid(log) if pairs[c, w] else log
+
+    def triple(b, c, w):
+        if not pairs[b, c]:
+            return pair(c, w)
+        log = math.log10((triples[b, c, w] + lm.MU * 10 ** pair(c, w)) / (pairs[b, c] + lm.MU))
+        return grid(log) if triples[b, c, w] else log
+
+    found = lm.score_documents(frame(spark, rows)).collect()
+    assert len(found) == len(rows)
+    text_of = dict(rows)
+    for row in found:
+        own = brute.tokens(text_of[row["doc_id"]])
+        wanted = pair("<s>", own[0]) + sum(triple(*t) for t in zip(["<s>", *own], own, own[1:], strict=False))
+        assert math.isclose(row["trigram_score"], wanted, rel_tol=1e-6, abs_tol=len(own) / lm.STEPS)
+    held = [r for r in found if r["held_out"] and r["doc_id"] is not None]
+    assert sum(r["trigram_score"] for r in held) != sum(r["score"] for r in held)
+
+
+def test_stored_levels_score_other_documents(spark, texts, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 40_000)
+    model, scored = lm.fit_and_score(frame(spark, texts))
+    columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "trigram_score"]
+    wanted = {r["doc_id"]: r for r in scored.select(columns).collect()}
+    again = lm.score(frame(spark, texts), model).select(*columns, "held_out").collect()
+    assert len(again) == len(wanted) and all(r["held_out"] for r in again)
+    for row in again:
+        assert all(math.isclose(row[c], wanted[row["doc_id"]][c], rel_tol=1e-9) for c in columns)
+    other = lm.score(frame(spark, [(1, "qqqq zzzz"), (2, None)]), model).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["n_known"]) for r in other) == [(1, 3, 1), (2, 1, 1)]
+    none = lm.fit(frame(spark, []))
+    assert lm.score(frame(spark, [(1, "a b a b")]), none).collect()[0]["n_known"] == 0
+
+
 # -- pipeline ----------------------------------------------------------------
 
 
