@@ -34,7 +34,7 @@ _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ADDRESS = re.compile(r"[^\s<>\"']+")
-_ACCOUNT = re.compile(r"(?:\s*(?:number|no\.?|nr\.?|id))?\s*[:#=]?\s*([A-Z]{0,2}[0-9](?:[ -]?[A-Z0-9])+)")
+_ACCOUNT = re.compile(r"(?:\s*+(?:number|no\.?|nr\.?|id))?\s*+[:#=]?\s*+([A-Z]{0,2}[0-9](?:[ -]?[A-Z0-9])+)")
 _TRAILING = ".,;:!?)]}"
 
 

@@ -1,6 +1,7 @@
 """Token counts, language, personal data, decontamination."""
 
 import random
+import time
 
 import duckdb
 import public_tokenizers
@@ -179,6 +180,15 @@ def changed(rng, text, edits):
     return "".join(text)
 
 
+def test_cue_before_long_white_space():
+    start = time.monotonic()
+    for gap in (" " * 1_000_000, " \n" * 500_000):
+        text = "account" + gap
+        assert pii.find_spans(text) == []
+        assert pii.find_spans(text + "no: 12345678") == [("account", len(text) + 4, len(text) + 12)]
+    assert time.monotonic() - start < 20
+
+
 def test_items_are_found_within_their_edits(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
