@@ -39,6 +39,8 @@ DOCS_PER_LANGUAGE = 64
 CHARS_PER_DOC = 4096
 SAMPLE_CHARS = 16_384
 LANE = 1024
+#: Characters parsed at a time, if one text is not longer; bounds memory, not results.
+BATCH_CHARS = 2_000_000
 WIDTH = 64
 #: Spreads above the median, fewest rows to learn a bound of, least spread as a part of the median.
 SPREADS, LEAST_ROWS, LEAST_SPREAD = 8.0, 20, 0.02
@@ -289,7 +291,7 @@ def identify(docs: DataFrame, model: PhraseModel, text: str = "text", bits: bool
         at = 0
         while at < len(values):
             end, chars = at, 0
-            while end < len(values) and (end == at or chars + len(values[end]) <= 8_000_000):
+            while end < len(values) and (end == at or chars + len(values[end]) <= BATCH_CHARS):
                 chars += len(values[end])
                 end += 1
             some, *rest = shared.value.judge(values[at:end])
