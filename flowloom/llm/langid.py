@@ -43,7 +43,7 @@ LANE = 1024
 BATCH_CHARS = 2_000_000
 WIDTH = 64
 #: Spreads above the median, fewest rows to learn a bound of, least spread as a part of the median.
-SPREADS, LEAST_ROWS, LEAST_SPREAD = 8.0, 20, 0.02
+SPREADS, LEAST_ROWS, LEAST_SPREAD = 12.0, 20, 0.02
 SPACE, UNKNOWN, PAD = 0, 62, 63
 
 
