@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import chat, decontaminate, jaccard, langid, lm, mixing, pii, tokens, topk, warc
+from flowloom.llm import (
+    chat,
+    collocations,
+    decontaminate,
+    jaccard,
+    langid,
+    lm,
+    merkle,
+    mixing,
+    pii,
+    sharding,
+    tokens,
+    topk,
+    warc,
+)
 from flowloom.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +32,7 @@ ORACLES: dict[str, str] = {}
 
 LANGUAGE_FOLDS, MODEL_FOLDS = 5, 10
 #: Wanted shares of tokens per domain.
+SHARDS = 40
 TARGETS = {"good": 0.85, "low": 0.15, "toxic": 0.0}
 
 
@@ -229,3 +244,99 @@ def perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_model")
 def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"), folds=MODEL_FOLDS)
+
+
+@query(
+    "op11_collocations",
+    r"""
+with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t
+  from documents),
+pieces as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) p from d),
+words as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from pieces),
+sizes as (select lang, sum(len(w))::bigint n from words group by 1),
+places as (select lang, w, unnest(range(1, len(w) + 1)) i from words),
+grams as (select lang, w[i:i + k - 1] g from places, range(1, 6) t(k) where i + k - 1 <= len(w)),
+counts as (select lang, g, count(*) c from grams group by 1, 2),
+named as (select lang, array_to_string(g, ' ') phrase, len(g) k, g, c from counts),
+found as (select * from named where k > 1 and c >= 100),
+kept as (select * from found p where not exists (select 1 from found q where q.lang = p.lang and q.k > p.k
+  and contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' ') and 100 * q.c >= 100 * p.c)),
+cuts as (select p.lang, p.phrase, p.c a, j, f.c l, r.c r, n,
+    ((1000::hugeint * p.c * n) // (f.c::hugeint * r.c))::bigint score
+  from (select *, unnest(range(1, k)) j from kept) p
+  join named f on f.lang = p.lang and f.g = p.g[1:j] join named r on r.lang = p.lang and r.g = p.g[j + 1:]
+  join sizes s on s.lang = p.lang),
+worst as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) "rank" from worst)
+select lang, "rank", phrase, a, l, r, n, score from ranked where "rank" <= 2000""",
+)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+#: Checksum of the bytes that list in hexadecimal digits, in DuckDB.
+_CRC32 = """with tab as (select list(list_reduce(list_prepend(i::bigint, range(8)),
+  lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end) order by i) crc_of from range(256) r(i))"""
+_CRC32_OF = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex({}), '..'), lambda h: ('0x' || h)::bigint)),
+  lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295::bigint)"""
+
+
+@query(
+    "op12_merkle_manifest",
+    _CRC32.replace("with", "with recursive", 1)
+    + r""",
+fields as (select doc_id, case when lang is null then '0' else '1' || lang end g, n_chars,
+    case when doc_id is null then '-' else strlen(doc_id::varchar) || ':' || doc_id end
+      || case when source is null then '-' else strlen(source) || ':' || source end
+      || case when lang is null then '-' else strlen(lang) || ':' || lang end head,
+    case when text is null then '-' else strlen(text) || ':' || text end tail,
+    coalesce("""
+    + _CRC32_OF.format("doc_id::varchar")
+    + r""" % 7 = 0, false) tampered from documents, tab),
+hashed as (select doc_id, g, sha256(head || case when n_chars is null then '-' else strlen(n_chars::varchar) || ':' || n_chars end || tail) leaf,
+    case when tampered and n_chars is not null
+      then sha256(head || strlen((n_chars + 1)::varchar) || ':' || (n_chars + 1) || tail) end shown from fields),
+leaves as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 pos, count(*) over (partition by g) n from hashed),
+nodes as (select g, 0 lev, pos, n, leaf h from leaves
+  union all select g, lev + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from nodes where n > 1 group by all),
+subs as (select g, h, row_number() over (order by g) - 1 pos, count(*) over () n from nodes where n = 1),
+tops as (select 0 lev, pos, n, h from subs
+  union all select lev + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from tops where n > 1 group by all),
+all_nodes as (select g, lev, pos, n, h from nodes union all select '', lev, pos, n, h from tops),
+step as (select x.g, x.lev, x.pos, case when y.h is null then '-' when x.pos % 2 = 0 then 'R' || y.h else 'L' || y.h end s
+  from all_nodes x left join all_nodes y on x.g = y.g and x.lev = y.lev and y.pos = xor(x.pos, 1) where x.n > 1),
+top_paths as (select g, list(s order by lev) filter (s is not null) path from (select subs.g, step.lev, step.s from subs
+  left join step on step.g = '' and step.pos = subs.pos >> step.lev) group by 1),
+leaf_paths as (select g, pos, list(s order by lev) filter (s is not null) path from (select leaves.g, leaves.pos, step.lev, step.s from leaves
+  left join step on step.g = leaves.g and step.pos = leaves.pos >> step.lev) group by 1, 2),
+proved as (select doc_id, leaf, shown, subs.h subroot, (select h from tops where n = 1) root,
+    list_concat(coalesce(a.path, []), coalesce(b.path, [])) path
+  from leaves join subs using (g) left join leaf_paths a on a.g = leaves.g and a.pos = leaves.pos left join top_paths b on b.g = leaves.g),
+ends as (select *, list_reduce(list_prepend(coalesce(shown, leaf), path),
+    lambda acc, s: sha256(case s[1] when 'L' then s[2:] || acc when 'R' then acc || s[2:] else acc end)) folded_root from proved)
+select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) proof_sha256,
+  folded_root, folded_root = root verified from ends""",
+)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda n: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    n_chars = F.col("n_chars")
+    return merkle.manifest(docs, leaf(n_chars), F.when(tampered & n_chars.isNotNull(), leaf(n_chars + 1)))
+
+
+@query(
+    "op13_balanced_shards",
+    _CRC32
+    + r""",
+sized as (select doc_id, strlen(coalesce(text, ''))::bigint + 16 size, """
+    + _CRC32_OF.format("coalesce(text, '')")
+    + r""" text_crc32 from documents, tab),
+placed as (select *, sum(size) over (order by doc_id nulls first, size, text_crc32 rows unbounded preceding) - size before,
+    sum(size) over () whole from sized),
+cut as (select *, ((before * 2 + size) * 40 // (whole * 2))::int shard from placed)
+select doc_id, size, text_crc32, 'bytes' law, shard,
+  row_number() over (partition by shard order by before, doc_id nulls first, size, text_crc32) - 1 slot, null::int grown_shard from cut""",
+)
+def balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
