@@ -85,11 +85,12 @@ def frames_from_packets(packets: DataFrame) -> DataFrame:
 FILE_SPAN = 4096
 
 
-def write_captures(frames: DataFrame, folder: str, big_endian: str, damaged: str) -> None:
+def write_captures(frames: DataFrame, folder: str, big_endian: str, damaged: str = "", every: int = 0) -> None:
     """Capture files ``<capture>-<number>.pcap``, each of a bounded piece of a capture.
 
     The capture ``big_endian`` is written in the other byte order. The file
-    ``damaged`` begins with a record whose length cannot be right.
+    ``damaged`` begins with a record whose length cannot be right, and so does every
+    ``every``-th record of each file.
     """
     from pyarrow import fs
 
@@ -104,8 +105,9 @@ def write_captures(frames: DataFrame, folder: str, big_endian: str, damaged: str
             out.write(struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1))
             if name == damaged:
                 out.write(struct.pack(order + "4I", 0, 0, 1 << 30, 60) + bytes(60))
-            for ts, size, frame in zip(rows["ts_ms"], rows["orig_len"], rows["frame"]):
-                out.write(struct.pack(order + "4I", ts // 1000, ts % 1000 * 1000, len(frame), size) + frame)
+            for place, (ts, size, frame) in enumerate(zip(rows["ts_ms"], rows["orig_len"], rows["frame"]), 1):
+                held = 1 << 30 if every and place % every == 0 else len(frame)
+                out.write(struct.pack(order + "4I", ts // 1000, ts % 1000 * 1000, held, size) + frame)
         return pd.DataFrame({"records": [len(rows)]})
 
     number = F.floor(F.col("seq") / F.lit(FILE_SPAN)).alias("number")

@@ -19,7 +19,7 @@ from flowchecks.base import (
     packets,
     r4,
 )
-from flowchecks.frames import frames_from_packets, write_captures
+from flowchecks.frames import FILE_SPAN, frames_from_packets, write_captures
 from flowloom.functions.columns import (
     confidence_band,
     dns_flag,
@@ -103,12 +103,16 @@ def skipped_frames(spark, sf_dir):
     return skipped_summary(decode_frames(frames_from_packets(packets(spark, sf_dir))))
 
 
-def _captured(spark, sf_dir):
+def _frames(spark, sf_dir, **damages):
     """The packets as capture files, read back in ranges of 64 KiB."""
     folder = f"{scratch_folder(spark, 'captures')}/in"
-    write_captures(frames_from_packets(packets(spark, sf_dir)), folder, "cap1", "cap0-0")
+    write_captures(frames_from_packets(packets(spark, sf_dir)), folder, "cap1", **damages)
     capture.register(spark)
-    frames = spark.read.format("capture").option("splitBytes", "65536").load(folder)
+    return spark.read.format("capture").option("splitBytes", "65536").load(folder)
+
+
+def _captured(spark, sf_dir, **damages):
+    frames = _frames(spark, sf_dir, **damages or {"damaged": "cap0-0"})
     name = "([^/-]+)-([0-9]+)[.]pcap$"
     number = F.regexp_extract("capture_id", name, 2).cast("bigint")
     return decode_frames(frames).withColumns(
@@ -139,6 +143,32 @@ def capture_files(spark, sf_dir):
     return rows.select(*[c for c in _BASE if c != "seq"], "status", F.col("dns.id").alias("dns_id"))
 
 
+#: Whether a packet is the twentieth of its capture file, or the fortieth and so on.
+_TWENTIETH = f"row_number() over (partition by capture_id, seq // {FILE_SPAN} order by seq) % 20 = 0"
+
+
+@check(
+    "s01_damaged_captures",
+    f"""{WITH_PACKETS}, {_AS_CAPTURED}, d as (select *, {_TWENTIETH} as is_bad from q)
+    select capture_id, ts_ms, src_ip, dst_ip, cast(greatest(len, least_len) as int) as len from d where not is_bad""",
+)
+def damaged_captures(spark, sf_dir):
+    """The header of one record in twenty has a length that cannot be right; all others are read."""
+    rows = _captured(spark, sf_dir, every=20).filter(F.col("status").isin("ok", "other"))
+    return rows.select("capture_id", "ts_ms", "src_ip", "dst_ip", "len")
+
+
+@check(
+    "s01_damage_report",
+    f"""{WITH_PACKETS}, {_AS_CAPTURED}, d as (select *, {_TWENTIETH} as is_bad, 16 + greatest(len, least_len) as size from q)
+    select capture_id, count(*) filter (not is_bad) as records, count(*) filter (is_bad) as damages,
+     cast(coalesce(sum(size) filter (is_bad), 0) as bigint) as damaged_bytes, cast(0 as bigint) as cut_off from d group by capture_id""",
+)
+def damage_report(spark, sf_dir):
+    frames = _frames(spark, sf_dir, every=20)
+    return capture.damage(frames.withColumn("capture_id", F.regexp_extract("capture_id", "([^/-]+)-[0-9]+[.]pcap$", 1)))
+
+
 @check(
     "s01_capture_flows",
     f"""{WITH_FLOWS} select capture_id, cast(sum(total_fwd_packets) as bigint) as fwd_packets,

@@ -344,7 +344,11 @@ def collocations(
     out. It is enough to look at phrases of one word more: one of those holds the
     phrase and lies in the longer one, so it occurs as often.
     """
-    phrases, totals = phrase_counts(docs, least, text, lang)
+    return scored(*phrase_counts(docs, least, text, lang), top, scale)
+
+
+def scored(phrases: DataFrame, totals: DataFrame, top: int, scale: int) -> DataFrame:
+    """The result of :func:`collocations` by the rows of :func:`phrase_counts`."""
     words = _words(F.col("phrase"))
     size = F.size(words)
     longer = phrases.filter(size > 2)
@@ -357,11 +361,11 @@ def collocations(
     cuts = cuts.select("lang", "phrase", "a", "cut.*")
     counted = _with_counts(_with_counts(cuts, phrases, "first", "l"), phrases, "rest", "r")
     # One row per language.
-    scored = counted.join(totals, "lang") if not _few(totals) else counted.join(F.broadcast(totals), "lang")
+    known = counted.join(F.broadcast(totals) if _few(totals) else totals, "lang")
     exact = lambda c: F.col(c).cast("decimal(19,0)")
     above = (exact("a") * exact("n")).cast("decimal(38,0)") * F.lit(scale).cast("decimal(5,0)")
-    scored = scored.withColumn("score", F.call_function("div", above.cast("decimal(38,0)"), exact("l") * exact("r")))
-    worst = scored.groupBy("lang", "phrase").agg(
+    judged = known.withColumn("score", F.call_function("div", above.cast("decimal(38,0)"), exact("l") * exact("r")))
+    worst = judged.groupBy("lang", "phrase").agg(
         F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("worst")
     )
     best = [F.desc("score"), F.desc("a"), "phrase"]

@@ -5,21 +5,30 @@ cut into byte ranges: a range that does not start at the first record looks for
 the next record boundary, so one very large file is read by many tasks. ``seq``
 is the byte offset of the record, which is unique and in arrival order without
 counting the records before it.
+
+A record that cannot be right does not end the file. The headers of all offsets
+behind it are judged at once; reading goes on at the earliest one that a chain
+of plausible records follows, or one or two such records in front of the next
+damage if their clock fits the records before. What lies between is one row with
+the status ``malformed`` and its length in ``skipped``.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 FRAME_DDL = (
     "capture_id string, seq bigint, ts_ms bigint, link_type int, orig_len int, "
-    "frame binary, status string"
+    "frame binary, status string, skipped bigint"
 )
 
 # Fixed values of the file format: header sizes and magic numbers with their
@@ -46,11 +55,19 @@ _NEAR_SECONDS = 5 * 366 * 86_400
 # No fraction of a second and no length is as large as this, so a time above it
 # cannot be a header that is read out of place.
 _SURE_SECONDS = 1_000_000_000
+# One or two records between damages are believed if their clock is this near.
+_SAME_SECONDS = 86_400
+# Bytes behind a damage that are judged first; then more, up to a frame and again.
+_FIRST_LOOK = 4096
+# Longest frames within which a split point is looked for.
+_STRETCH = 5
 
 
 class ByteRange(InputPartition):
-    def __init__(self, path: str, start: int, end: int, size: int):
-        self.path, self.start, self.end, self.size = path, start, end, size
+    """Range ``index`` of those of ``split`` bytes that a file is cut into."""
+
+    def __init__(self, path: str, index: int, split: int, size: int):
+        self.path, self.index, self.split, self.size = path, index, split, size
 
 
 def _open(path: str):
@@ -72,33 +89,57 @@ def _list(path: str) -> list[tuple[str, int]]:
     return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File)
 
 
-def _plausible(buf: bytes, at: int, order: str, fractions: int, limit: int, snap: int):
-    """Seconds and length of the record at ``at``, and whether its frame is as long as it
-    should be; None if it does not look like a record.
+class Rules(NamedTuple):
+    """How the records of a file look: byte order, fractions of a second, longest frame, snapshot length."""
 
-    A clock that is far behind (relative times) is believed only of whole frames
-    or frames cut at the snapshot length.
-    """
-    sec, fraction, captured, original = struct.unpack_from(order + "4I", buf, at)
-    if fraction >= fractions or not 0 < captured <= limit or captured > original:
-        return None
-    whole = captured in (original, snap)
-    if sec < _SURE_SECONDS and not whole:
-        return None
-    return sec, RECORD_HEADER + captured, whole
-
-
-def _end_of_chain(
-    buf: bytes, at: int, order: str, fractions: int, limit: int, snap: int, last: bool = False
-):
+    order: str
+    fractions: int
+    limit: int
+    snap: int
+
+    @property
+    def step(self) -> int:
+        return self.limit + RECORD_HEADER
+
+    def plausible(self, buf: bytes, at: int) -> tuple[int, int, bool] | None:
+        """Seconds and length of the record at ``at``, and whether its frame is as long as
+        it should be; None if it does not look like a record.
+
+        A clock that is far behind (relative times) is believed only of whole frames
+        or frames cut at the snapshot length.
+        """
+        sec, fraction, captured, original = struct.unpack_from(self.order + "4I", buf, at)
+        if fraction >= self.fractions or not 0 < captured <= self.limit or captured > original:
+            return None
+        whole = captured in (original, self.snap)
+        if sec < _SURE_SECONDS and not whole:
+            return None
+        return sec, RECORD_HEADER + captured, whole
+
+    def candidates(self, buf: bytes, start: int, stop: int) -> np.ndarray:
+        """All offsets in ``start..stop`` that look like a record."""
+        n = min(stop, len(buf) - RECORD_HEADER + 1) - start
+        if n <= 0:
+            return np.empty(0, dtype=np.int64)
+        part = buf[start : start + n + RECORD_HEADER - 1]
+        words = np.empty(n + RECORD_HEADER - 4, dtype=np.uint32)
+        for phase in range(4):
+            count = (len(part) - phase) // 4
+            words[phase::4] = np.frombuffer(part, self.order + "u4", count, phase)
+        sec, fraction, captured, original = (words[i : i + n] for i in (0, 4, 8, 12))
+        good = (fraction < self.fractions) & (captured > 0) & (captured <= self.limit) & (captured <= original)
+        good &= (sec >= _SURE_SECONDS) | (captured == original) | (captured == self.snap)
+        return np.flatnonzero(good) + start
+
+
+def _runs_on(buf: bytes, at: int, rules: Rules):
     """Where a run of records from ``at`` is longer than one frame; None if it is not.
 
-    With ``last`` a run that ends with the bytes counts as well. Single records with a
-    wrong clock do not end a run if their frames are whole.
+    Single records with a wrong clock do not end a run if their frames are whole.
     """
     begin, records, before = at, 0, None
     while at + RECORD_HEADER <= len(buf):
-        found = _plausible(buf, at, order, fractions, limit, snap)
+        found = rules.plausible(buf, at)
         if found is None:
             return None
         sec, size, whole = found
@@ -108,33 +149,134 @@ def _end_of_chain(
         if sec >= _SURE_SECONDS and not far:
             before = sec
         at, records = at + size, records + 1
-        if records >= _MIN_CHAIN and at - begin > limit + RECORD_HEADER:
+        if records >= _MIN_CHAIN and at - begin > rules.step:
             return at
-    return at if last and at == len(buf) and records else None
+    return None
 
 
-def find_boundary(
-    read, start: int, size: int, order: str, fractions: int, limit: int, snap: int, begin: bool = False
-) -> int:
-    """A record boundary shortly after ``start`` (``size`` if there is none).
+def _best_chain(buf: bytes, rules: Rules) -> int | None:
+    """The second record of the longest chain; ties go to the earliest, None if no chain is long enough.
+
+    Lengths are found from right to left, so each offset is looked at once. A chain
+    inside one record of another chain is that record's frame.
+    """
+    length: dict[int, int] = {}
+    reach: dict[int, int] = {}
+    starts = rules.candidates(buf, 0, len(buf)).tolist()
+    for at in reversed(starts):
+        following = at + rules.plausible(buf, at)[1]
+        length[at] = 1 + length.get(following, 0)
+        reach[at] = reach.get(following, following)
+    inside_until, chains, seen = 0, [], set()
+    for at in starts:
+        following = at + rules.plausible(buf, at)[1]
+        if at not in seen and length[at] >= _MIN_CHAIN and reach[at] > inside_until:
+            chains.append((-length[at], at, following))
+        # Later records of a chain are no chains of their own.
+        if at in seen or length[at] >= _MIN_CHAIN:
+            seen.add(following)
+            inside_until = max(inside_until, following)
+    return min(chains)[2] if chains else None
+
+
+def split_point(read, start: int, size: int, rules: Rules) -> int | None:
+    """A record boundary shortly after ``start``; None if nothing there tells one.
 
     The first run of record headers may begin inside a frame that carries a
     capture file itself. Followed for more than one frame it has left that frame
     and is on the records of the file, so the end of the run is the boundary.
-    It depends on the bytes only, and the reader of the range before goes on up
-    to the same offset, so what lies between is read there: nothing is lost and
-    nothing is read twice. With ``begin`` the begin of the run is returned, to go
-    on behind a bad record.
+    Where damages leave no such run, the longest chain is taken. The result depends
+    on the bytes only, whichever range asks for it.
+    """
+    buf = read(start, min(_STRETCH * rules.step, size - start))
+    for candidate in rules.candidates(buf, 0, rules.step).tolist():
+        end = _runs_on(buf, candidate, rules)
+        if end is not None:
+            return start + end
+    best = _best_chain(buf, rules)
+    return None if best is None else start + best
+
+
+def _block(index: int, split: int, rules: Rules) -> int:
+    return -(-index * split // rules.step)
+
+
+def range_start(read, index: int, split: int, size: int, rules: Rules) -> int:
+    """Where range ``index`` begins: the furthest split point up to it.
+
+    Points are looked for every longest frame. Ranges end where the next one begins,
+    so they never overlap, whatever the points are; what has no point of its own is
+    read by the range before.
+    """
+    if index and FILE_HEADER + index * split >= size:
+        return size
+    block, furthest = _block(index, split, rules), FILE_HEADER
+    # A point lies less than a stretch behind where it was looked for.
+    while block > 0 and FILE_HEADER + (block + _STRETCH) * rules.step > furthest:
+        start = FILE_HEADER + block * rules.step
+        if start < size:
+            furthest = max(furthest, split_point(read, start, size, rules) or 0)
+        block -= 1
+    return furthest
+
+
+def _believed(buf: bytes, at: int, rules: Rules, clock: int | None, whole_file: bool) -> bool:
+    """Whether reading may go on at ``at`` behind a damage: a chain is there or, with a clock
+    that the first record must fit, one or two whole records that fit it as well.
+    """
+    records, before, same = 0, None, clock is not None
+    while at + RECORD_HEADER <= len(buf) and (found := rules.plausible(buf, at)):
+        sec, size, whole = found
+        far = before is not None and abs(sec - before) > _NEAR_SECONDS
+        if (far and not whole) or at + size > len(buf):
+            break
+        if sec >= _SURE_SECONDS and not far:
+            before = sec
+        fits = clock is not None and abs(sec - clock) <= _SAME_SECONDS
+        if not records and clock is not None and not fits:
+            return False
+        same = same and whole and fits
+        at, records = at + size, records + 1
+        if records >= _MIN_CHAIN:
+            return True
+    return records > 0 and (same or (whole_file and at == len(buf)))
+
+
+def _search(buf: bytes, rules: Rules, clock: int | None, whole_file: bool, stop: int) -> int | None:
+    """The earliest offset behind the first one, up to ``stop``, where reading may go on."""
+    # The header may still tell how long the frame was; a chain there needs no clock.
+    hint = RECORD_HEADER + struct.unpack_from(rules.order + "4I", buf)[3]
+    if hint < stop and (_believed(buf, hint, rules, None, whole_file) or _believed(buf, hint, rules, clock, whole_file)):
+        return hint
+    start, look = 1, _FIRST_LOOK
+    while start < stop:
+        end = min(start + look, stop)
+        for candidate in rules.candidates(buf, start, end).tolist():
+            if _believed(buf, candidate, rules, clock, whole_file):
+                return candidate
+        start, look = end, look * 8
+    return None
+
+
+def go_on(read, at: int, size: int, rules: Rules, clock: int | None) -> int:
+    """The next record behind the damaged one at ``at``; ``size`` if there is none.
+
+    Records that fit the clock of those before come first. A header that is read a
+    byte out of place may lead to a record by chance, but its clock does not fit.
     """
-    step = limit + RECORD_HEADER
-    while start < size:
-        buf = read(start, min(5 * step, size - start))
-        for candidate in range(min(step, len(buf))):
-            last = begin and start + len(buf) == size
-            end = _end_of_chain(buf, candidate, order, fractions, limit, snap, last)
-            if end is not None:
-                return start + (candidate if begin else end)
-        start += step
+    while at + RECORD_HEADER <= size:
+        buf = read(at, min(_STRETCH * rules.step, size - at))
+        last, stop = at + len(buf) >= size, rules.step + 1
+        found = None if clock is None else _search(buf, rules, clock, last, stop)
+        if found is None:
+            found = _search(buf, rules, None, last, stop)
+            if found is not None and clock is None:
+                first = rules.plausible(buf, found)[0]
+                if first >= _SURE_SECONDS:
+                    found = _search(buf, rules, first, last, found) or found
+        if found is not None:
+            return at + found
+        at += rules.step
     return size
 
 
@@ -147,12 +289,9 @@ class CaptureReader(DataSourceReader):
         ranges = []
         for root in self.paths:
             for path, size in _list(root):
-                start = FILE_HEADER
-                while start < size:
-                    end = min(start + self.split_bytes, size)
-                    ranges.append(ByteRange(path, start, end, size))
-                    start = end
-        return ranges or [ByteRange("", 0, 0, 0)]
+                count = max(1, -(-(size - FILE_HEADER) // self.split_bytes)) if size > FILE_HEADER else 0
+                ranges += [ByteRange(path, i, self.split_bytes, size) for i in range(count)]
+        return ranges or [ByteRange("", 0, 1, 0)]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -161,51 +300,58 @@ class CaptureReader(DataSourceReader):
             head = source.read(FILE_HEADER)
             known = MAGICS.get(bytes(head[:4])) if len(head) == FILE_HEADER else None
             if known is None:
-                if partition.start == FILE_HEADER:
-                    yield self._batch(partition.path, [(0, None, None, None, None, "not a capture")])
+                if partition.index == 0:
+                    yield self._batch(partition.path, [(0, None, None, None, None, "not a capture", partition.size)])
                 return
             yield from self._frames(source, partition, head, *known)
 
     def _frames(self, source, part: ByteRange, head: bytes, order: str, fractions: int):
         snap, link = struct.unpack_from(order + "2I", head, 16)
         # Frames keep to the snapshot length; longer ones are read all the same.
-        limit = snap if 0 < snap < MAX_FRAME else MAX_FRAME
+        rules = Rules(order, fractions, snap if 0 < snap < MAX_FRAME else MAX_FRAME, snap)
         per_ms = fractions // 1000
 
         def read(at: int, n: int) -> bytes:
             source.seek(at)
             return source.read(n)
 
-        rules = (part.size, order, fractions, limit, snap)
-        at = part.start if part.start == FILE_HEADER else find_boundary(read, part.start, *rules)
-        stop = find_boundary(read, part.end, *rules)
-        buf, base, rows = b"", at, []
+        def held(at: int, n: int) -> bytes:
+            inside = at - base
+            return buf[inside : inside + n] if inside + n <= len(buf) else read(at, n)
+
+        following = FILE_HEADER + (part.index + 1) * part.split
+        if following < part.size and _block(part.index, part.split, rules) == _block(part.index + 1, part.split, rules):
+            # Both ends have the same point.
+            return
+        at = range_start(read, part.index, part.split, part.size, rules)
+        stop = range_start(read, part.index + 1, part.split, part.size, rules)
+        buf, base, rows, clock = b"", at, [], None
         while at < stop:
             if at - base + RECORD_HEADER > len(buf):
                 buf, base = read(at, _READ_BYTES), at
-            if len(buf) < RECORD_HEADER:
-                rows.append((at, None, None, None, None, "truncated"))
-                break
-            sec, fraction, captured, original = struct.unpack_from(order + "4I", buf, at - base)
+            sec = fraction = captured = original = 0
+            if len(buf) >= RECORD_HEADER:
+                sec, fraction, captured, original = struct.unpack_from(order + "4I", buf, at - base)
             end = at - base + RECORD_HEADER + captured
-            if captured > MAX_FRAME:
-                rows.append((at, None, None, None, None, "malformed"))
-                at = find_boundary(read, at + 1, *rules, begin=True)
-                buf, base = b"", at
-                continue
-            if end > len(buf):
+            readable = captured <= MAX_FRAME and (sec or captured or original)
+            if readable and end > len(buf):
                 buf, base = read(at, max(_READ_BYTES, RECORD_HEADER + captured)), at
                 end = RECORD_HEADER + captured
-                if end > len(buf):
-                    # A wrong length looks like the end of the file; records may follow.
-                    following = find_boundary(read, at + 1, *rules, begin=True)
-                    status = "truncated" if following >= part.size else "malformed"
-                    rows.append((at, None, None, None, None, status))
-                    buf, base, at = b"", following, following
-                    continue
+            if not readable or end > len(buf):
+                # A wrong length looks like the end of the file; records may follow.
+                following = go_on(held, at, part.size, rules, clock)
+                cut = readable or part.size - at < RECORD_HEADER
+                status = "truncated" if cut and following >= part.size else "malformed"
+                rows.append((at, None, None, None, None, status, following - at))
+                # What is left of the buffer is no more than was judged.
+                if following - base > len(buf):
+                    buf, base = b"", following
+                at = following
+                continue
             frame = buf[end - captured : end]
             original = min(original, 2**31 - 1)
-            rows.append((at, sec * 1000 + fraction // per_ms, link & 0xFFFF, original, frame, "ok"))
+            rows.append((at, sec * 1000 + fraction // per_ms, link & 0xFFFF, original, frame, "ok", None))
+            clock = sec if sec >= _SURE_SECONDS else clock
             at = base + end
             if len(rows) >= _BATCH_ROWS:
                 yield self._batch(part.path, rows)
@@ -215,7 +361,7 @@ class CaptureReader(DataSourceReader):
 
     @staticmethod
     def _batch(path: str, rows: list[tuple]) -> pa.RecordBatch:
-        seq, ts, link, original, frame, status = zip(*rows)
+        seq, ts, link, original, frame, status, skipped = zip(*rows)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([path] * len(rows), pa.string()),
@@ -225,8 +371,9 @@ class CaptureReader(DataSourceReader):
                 pa.array(original, pa.int32()),
                 pa.array(frame, pa.binary()),
                 pa.array(status, pa.string()),
+                pa.array(skipped, pa.int64()),
             ],
-            names=["capture_id", "seq", "ts_ms", "link_type", "orig_len", "frame", "status"],
+            names=["capture_id", "seq", "ts_ms", "link_type", "orig_len", "frame", "status", "skipped"],
         )
 
 
@@ -246,3 +393,15 @@ class CaptureSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(CaptureSource)
+
+
+def damage(frames: DataFrame) -> DataFrame:
+    """Per capture: whole records, damaged places, the bytes they take, and places cut off by the end of the file."""
+    count = lambda condition: F.count(F.when(condition, 1))
+    status = F.col("status")
+    return frames.groupBy("capture_id").agg(
+        count(status == "ok").alias("records"),
+        count(status == "malformed").alias("damages"),
+        F.coalesce(F.sum(F.when(status == "malformed", F.col("skipped"))), F.lit(0)).alias("damaged_bytes"),
+        count(status == "truncated").alias("cut_off"),
+    )

@@ -221,6 +221,49 @@ def test_wrong_clock_and_wrong_lengths_for_every_split(spark, folder, wrong):
         assert [r[0] for r in rows] == [24 + 416 * i for i in range(400)]
 
 
+@pytest.mark.parametrize("kind", ["length", "both lengths", "zeros", "noise"])
+@pytest.mark.parametrize("bad", ["97", "5", "2", "three at once", "first"])
+def test_good_records_between_damages_are_all_read(kind, bad):
+    """In process: any rate and kind of damage, any split size."""
+    import io
+    import random
+
+    draw = random.Random(1)
+    is_bad = {
+        "97": lambda i: i % 97 == 5,
+        "5": lambda i: i % 5 == 1,
+        "2": lambda i: i % 2 == 1,
+        "three at once": lambda i: i % 50 in (3, 4, 5),
+        "first": lambda i: i == 0 or i % 7 == 3,
+    }[bad]
+    data, good, gaps, was_bad = bytearray(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262_144, 1)), [], [], False
+    for i in range(1200):
+        size = draw.randint(60, 1500)
+        head = [1_700_000_000 + i, 0, size, size]
+        if is_bad(i):
+            if not was_bad:
+                gaps.append([len(data), 0])
+            gaps[-1][1] += 16 + size
+            head = {
+                "length": [*head[:2], 1 << 30, size],
+                "both lengths": [*head[:2], *[draw.choice([1 << 30, 300_000])] * 2],
+                "zeros": [0] * 4,
+                "noise": [draw.getrandbits(32) | 1 << 31 for _ in range(4)],
+            }[kind]
+        else:
+            good.append(len(data))
+        was_bad = is_bad(i)
+        data += struct.pack("<4I", *head) + draw.randbytes(size)
+    for split in (10**9, 90_001, 300_000) if bad == "97" else (10**9, 300_000):
+        source, rows = io.BytesIO(data), []
+        reader = capture.CaptureReader({"path": "x", "splitbytes": str(split)})
+        for part in range(-(-(len(data) - 24) // split)):
+            read = reader._frames(source, capture.ByteRange("x", part, split, len(data)), bytes(data[:24]), "<", 1_000_000)
+            rows += [r for batch in read for r in batch.to_pylist()]
+        assert sorted(r["seq"] for r in rows if r["status"] == "ok") == good
+        assert sorted([r["seq"], r["skipped"]] for r in rows if r["status"] == "malformed") == gaps
+
+
 def test_flows_of_two_captures_are_audited_apart(spark, folder):
     from flowloom.operators.audit import audit_summary, flow_truth, strict_audit
     from flowloom.plans.flow_tables import FLOW_ID, stored
