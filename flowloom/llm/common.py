@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.plans.flow_tables import stored
+from flowloom.tables import scratch_folder, stored
 
-__all__ = ["stored", "table", "remainder", "held_out", "whole_text", "rows_of"]
+__all__ = ["stored", "scratch_folder", "table", "remainder", "held_out", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,3 @@ def held_out(key: str, folds: int) -> Column:
 def whole_text(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
-
-
-def rows_of(df: DataFrame) -> int:
-    return df.count()

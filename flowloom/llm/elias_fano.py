@@ -130,7 +130,7 @@ class Trie:
 
     Level 1 holds the contexts, level 2 their successors. A successor is stored
     relative to its context: its id behind the ids of all contexts before it.
-    ``spread`` is above every id.
+    ``spread`` is the least power of two above every id, so low bits are as few as the ids need.
     """
 
     def __init__(self, buffer) -> None:
@@ -141,8 +141,9 @@ class Trie:
         self.values = np.frombuffer(buffer, np.uint16, self.successors.n, self.successors.end)
 
     @staticmethod
-    def encode(context: np.ndarray, successor: np.ndarray, values: np.ndarray, spread: int) -> bytes:
+    def encode(context: np.ndarray, successor: np.ndarray, values: np.ndarray) -> bytes:
         """Pairs must be distinct and sorted by context, then successor."""
+        spread = 1 << int(successor.max(initial=0)).bit_length()
         names, first = np.unique(context, return_index=True)
         number = np.repeat(np.arange(len(names)), np.diff(np.append(first, len(context))))
         relative = number.astype(np.uint64) * np.uint64(spread) + successor.astype(np.uint64)
@@ -156,12 +157,13 @@ class Trie:
             )
         )
 
-    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Value of each pair (0 if absent) and whether it is there."""
+    def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Value of each pair (0 if absent), whether it is there, and its place among all pairs."""
         number, known = self.contexts.successor(context)
-        found = known.copy()
+        found = known & (successor < np.uint64(self.spread))
         value = np.zeros(len(found), dtype=np.uint16)
-        some = np.flatnonzero(known)
+        places = np.zeros(len(found), dtype=np.int64)
+        some = np.flatnonzero(found)
         relative = number[some].astype(np.uint64) * np.uint64(self.spread) + successor[some].astype(np.uint64)
         place, equal = self.successors.successor(relative)
         # The place must be inside the context's range.
@@ -169,4 +171,5 @@ class Trie:
         equal &= (place >= first.astype(np.int64)) & (place < last.astype(np.int64))
         found[some] = equal
         value[some[equal]] = self.values[place[equal]]
-        return value, found
+        places[some[equal]] = place[equal]
+        return value, found, places

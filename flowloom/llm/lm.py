@@ -18,7 +18,7 @@ A trigram is asked for where the bigram in front and the one at its end were
 seen; its key is the place of the bigram in its shard plus the word, its estimate
 ``(n(bigram, word) + MU * p(word | context)) / (n(bigram) + MU)`` with the bigram
 estimate as p. Where the bigram in front was not seen, the bigram estimate is
-left as it is. ``score`` sums the bigram, ``trigram_score`` the trigram estimates.
+left as it is. ``score`` sums the trigram estimates, ``bigram_score`` those of the level below.
 
 A context begins each document; an end token closes it. Null texts are empty and
 score their end token alone; a null key is never learned from; repeated rows
@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import held_out, stored
+from flowloom.llm.common import held_out, scratch_folder, stored
 from flowloom.llm.elias_fano import Trie, mapped
 
 BLOCK_BYTES = 8_000_000
@@ -135,8 +135,8 @@ _BLOCK_ARROW = pa.schema(
 )
 
 
-def make_blocks(docs: DataFrame, key: str, text: str, folds: int | None, shards: int) -> DataFrame:
-    """Without folds nothing is learned from."""
+def make_blocks(docs: DataFrame, key: str, text: str, folds: int | None, shards: int) -> str:
+    """Writes the blocks, each into a folder of its own; returns the folder of all. Without folds nothing is learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -166,7 +166,24 @@ def make_blocks(docs: DataFrame, key: str, text: str, folds: int | None, shards:
         (F.lit(True) if folds is None else held_out(key, folds)).alias("h"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"),
     )
-    return stored(rows.mapInArrow(run, _BLOCK), "blocks")
+    folder = scratch_folder(docs.sparkSession, "blocks")
+    rows.mapInArrow(run, _BLOCK).write.partitionBy("block").parquet(folder)
+    return folder
+
+
+def read_block(folder: str, number: int) -> dict:
+    """A block, read by the task that needs it, so that tokens are never shuffled."""
+    from pyarrow import fs, parquet
+
+    system, base = fs.FileSystem.from_uri(folder)
+    files = system.get_file_info(fs.FileSelector(f"{base}/block={number}"))
+    (path,) = [f.path for f in files if f.path.endswith(".parquet")]
+    with system.open_input_file(path) as source:
+        return parquet.ParquetFile(source).read().to_pylist()[0] | {"block": number}
+
+
+def blocks_in(spark, folder: str) -> DataFrame:
+    return spark.read.schema(_BLOCK).parquet(folder)
 
 
 # -- words -------------------------------------------------------------------
@@ -229,7 +246,10 @@ def _count_words(shards: int):
         # By falling count, so frequent words have small ids.
         number = np.empty(len(place), dtype=np.int64)
         number[np.argsort(-total, kind="stable")] = np.arange(len(place))
-        ids = (number * shards + shard).astype(np.uint32)
+        ids = number * shards + shard
+        if len(ids) and int(ids.max()) >= UNKNOWN:
+            raise ValueError("more words than 32-bit ids tell apart")
+        ids = ids.astype(np.uint32)
         out = [_answer(row, pack(ids[spot]), pack(total[spot])) for spot, row in zip(spots, rows, strict=True)]
         level = _answer({"shard": shard, "block": LEVEL}, pack_words(list(place)), pack(total), pack(ids))
         # The sums of the shard go with its level.
@@ -301,11 +321,12 @@ def _word_counts(ids: np.ndarray, counts: np.ndarray):
     return of
 
 
-def _ask_bigrams(shards: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+def _ask_bigrams(shards: int, folder: str):
+    def run(right: pa.Table) -> pa.Table:
         out = []
-        for row in left.to_pylist():
-            ids, counts = _answers(right.to_pylist())
+        answers = right.to_pylist()
+        for row in [read_block(folder, answers[0]["block"])]:
+            ids, counts = _answers(answers)
             keys, shard, _, seen = _bigrams(row, ids, shards)
             of = _word_counts(ids, counts)
             end = counts[unpack_words(row["words"]).index(END)]
@@ -343,8 +364,8 @@ def smoothed(seen: np.ndarray, word: np.ndarray, context: np.ndarray, tokens: in
     return (seen + MU * unigram(word, tokens, distinct)) / (context + MU)
 
 
-def _level(rows: list[dict], tokens: int, distinct: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, bytes]:
-    """Keys asked by each block; keys and counts of the shard's training bigrams, and their trie."""
+def _level(rows: list[dict], tokens: int, distinct: int) -> tuple[list[np.ndarray], np.ndarray, bytes]:
+    """Keys asked by each block; counts of the shard's training bigrams in the order of their trie, and that."""
     asked = [unpack_keys(r["keys"]) for r in rows]
     keys, place = np.unique(np.concatenate(asked), return_inverse=True)
     seen = np.bincount(place, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(keys))
@@ -357,28 +378,29 @@ def _level(rows: list[dict], tokens: int, distinct: int) -> tuple[list[np.ndarra
     context[place] = np.concatenate(spread)
     learned = seen > 0
     keys, seen, word, context = keys[learned], seen[learned], word[learned], context[learned]
-    return asked, keys, seen, _trie(keys, smoothed(seen, word, context, tokens, distinct))
+    return asked, seen, _trie(keys, smoothed(seen, word, context, tokens, distinct))
 
 
 def _trie(keys: np.ndarray, estimate: np.ndarray) -> bytes:
     codes = np.clip(np.round(-np.log10(estimate) * STEPS), 0, UNSEEN - 1).astype(np.uint16)
-    return Trie.encode(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), codes, 1 << 32)
+    return Trie.encode(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), codes)
 
 
-def _found(level: bytes, asked: list[np.ndarray]) -> list[np.ndarray]:
+def _found(level: bytes, asked: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Value (or UNSEEN) and place of the keys of each block."""
     trie = Trie(mapped(level))
     out = []
     for keys in asked:
-        value, found = trie.find(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF))
-        out.append(np.where(found, value, UNSEEN).astype(np.uint16))
+        value, found, place = trie.find(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF))
+        out.append((np.where(found, value, UNSEEN).astype(np.uint16), place))
     return out
 
 
-def _bigram_answers(rows: list[dict], asked: list[np.ndarray], level: bytes, known: np.ndarray, seen: np.ndarray) -> list[dict]:
+def _bigram_answers(rows: list[dict], asked: list[np.ndarray], level: bytes, seen: np.ndarray) -> list[dict]:
     """Value of each bigram; counts and places in the shard of the seen ones."""
     out = []
-    for keys, value, row in zip(asked, _found(level, asked), rows, strict=True):
-        spot = np.searchsorted(known, keys[value != UNSEEN])
+    for (value, place), row in zip(_found(level, asked), rows, strict=True):
+        spot = place[value != UNSEEN]
         out.append(_answer(row, pack(value), pack(seen[spot].astype(np.uint32)), pack_keys(spot.astype(np.uint64))))
     return out
 
@@ -388,9 +410,10 @@ def _look_up(tokens: int, distinct: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        asked, known, seen, level = _level(rows, tokens, distinct)
-        out = _bigram_answers(rows, asked, level, known, seen)
-        out.append(_answer({"shard": rows[0]["shard"], "block": LEVEL}, level, pack(seen.astype(np.uint32)), pack_keys(known)))
+        asked, seen, level = _level(rows, tokens, distinct)
+        out = _bigram_answers(rows, asked, level, seen)
+        # The trie holds the keys; counts are in its order.
+        out.append(_answer({"shard": rows[0]["shard"], "block": LEVEL}, level, pack(seen.astype(np.uint32))))
         return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
 
     return run
@@ -401,11 +424,11 @@ def _known_bigrams(left: pa.Table, right: pa.Table) -> pa.Table:
     rows, levels = left.to_pylist(), right.to_pylist()
     asked = [unpack_keys(r["keys"]) for r in rows]
     if levels:
-        level, seen, known = levels[0]["first"], unpack(levels[0]["second"]), unpack_keys(levels[0]["third"])
+        level, seen = levels[0]["first"], unpack(levels[0]["second"])
     else:
-        known = seen = np.empty(0, dtype=np.uint64)
-        level = _trie(known, np.empty(0))
-    return pa.Table.from_pylist(_bigram_answers(rows, asked, level, known, seen), schema=_ANSWER_ARROW)
+        seen = np.empty(0, dtype=np.uint64)
+        level = _trie(seen, np.empty(0))
+    return pa.Table.from_pylist(_bigram_answers(rows, asked, level, seen), schema=_ANSWER_ARROW)
 
 
 # -- trigrams ----------------------------------------------------------------
@@ -439,6 +462,8 @@ class _Trigrams:
         word = keys[own] & np.uint64(0xFFFFFFFF)
         moved = ((word & np.uint64(15)) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(shards)
         to = (shard[front] + moved.astype(np.int64)) % shards
+        if len(spot) and int(spot.max()) >> 32:
+            raise ValueError("a shard has more bigrams than 32 bits tell apart; use more shards")
         key = (spot[front] << np.uint64(32)) | word
         order = np.lexsort((key, to))
         fresh = np.ones(len(order), dtype=bool)
@@ -457,11 +482,12 @@ def _split(answers: list[dict]) -> list[list[dict]]:
     return [[r for r in answers if r["level"] == level] for level in (1, 2, 3)]
 
 
-def _ask_trigrams(shards: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+def _ask_trigrams(shards: int, folder: str):
+    def run(right: pa.Table) -> pa.Table:
         out = []
-        of_words, of_bigrams, _ = _split(right.to_pylist())
-        for row in left.to_pylist():
+        answers = right.to_pylist()
+        of_words, of_bigrams, _ = _split(answers)
+        for row in [read_block(folder, answers[0]["block"])]:
             own = _Trigrams(row, _answers(of_words)[0], of_bigrams, shards)
             bounds = np.searchsorted(own.shard, np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(bounds)).tolist():
@@ -492,7 +518,7 @@ def _look_up_trigrams(table: pa.Table) -> pa.Table:
     learned = seen > 0
     keys, seen, code, context = keys[learned], seen[learned], code[learned], context[learned]
     level = _trie(keys, (seen + MU * 10.0 ** (code / -STEPS)) / (context + MU))
-    out = [_answer(r, pack(v)) for r, v in zip(rows, _found(level, asked), strict=True)]
+    out = [_answer(r, pack(v)) for r, (v, _) in zip(rows, _found(level, asked), strict=True)]
     out.append(_answer({"shard": rows[0]["shard"], "block": LEVEL}, level))
     return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
 
@@ -502,13 +528,13 @@ def _known_trigrams(left: pa.Table, right: pa.Table) -> pa.Table:
     rows, levels = left.to_pylist(), right.to_pylist()
     asked = [unpack_keys(r["keys"]) for r in rows]
     level = levels[0]["first"] if levels else _trie(np.empty(0, dtype=np.uint64), np.empty(0))
-    out = [_answer(r, pack(v)) for r, v in zip(rows, _found(level, asked), strict=True)]
+    out = [_answer(r, pack(v)) for r, (v, _) in zip(rows, _found(level, asked), strict=True)]
     return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
 
 
 # -- scores ------------------------------------------------------------------
 
-_SCORE = "k bigint, h boolean, n_tokens bigint, n_known bigint, base_score double, score double, trigram_score double"
+_SCORE = "k bigint, h boolean, n_tokens bigint, n_known bigint, base_score double, bigram_score double, score double"
 _SCORE_ARROW = pa.schema(
     [
         ("k", pa.int64()),
@@ -516,18 +542,19 @@ _SCORE_ARROW = pa.schema(
         ("n_tokens", pa.int64()),
         ("n_known", pa.int64()),
         ("base_score", pa.float64()),
+        ("bigram_score", pa.float64()),
         ("score", pa.float64()),
-        ("trigram_score", pa.float64()),
     ]
 )
 
 
-def _score(shards: int, tokens: int, distinct: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+def _score(shards: int, tokens: int, distinct: int, folder: str):
+    def run(right: pa.Table) -> pa.Table:
         out = []
-        of_words, of_bigrams, of_trigrams = _split(right.to_pylist())
+        answers = right.to_pylist()
+        of_words, of_bigrams, of_trigrams = _split(answers)
         of_trigrams.sort(key=lambda r: r["shard"])
-        for row in left.to_pylist():
+        for row in [read_block(folder, answers[0]["block"])]:
             ids, counts = _answers(of_words)
             keys, _, place, _ = _bigrams(row, ids, shards)
             deep = _Trigrams(row, ids, of_bigrams, shards)
@@ -587,7 +614,7 @@ def fit_and_score(
     rows = docs.select(key, text)
     shards = max(8, 2 * rows.rdd.getNumPartitions())
     blocks = make_blocks(rows, key, text, folds, shards)
-    asked = blocks.select("block", "words", "counts", "shards").mapInArrow(_ask_words, _ASK)
+    asked = blocks_in(docs.sparkSession, blocks).select("block", "words", "counts", "shards").mapInArrow(_ask_words, _ASK)
     words = stored(asked.groupBy("shard").applyInArrow(_count_words(shards), _ANSWER), "unigrams")
     sums = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = int(sums[0]), int(sums[1])
@@ -607,7 +634,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 1
 def score(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Score any documents by a fitted model; nothing is learned from them, so all are held out."""
     blocks = make_blocks(docs.select(key, text), key, text, None, model.shards)
-    asked = blocks.select("block", "words", "counts", "shards").mapInArrow(_ask_words, _ASK)
+    asked = blocks_in(docs.sparkSession, blocks).select("block", "words", "counts", "shards").mapInArrow(_ask_words, _ASK)
     words = stored(_known(asked, model.words, _known_words), "unigrams")
     bigrams = stored(_known(_pairs(blocks, words, model.shards), model.bigrams, _known_bigrams), "bigrams")
     trigrams = _known(_triples(blocks, words, bigrams, model.shards), model.trigrams, _known_trigrams)
@@ -615,7 +642,7 @@ def score(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
-    """Rows: key, held_out, n_tokens, n_known, train_tokens, base_score, score, trigram_score."""
+    """Rows: key, held_out, n_tokens, n_known, train_tokens, base_score, bigram_score, score."""
     return fit_and_score(docs, key, text, folds)[1]
 
 
@@ -633,21 +660,17 @@ def _of_blocks(*answers: DataFrame) -> DataFrame:
     return found
 
 
-def _pairs(blocks: DataFrame, words: DataFrame, shards: int) -> DataFrame:
-    answers = _of_blocks(words).groupBy("block")
-    return blocks.groupBy("block").cogroup(answers).applyInArrow(_ask_bigrams(shards), _ASK)
+def _pairs(blocks: str, words: DataFrame, shards: int) -> DataFrame:
+    return _of_blocks(words).groupBy("block").applyInArrow(_ask_bigrams(shards, blocks), _ASK)
 
 
-def _triples(blocks: DataFrame, words: DataFrame, bigrams: DataFrame, shards: int) -> DataFrame:
-    answers = _of_blocks(words, bigrams).groupBy("block")
-    return blocks.groupBy("block").cogroup(answers).applyInArrow(_ask_trigrams(shards), _ASK)
+def _triples(blocks: str, words: DataFrame, bigrams: DataFrame, shards: int) -> DataFrame:
+    return _of_blocks(words, bigrams).groupBy("block").applyInArrow(_ask_trigrams(shards, blocks), _ASK)
 
 
-def _scores(blocks, words, bigrams, trigrams, model: LanguageModel, key: str) -> DataFrame:
+def _scores(blocks: str, words, bigrams, trigrams, model: LanguageModel, key: str) -> DataFrame:
     answers = _of_blocks(words, bigrams, trigrams).groupBy("block")
-    scored = blocks.groupBy("block").cogroup(answers).applyInArrow(
-        _score(model.shards, model.tokens, model.distinct), _SCORE
-    )
+    scored = answers.applyInArrow(_score(model.shards, model.tokens, model.distinct, blocks), _SCORE)
     return scored.select(
         F.col("k").alias(key),
         F.col("h").alias("held_out"),
@@ -655,6 +678,6 @@ def _scores(blocks, words, bigrams, trigrams, model: LanguageModel, key: str) ->
         "n_known",
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         "base_score",
+        "bigram_score",
         "score",
-        "trigram_score",
     )

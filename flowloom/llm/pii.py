@@ -119,7 +119,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             if at >= free["ip"]:
                 if match := _IP.match(text, at):
                     free["ip"] = match.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in match[0].split(".")):
+                    if all(len(short := p.lstrip("0")) <= 3 and int(short or "0") <= 255 for p in match[0].split(".")):
                         found["ip"].append(match.span())
                 else:
                     free["ip"] = _DIGITS.match(text, at).end()

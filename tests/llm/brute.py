@@ -27,7 +27,7 @@ def base_spans(text):
     for kind, pattern in PATTERNS.items():
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m[0])
-            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+            if kind == "ip" and any(len(p.lstrip("0")) > 3 or int(p.lstrip("0") or "0") > 255 for p in m[0].split(".")):
                 continue
             if kind == "card" and not (13 <= len(digits) <= 19 and luhn_sum(digits)):
                 continue

@@ -280,9 +280,9 @@ def test_trie():
     rng = np.random.default_rng(7)
     keys = np.unique(rng.integers(0, 200, (3000, 2)), axis=0).astype(np.uint64)
     codes = rng.integers(0, 65_000, len(keys)).astype(np.uint16)
-    trie = elias_fano.Trie(elias_fano.mapped(elias_fano.Trie.encode(keys[:, 0], keys[:, 1], codes, 1 << 32)))
+    trie = elias_fano.Trie(elias_fano.mapped(elias_fano.Trie.encode(keys[:, 0], keys[:, 1], codes)))
     asked = rng.integers(0, 210, (4000, 2)).astype(np.uint64)
-    value, found = trie.find(asked[:, 0], asked[:, 1])
+    value, found, place = trie.find(asked[:, 0], asked[:, 1])
     known = {tuple(k): c for k, c in zip(keys.tolist(), codes.tolist(), strict=True)}
     for pair, v, f in zip(asked.tolist(), value.tolist(), found.tolist(), strict=True):
         assert (known.get(tuple(pair)) == v) if f else (tuple(pair) not in known)
@@ -306,7 +306,7 @@ def test_language_model_equals_plain_counts(spark, texts, monkeypatch):
         assert (row["n_tokens"], row["n_known"], row["train_tokens"]) == (n, known, total)
         assert row["held_out"] == (row["doc_id"] is None or brute.crc(row["doc_id"]) % 10 == 0)
         assert math.isclose(row["base_score"], base, rel_tol=1e-9)
-        assert math.isclose(row["score"], score, rel_tol=1e-6, abs_tol=n / lm.STEPS)
+        assert math.isclose(row["bigram_score"], score, rel_tol=1e-6, abs_tol=n / lm.STEPS)
     assert lm.score_documents(frame(spark, [])).count() == 0
     alone = lm.score_documents(frame(spark, [(None, "a b")])).collect()
     assert alone[0]["train_tokens"] == 0 and alone[0]["n_known"] == 0
@@ -339,15 +339,15 @@ def test_trigrams_equal_plain_counts(spark, texts, monkeypatch):
     for row in found:
         own = brute.tokens(text_of[row["doc_id"]])
         wanted = pair("<s>", own[0]) + sum(triple(*t) for t in zip(["<s>", *own], own, own[1:], strict=False))
-        assert math.isclose(row["trigram_score"], wanted, rel_tol=1e-6, abs_tol=len(own) / lm.STEPS)
+        assert math.isclose(row["score"], wanted, rel_tol=1e-6, abs_tol=len(own) / lm.STEPS)
     held = [r for r in found if r["held_out"] and r["doc_id"] is not None]
-    assert sum(r["trigram_score"] for r in held) != sum(r["score"] for r in held)
+    assert sum(r["score"] for r in held) != sum(r["bigram_score"] for r in held)
 
 
 def test_stored_levels_score_other_documents(spark, texts, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 40_000)
     model, scored = lm.fit_and_score(frame(spark, texts))
-    columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "trigram_score"]
+    columns = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "bigram_score", "score"]
     wanted = {r["doc_id"]: r for r in scored.select(columns).collect()}
     again = lm.score(frame(spark, texts), model).select(*columns, "held_out").collect()
     assert len(again) == len(wanted) and all(r["held_out"] for r in again)

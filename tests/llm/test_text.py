@@ -51,6 +51,12 @@ def test_token_counts_equal_the_library(spark, texts):
     assert tokens.token_counts(frame(spark, []), MODEL).count() == 0
 
 
+@pytest.mark.parametrize("text", ["0" * 5000 + "1.2.3.4", "1.2.3." + "0" * 4400 + "5", "1.2.3." + "9" * 5000, "1." * 9000])
+def test_addresses_of_very_many_digits(text):
+    found = [s for s in pii.find_spans(text) if s[0] in pii.BASE_KINDS]
+    assert found == brute.base_spans(text)
+
+
 def test_proven_words_are_single_tokens():
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     words = tokens.proven_words(library)
