@@ -1,69 +1,87 @@
 """Prefix sums, ranks and quantiles that never put a whole table in one task.
 
-The values are first counted (equal values collapse map-side), then cut into
-buckets at approximate quantiles of the distinct values. Sums inside a bucket
-and sums of whole buckets together give exact running totals, whatever the
-quality of the cut points is.
+Prefix sums: distinct values are dealt to ranges of their order once; what each
+range adds up to is a table of one row per range and group, and its running
+totals move the sums inside the ranges. Parallelism is that of the shuffle.
+
+Quantiles: radix selection on the order-preserving 64-bit form of the values.
+Each pass counts 16 bits more, only of values that share the bits so far with a
+wanted rank, so the shuffles carry counters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from flowloom.tables import stored
 
-BUCKETS = 256
 #: Chunks that one window takes when something is carried over chunks.
 CHUNKS_PER_BLOCK = 4096
+#: Bits that a pass of the radix selection counts.
+DIGIT = 16
 
 
-def _bucketed(counted: DataFrame, group: list[str], value: str, buckets: int) -> DataFrame:
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = F.percentile_approx(value, probs, 10_000).alias("cuts")
-    below = F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("bucket")
-    if not group:
-        placed = counted.withColumn("cuts", counted.agg(cuts).scalar())
-        return placed.select(*counted.columns, below)
-    # One group may hold most of the values, so its rows are spread over as many
-    # join keys as there are shuffle partitions; the cut points are repeated.
-    spread = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
-    table = counted.groupBy(*group).agg(cuts).withColumn("salt", salts)
-    salted = counted.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(spread)).cast("int"))
-    return salted.join(table, [*group, "salt"]).select(*counted.columns, below)
-
-
-def running_totals(
-    counted: DataFrame, group: Sequence[str], value: str, counts: Sequence[str], buckets: int = BUCKETS
-) -> DataFrame:
+def _summed_in_ranges(counted: DataFrame, by: list[str], counts: Sequence[str]) -> DataFrame:
+    """Rows in ranges of ``by``: number of the range, and sums of the rows before in it."""
+    order = [F.col(c).asc_nulls_first() for c in by]
+    dealt = counted.repartitionByRange(*order).sortWithinPartitions(*order)
+    names = [f"{c}_before" for c in counts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, sums = TaskContext.get().partitionId(), [0] * len(counts)
+        for batch in batches:
+            columns = [*batch.columns, pa.array(np.full(batch.num_rows, part))]
+            for i, name in enumerate(counts):
+                values = batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
+                upto = np.cumsum(values) + sums[i]
+                columns.append(pa.array(upto - values))
+                sums[i] = int(upto[-1]) if len(upto) else sums[i]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_part", *names])
+
+    schema = StructType([*counted.schema.fields, *[StructField(c, LongType()) for c in ("_part", *names)]])
+    return dealt.mapInArrow(run, schema)
+
+
+def running_totals(counted: DataFrame, group: Sequence[str], value: str, counts: Sequence[str]) -> DataFrame:
     """Add ``<count>_before``, ``<count>_upto`` (sums over smaller, or equal, values)
     and ``<count>_all`` (sum of the group).
 
-    ``counted`` holds each value once per group.
+    ``counted`` holds each value once per group, and counts without NULLs.
     """
-    group = list(group)
-    placed = _bucketed(counted, group, value, buckets)
-    totals = placed.groupBy(*group, "bucket").agg(*[F.sum(c).alias(f"{c}_in") for c in counts])
-    # At most ``buckets`` rows per group.
-    whole = Window.partitionBy(*group)
-    across = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(
-        *group,
-        "bucket",
-        *[F.coalesce(F.sum(f"{c}_in").over(across), F.lit(0)).alias(f"{c}_base") for c in counts],
-        *[F.sum(f"{c}_in").over(whole).alias(f"{c}_all") for c in counts],
+    key = F.struct(*[F.col(c) for c in group]) if group else F.lit(0)
+    # Ranges are cut at sampled values, so they are stored before they are read twice.
+    placed = stored(_summed_in_ranges(counted, [*group, value], counts), "ranges").withColumn("_key", key)
+    parts = placed.groupBy("_key", "_part").agg(
+        *[F.min(f"{c}_before").alias(f"{c}_first") for c in counts], *[F.sum(c).alias(f"{c}_in") for c in counts]
     )
-    inside = (
-        Window.partitionBy(*group, "bucket")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, 0)
+    # One row per range and group: a group has at most as many as there are ranges.
+    whole = Window.partitionBy("_key")
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = stored(
+        parts.select(
+            "_key",
+            "_part",
+            *[
+                (F.coalesce(F.sum(f"{c}_in").over(earlier), F.lit(0)) - F.col(f"{c}_first")).alias(f"{c}_base")
+                for c in counts
+            ],
+            *[F.sum(f"{c}_in").over(whole).alias(f"{c}_all") for c in counts],
+        ),
+        "range_totals",
     )
-    joined = placed.join(bases, group + ["bucket"])
-    upto = {f"{c}_upto": F.col(f"{c}_base") + F.sum(c).over(inside) for c in counts}
-    before = {f"{c}_before": F.col(f"{c}_upto") - F.col(c) for c in counts}
+    before = {f"{c}_before": F.col(f"{c}_before") + F.col(f"{c}_base") for c in counts}
+    upto = {f"{c}_upto": F.col(f"{c}_before") + F.col(c) for c in counts}
     keep = [*counted.columns, *before, *upto, *[f"{c}_all" for c in counts]]
-    return joined.withColumns(upto).withColumns(before).select(*keep)
+    return placed.join(bases, ["_key", "_part"]).withColumns(before).withColumns(upto).select(*keep)
 
 
 def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -78,32 +96,78 @@ def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) ->
     return rows.filter(F.col("value").isNotNull())
 
 
+def _turned(bits: np.ndarray) -> np.ndarray:
+    """Between the bits of doubles and integers of the same order; its own inverse."""
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits)
+
+
+@F.pandas_udf(LongType())
+def _ordered_bits(values: pd.Series) -> pd.Series:
+    # Adding zero makes the two zeros one.
+    return pd.Series(_turned((values.to_numpy(np.float64) + 0.0).view(np.int64)))
+
+
+@F.pandas_udf(DoubleType())
+def _value_of(bits: pd.Series) -> pd.Series:
+    return pd.Series(_turned(bits.to_numpy(np.int64)).view(np.float64))
+
+
+def _select_ranks(rows: DataFrame, ranks: dict[str, Column]) -> DataFrame:
+    """The bits at each rank, one row ``(_key, name, bits, n)`` per key and rank.
+
+    ``rows`` are ``(_key, bits)``; ranks are of the sorted rows of a key, by their number n.
+    """
+    wanted = None
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        dealt = rows.withColumn("digits", F.shiftright("bits", shift))
+        if wanted is None:
+            dealt = dealt.withColumn("prefix", F.lit(0).cast("bigint"))
+        else:
+            # A few rows per key; Spark broadcasts them where their stored size allows it.
+            dealt = dealt.withColumn("prefix", F.shiftright("bits", shift + DIGIT))
+            dealt = dealt.join(wanted.select("_key", "prefix").distinct(), ["_key", "prefix"])
+        counted = dealt.groupBy("_key", "prefix", "digits").agg(F.count(F.lit(1)).alias("cell"))
+        if wanted is None:
+            counted = stored(counted, "digits")
+            total = counted.groupBy("_key").agg(F.sum("cell").alias("n"))
+            pairs = F.array(*[F.struct(F.lit(k).alias("name"), at.cast("bigint").alias("at")) for k, at in ranks.items()])
+            first = total.select("_key", "n", F.explode(pairs).alias("w")).select("_key", "n", "w.*")
+            wanted = first.withColumn("prefix", F.lit(0).cast("bigint"))
+        # At most 2^DIGIT rows per window.
+        smaller = Window.partitionBy("_key", "prefix").orderBy("digits").rowsBetween(Window.unboundedPreceding, -1)
+        cells = counted.withColumn("below", F.coalesce(F.sum("cell").over(smaller), F.lit(0)))
+        inside = (F.col("below") <= F.col("at")) & (F.col("at") < F.col("below") + F.col("cell"))
+        hit = wanted.join(cells, ["_key", "prefix"]).filter(inside)
+        wanted = stored(
+            hit.select("_key", "n", "name", (F.col("at") - F.col("below")).alias("at"), F.col("digits").alias("prefix")),
+            "ranks",
+        )
+    return wanted.select("_key", "name", F.col("prefix").alias("bits"), "n")
+
+
 def exact_quantiles(
     values: DataFrame, group: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    ``probs`` maps output names to probabilities.
+    ``probs`` maps output names to probabilities; NULL values are left out.
     """
-    group = list(group)
-    counted = values.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counted, group, value, ["n"])
-
-    def at(rank: Column) -> Column:
-        hit = (F.col("n_before") <= rank) & (rank < F.col("n_upto"))
-        return F.max(F.when(hit, F.col(value)))
-
-    picks, results = [], []
-    for name, p in probs.items():
-        position = F.lit(float(p)) * (F.col("n_all") - 1)
-        picks += [
-            at(F.floor(position)).alias(f"{name}_lo"),
-            at(F.ceil(position)).alias(f"{name}_hi"),
-            F.max(position - F.floor(position)).alias(f"{name}_part"),
-        ]
+    key = F.struct(*[F.col(c) for c in group]) if group else F.lit(0)
+    rows = values.filter(F.col(value).isNotNull()).select(
+        key.alias("_key"), _ordered_bits(F.col(value).cast("double")).alias("bits")
+    )
+    positions = {name: F.lit(float(p)) * (F.col("n") - 1) for name, p in probs.items()}
+    ranks = {}
+    for name, position in positions.items():
+        ranks |= {f"{name}_lo": F.floor(position), f"{name}_hi": F.ceil(position)}
+    found = _select_ranks(stored(rows, "bits"), ranks).withColumn("value", _value_of("bits"))
+    at = lambda rank: F.max(F.when(F.col("name") == rank, F.col("value")))
+    wide = found.groupBy("_key").agg(F.max("n").alias("n"), *[at(r).alias(r) for r in ranks])
+    results = []
+    for name, position in positions.items():
         low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        results.append((low + (high - low) * F.col(f"{name}_part")).alias(name))
-    return ranked.groupBy(*group).agg(*picks).select(*group, *results)
+        results.append((low + (high - low) * (position - F.floor(position))).alias(name))
+    return wide.select(*(["_key.*"] if group else []), *results)
 
 
 def approximate_quantiles(

@@ -28,17 +28,58 @@ def test_exact_quantiles_match_linear_interpolation(spark, kind):
     assert [row.q25, row.q50, row.q75] == pytest.approx(list(expected))
 
 
-def test_running_totals_with_few_buckets(spark):
+def test_quantiles_of_groups_with_odd_values(spark):
+    rng = random.Random(8)
+    groups = {
+        "hot": [0.0] * 3000 + [-0.0] * 500 + [rng.gauss(0, 1e-300) for _ in range(50)],
+        "wide": [rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300) for _ in range(999)],
+        "edge": [float("inf"), float("-inf"), 1e308, -1e308, 5e-324, -5e-324],
+        "one": [7.5],
+        None: [1.0, 2.0, 2.0, 4.0],
+    }
+    rows = [(g, v) for g, own in groups.items() for v in own] + [("none", None), ("one", None)]
+    frame = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = {"low": 0.0, "q30": 0.3, "q50": 0.5, "top": 1.0}
+    found = {r.g: r for r in ordered.exact_quantiles(frame, ["g"], "v", probs).collect()}
+    assert set(found) == set(groups)
+    for g, own in groups.items():
+        for name, p in probs.items():
+            at = p * (len(own) - 1)
+            low, high = sorted(own)[int(np.floor(at))], sorted(own)[int(np.ceil(at))]
+            wanted = low + (high - low) * (at - np.floor(at))
+            assert found[g][name] == wanted or (np.isnan(wanted) and np.isnan(found[g][name]))
+    assert ordered.exact_quantiles(frame.limit(0), ["g"], "v", probs).count() == 0
+
+
+@pytest.mark.parametrize("partitions", ["1", "3", "8"])
+def test_running_totals_do_not_depend_on_ranges(spark, partitions):
     rows = [("a", float(i), 1 + i % 3) for i in range(100)] + [("b", float(i), 2) for i in range(10)]
+    rows += [(None, float(i), 5) for i in range(7)] + [("a", None, 4)]
     counted = spark.createDataFrame(rows, "g string, v double, n bigint")
-    found = ordered.running_totals(counted, ["g"], "v", ["n"], buckets=8).orderBy("g", "v").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = ordered.running_totals(counted, ["g"], "v", ["n"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    found.sort(key=lambda r: (r.g or "", r.v is not None, r.v or 0.0))
     seen = {}
     for row in found:
         before = seen.get(row.g, 0)
         assert row.n_before == before
         seen[row.g] = before + row.n
         assert row.n_upto == seen[row.g]
-    assert len(found) == 110
+    assert all(row.n_all == seen[row.g] for row in found)
+    assert len(found) == 118
+
+
+def test_running_totals_of_many_values_and_a_hot_one(spark):
+    """Ten million distinct values, and one value that holds half of all rows, collapsed before."""
+    n = 10_000_000
+    counted = spark.range(n).select(F.col("id").cast("double").alias("v"), F.when(F.col("id") == 77, n).otherwise(1).alias("n"))
+    totals = ordered.running_totals(counted, [], "v", ["n"])
+    expected = F.col("v").cast("bigint") + F.when(F.col("v") > 77, n - 1).otherwise(0)
+    wrong = totals.filter((F.col("n_before") != expected) | (F.col("n_upto") != expected + F.col("n")) | (F.col("n_all") != 2 * n - 1))
+    assert totals.count() == n and wrong.count() == 0
 
 
 @pytest.mark.parametrize("span", [1, 3, 1000])
