@@ -66,19 +66,25 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(total)
 
 
+#: Hashes of words; emptied at the end of a partition, so that a waiting worker holds none.
 _CODES: dict[str, int] = {}
+_MOST_CODES = 200_000
 
 
 def _word_code(word: str) -> int:
     import xxhash
 
     if (code := _CODES.get(word)) is None:
-        if len(_CODES) >= 500_000:
+        if len(_CODES) >= _MOST_CODES:
             _CODES.clear()
         code = _CODES[word] = xxhash.xxh64_intdigest(word)
     return code
 
 
+def _forget_words() -> None:
+    _CODES.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -206,6 +212,7 @@ def _hashed(docs: DataFrame, key: str, text: str) -> DataFrame:
                     "sig": [signature(s).tobytes() if len(s) else b"" for s in sets],
                 }
             )
+        _forget_words()
 
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"))
     return rows.filter(F.col("k").isNotNull()).mapInPandas(run, "k bigint, digest binary, n int, sig binary")
@@ -298,6 +305,7 @@ def _verified(
             # Rows of one id may have other texts.
             same = [xxhash.xxh3_128_digest(s) == bytes(d) for s, d in zip(found, frame["digest"], strict=True)]
             yield frame.assign(shingles=found)[same][["root", "digest", "weight", "tiles", "sig", "shingles"]]
+        _forget_words()
 
     schema = "root binary, digest binary, weight bigint, tiles bigint, sig binary, shingles binary"
     ready = members.select("root", "digest", "weight", "tiles", "sig", "t").mapInPandas(prepare, schema)

@@ -40,8 +40,10 @@ CHARS_PER_DOC = 4096
 SAMPLE_CHARS = 16_384
 LANE = 1024
 #: Characters parsed at a time, if one text is not longer; bounds memory, not results.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 WIDTH = 64
+#: Labelled rows per language that bounds are learned from.
+BOUND_ROWS = 4096
 #: Spreads above the median, fewest rows to learn a bound of, least spread as a part of the median.
 SPREADS, LEAST_ROWS, LEAST_SPREAD = 12.0, 20, 0.02
 SPACE, UNKNOWN, PAD = 0, 62, 63
@@ -159,8 +161,8 @@ class PhraseModel:
         total = np.stack(
             [np.bincount(owner, weights=row, minlength=len(texts)) for row in count], axis=1
         )
-        text_of = np.repeat(np.arange(len(texts)), lengths)
-        letters = np.bincount(text_of, weights=symbols != SPACE, minlength=len(texts))
+        # Every text has a symbol at least, the space in front.
+        letters = np.add.reduceat(symbols != SPACE, offset, dtype=np.int64).astype(float)
         return total, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -232,8 +234,10 @@ class Bound(NamedTuple):
 def bounds(
     labelled: DataFrame, model: PhraseModel, key: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> dict[str, Bound]:
-    """A bound per language of the model, from all labelled rows that are not in its sample.
+    """A bound per language of the model, from labelled rows that are not in its sample.
 
+    Of each language the ``BOUND_ROWS`` rows with the smallest hashes of the key are
+    taken, and rows that tie with the last one.
     Rows that are taken for another language do not count, equal figures count
     once, and spreads are those of the upper half, as copies of the sample lie
     far below. A language with too few rows gets the bound of all languages
@@ -242,6 +246,17 @@ def bounds(
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     if model.learned:
         rows = rows.filter(~F.col(key).isin(model.learned))
+    rows = rows.withColumn("__h", F.xxhash64(F.lit("bound"), key))
+    last = rows.groupBy(F.col(lang).cast("string").alias("__l")).agg(F.count("*").alias("n"))
+    # A share of the hashes that holds about the wanted rows; then the smallest of those.
+    share = F.least(F.lit(1.0), F.lit(2.0 * BOUND_ROWS) / F.col("n"))
+    limit = last.select("__l", ((share - 0.5) * float(2**64)).alias("__most"))
+    some = rows.join(F.broadcast(limit), F.col(lang).cast("string") == F.col("__l"))
+    some = some.filter(F.col("__h") <= F.col("__most"))
+    order = Window.partitionBy("__l").orderBy("__h")
+    near = some.select("__l", "__h").withColumn("n", F.rank().over(order)).filter(F.col("n") <= BOUND_ROWS)
+    cut = near.groupBy("__l").agg(F.max("__h").alias("__cut"))
+    rows = some.join(F.broadcast(cut), "__l").filter(F.col("__h") <= F.col("__cut"))
     found = identify(rows.select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t")), model, "t", True)
     right = found.filter((F.col("l") == F.col("lang_pred")) & (F.col("letters") > 0))
     seen = stored(right.select("l", "bits", "letters").distinct(), "language_bits")
