@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowchecks.base import (
     FLOW_HANDLE,
     WITH_FLOWS,
+    WITH_VALID,
     check,
     coded,
     flow_table,
@@ -23,7 +24,7 @@ from flowloom.plans.flow_tables import detect, scratch_folder, stored, trained_m
 from flowloom.schemas import FLOW_FIELDS
 from flowloom.sources import sinks
 from flowloom.sources.events import packets_from_events
-from flowloom.streaming import run
+from flowloom.streaming import late, run
 from flowloom.streaming.sessions import session_flows
 from flowloom.streaming.stateful import arrival_order_flows
 
@@ -847,6 +848,50 @@ def arrival_order_stream(spark, sf_dir):
     return _complete(spark, sf_dir, arrival_order_flows)
 
 
+#: One packet in ten comes after all others; late are those whose session had closed by then.
+_LATE = f"""{WITH_VALID}, w as (select max(ts_ms) - 600000 as mark from vp where seq % 10 <> 3),
+ late as (select vp.*, mark - ts_ms - 120000 as behind from vp, w where seq % 10 = 3 and ts_ms + 120000 <= mark)"""
+
+
+def _with_late_packets(spark, sf_dir):
+    """Folder of the split and the drained flows of the packets that came in time."""
+    source, base, out, offsets, marks = (scratch_folder(spark, n) for n in ("in", "split", "stream", "offsets", "marks"))
+    table = packets(spark, sf_dir)
+
+    def split():
+        return late.split_late(run.packet_stream(spark, source, table), base)
+
+    table.filter(F.col("seq") % 10 != 3).write.parquet(source)
+    run.drain(split())
+    table.filter(F.col("seq") % 10 == 3).write.mode("append").parquet(source)
+    run.drain(split())
+
+    def start():
+        stream = run.with_end_marks(late.on_time_stream(spark, base), marks)
+        return run.write_stream(session_flows(stream), out, offsets)
+
+    run.finish(spark, start, marks)
+    return base, spark.read.parquet(out)
+
+
+@check("t04_late_flows", _T2)
+def late_flows(spark, sf_dir):
+    """Streamed flows with the late packets worked in are those of the whole table."""
+    base, flows = _with_late_packets(spark, sf_dir)
+    found = late.repaired(flows, late.on_time_packets(spark, base), late.late_packets(spark, base))
+    return found.select(*_T2_COLUMNS)
+
+
+@check(
+    "t04_late_counts",
+    f"""{_LATE} select capture_id, count(*) as late_packets, count(distinct lo || ' ' || hi || ' ' || protocol) as conversations,
+     max(behind) as most_behind_ms from late group by capture_id""",
+)
+def late_counts(spark, sf_dir):
+    base, _ = _with_late_packets(spark, sf_dir)
+    return late.late_counts(late.late_packets(spark, base))
+
+
 @check("t06_resumed_drain", f"with r as ({_T2}) select count(*) as flows, cast(sum(total_fwd_packets) as bigint) as packets from r")
 def resumed_drain(spark, sf_dir):
     """A restart between the halves of the table; one more start after the end finds nothing new."""

@@ -2,7 +2,8 @@
 
 A session closes when the watermark passes its last packet by the idle timeout.
 Sessions follow event time, so a packet that arrives late joins the session its
-time belongs to; packets later than the watermark delay are dropped by Spark.
+time belongs to. Packets later than the watermark delay are dropped by Spark; to
+count them and to work them in, split them off before (:mod:`flowloom.streaming.late`).
 All features here are independent of the arrival order.
 """
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.operators.flow_features import flow_features
 from flowloom.schemas import FLOW_COLUMNS, FLOW_TYPES, PACKET_SCHEMA
+from flowloom.streaming import late as late_rows
 from flowloom.streaming import run
 from flowloom.streaming.sessions import session_flows
 from flowloom.streaming.stateful import arrival_order_flows
@@ -115,3 +116,41 @@ def test_open_flows_are_written_once_at_the_end(spark, folder, make):
     wanted = rounded(flow_features(table, keep=("capture_id", "start_ms")).select(names))
     assert before < found.count() == wanted.count()
     assert rounded(found.select(names)).exceptAll(wanted).count() == 0
+
+
+def test_late_packets_are_counted_and_worked_in(spark, folder):
+    """Several batches: the split's watermark follows the batches, nothing is lost or taken twice."""
+    ordered = traffic(14, late=False)[:-1]
+    rng = random.Random(2)
+    held = [r for r in ordered if rng.random() < 0.2]
+    rows = [r for r in ordered if r not in held]
+    arrivals = [rows[:200], rows[200:], held[:40], held[40:], []]
+    base = f"{folder}/split"
+    sent, watermark, wanted = [], None, []
+    for part in arrivals:
+        table = spark.createDataFrame(part, PACKET_SCHEMA)
+        table.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = run.packet_stream(spark, f"{folder}/in", table, files_per_batch=1)
+        run.drain(late_rows.split_late(stream, base), 300)
+        if watermark is not None:
+            wanted += [r[1] for r in part if r[2] + 120_000 <= watermark]
+        sent += part
+        watermark = max(r[2] for r in sent) - 600_000
+    late = late_rows.late_packets(spark, base)
+    assert sorted(r.seq for r in late.collect()) == sorted(wanted) and wanted
+    on_time = late_rows.on_time_packets(spark, base)
+    assert sorted(r.seq for r in on_time.collect()) == sorted(r[1] for r in sent if r[1] not in wanted)
+    assert sum(r.late_packets for r in late_rows.late_counts(late).collect()) == len(wanted)
+
+    def start():
+        marked = run.with_end_marks(late_rows.on_time_stream(spark, base), f"{folder}/marks")
+        return run.write_stream(session_flows(marked), f"{folder}/out", f"{folder}/flow_offsets")
+
+    run.finish(spark, start, f"{folder}/marks")
+    flows = spark.read.parquet(f"{folder}/out")
+    found = rounded(late_rows.repaired(flows, on_time, late))
+    everything = rounded(session_flows(spark.createDataFrame(sent, PACKET_SCHEMA)))
+    assert found.count() == everything.count() and found.exceptAll(everything).count() == 0
+    assert rounded(flows).exceptAll(everything).count() > 0
+    nothing = late_rows.repaired(flows, on_time, late.limit(0))
+    assert nothing.exceptAll(flows).count() == 0 and nothing.count() == flows.count()
