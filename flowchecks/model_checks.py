@@ -21,7 +21,7 @@ from flowchecks.base import (
 from flowloom.functions.columns import epoch_ms_to_timestamp
 from flowloom.operators import audit, evaluate, learn, profile, report, sampling
 from flowloom.plans.flow_tables import detect, scratch_folder, stored, trained_model
-from flowloom.schemas import FLOW_FIELDS
+from flowloom.schemas import FEATURE_COLUMNS, FLOW_FIELDS
 from flowloom.sources import sinks
 from flowloom.sources.events import packets_from_events
 from flowloom.streaming import late, run
@@ -97,7 +97,7 @@ def flow_truth(spark, sf_dir):
     return truth.select("flow_id", *_TRUTH_NAMES, *_TRUTH_DOUBLES)
 
 
-_SOME = ["dns_amplification_factor", "query_response_ratio", "dns_queries_per_second", "flow_bytes_per_sec"]
+_NUMERIC = [c for c in FEATURE_COLUMNS if c != "protocol"]
 
 
 @check(
@@ -105,7 +105,7 @@ _SOME = ["dns_amplification_factor", "query_response_ratio", "dns_queries_per_se
     f"{WITH_FLOWS} "
     + unpivot_sql(
         "fl",
-        _SOME,
+        _NUMERIC,
         """round(avg({c}) filter (where y = 0), 4) as baseline_mean,
   round(avg({c}) filter (where capture_id = 'cap1'), 4) as test_mean,
   round(abs(avg({c}) filter (where y = 0) - avg({c}) filter (where capture_id = 'cap1')), 4) as difference""",
@@ -113,8 +113,8 @@ _SOME = ["dns_amplification_factor", "query_response_ratio", "dns_queries_per_se
 )
 def baseline_difference(spark, sf_dir):
     flows = coded(spark, sf_dir)
-    baseline = profile.baseline_statistics(flows.filter("label = 0"), _SOME, method="approx")
-    return profile.compare_with_baseline(flows.filter("capture_id = 'cap1'"), baseline, _SOME)
+    baseline = profile.baseline_means(flows.filter("label = 0"), _NUMERIC)
+    return profile.compare_with_baseline(flows.filter("capture_id = 'cap1'"), baseline, _NUMERIC)
 
 
 def _audited_flows(spark, sf_dir):

@@ -95,6 +95,47 @@ def numeric_columns(spark, sf_dir):
     return prepare.parse_counts(text, text.columns)
 
 
+@check(
+    "s04_coerced_table",
+    f"""{WITH_FLOWS} select capture_id, cast(first_seq as double) as first_seq, src_ip, cast(src_port as double) as src_port,
+      case when flow_no % 7 = 0 then 'n/a' else cast(dst_port as varchar) end as dst_port,
+      cast(total_fwd_packets as double) as total_fwd_packets, true as is_coerced from fl""",
+)
+def coerced_table(spark, sf_dir):
+    """A CSV without a schema: columns whose values all parse become numbers, the others stay text."""
+    folder = scratch_folder(spark, "untyped")
+    mixed = F.when(F.col("flow_no") % 7 == 0, "n/a").otherwise(F.col("dst_port").cast("string")).alias("dst_port")
+    flows = flow_table(spark, sf_dir)
+    flows.select("capture_id", "first_seq", "src_ip", "src_port", mixed, "total_fwd_packets").write.option("header", True).csv(folder)
+    table = flow_csv.read_untyped(spark, folder)
+    kinds = {"first_seq": "double", "src_port": "double", "total_fwd_packets": "double", "src_ip": "string", "dst_port": "string"}
+    return table.withColumn("is_coerced", F.lit(all(dict(table.dtypes)[c] == kind for c, kind in kinds.items())))
+
+
+@check(
+    "s05_read_present",
+    f"""{WITH_FLOWS} select capture_id || '.csv' as source, src_ip, src_port, dst_ip, dst_port, protocol, flow_duration,
+      1 as missing from fl""",
+)
+def read_present_files(spark, sf_dir):
+    """All files that exist as one table with their names; the one that does not exist is counted."""
+    from pyspark.sql import DataFrame
+
+    folder = scratch_folder(spark, "present")
+
+    def write(flows: DataFrame, name: str) -> None:
+        # One file per capture, written in parts below a folder of its name.
+        flows.filter(F.col("capture_id") == name).select(*FLOW_COLUMNS).write.option("header", True).csv(f"{folder}/{name}.csv")
+
+    for name in ("cap0", "cap1"):
+        write(flow_table(spark, sf_dir), name)
+    flows, missing = flow_csv.read_present(spark, [f"{folder}/{n}.csv" for n in ("cap0", "cap1", "cap9")])
+    source = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+[.]csv)/", 1)
+    return flows.withColumn("source", source).select(
+        "source", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "flow_duration", F.lit(len(missing)).alias("missing")
+    )
+
+
 @check(
     "s05_present_files",
     f"""{WITH_FLOWS} select capture_id as source, count(*) as row_total from fl group by capture_id
@@ -284,6 +325,19 @@ def aligned_features(spark, sf_dir):
     return prepare.align_features(flows, keep=["label"])
 
 
+@check(
+    "f10_alignment_rows",
+    f"""{WITH_FLOWS}, n as (select count(*) as c from fl)
+    select unnest([{', '.join(f"'{c}'" for c in [*FEATURE_COLUMNS, 'extra_ip'] if c != 'flow_iat_std')}]) as feature, c as present
+    from n""".replace("select unnest", "select feature, case when feature = 'extra_ip' then 'extra' else 'expected' end as standing, "
+    "contains(feature, 'ip') or contains(feature, 'port') as identity_like, present from (select unnest")
+    + ") union all select 'flow_iat_std', 'missing', false, 0",
+)
+def alignment_rows(spark, sf_dir):
+    flows = coded(spark, sf_dir).select(*[c for c in FEATURE_COLUMNS if c != "flow_iat_std"], "label")
+    return prepare.alignment_rows(flows.withColumn("extra_ip", F.lit(1)))
+
+
 @check(
     "f11_label_codes",
     f"{WITH_FLOWS} select capture_id, first_seq, y as label, 1 as constant_label from fl",

@@ -25,6 +25,7 @@ from flowloom.operators.sessions import (
     flow_parts,
 )
 from flowloom.schemas import FLOW_FIELDS
+from flowloom.tables import stored
 
 # Factor reported for responses without any query, and the usual
 # initial IP TTLs.
@@ -286,9 +287,23 @@ def server_fanout(flows: DataFrame) -> DataFrame:
     )
 
 
-def with_server_fanout(flows: DataFrame) -> DataFrame:
-    """Flows with the real fan-out in ``dns_server_fanout``."""
-    fanout = server_fanout(flows)
-    joined = flows.join(fanout, "src_ip", "left")
+#: Clients up to which the fan-out table is broadcast (some 10 MB), and salts of a client beyond it.
+FANOUT_BROADCAST, FANOUT_SALTS = 200_000, 32
+
+
+def with_server_fanout(flows: DataFrame, most_broadcast: int = FANOUT_BROADCAST) -> DataFrame:
+    """Flows with the real fan-out in ``dns_server_fanout``.
+
+    One client may hold most of the flows. A table of few clients is broadcast, so
+    flows stay where they are; otherwise a client's flows are dealt to several
+    join keys and its fan-out is given to each.
+    """
+    fanout = stored(server_fanout(flows), "fanout")
+    if fanout.limit(most_broadcast + 1).count() <= most_broadcast:
+        joined = flows.join(F.broadcast(fanout), "src_ip", "left")
+    else:
+        salt = F.pmod(F.xxhash64("dst_ip", "src_port", "dst_port"), F.lit(FANOUT_SALTS)).cast("int")
+        dealt = fanout.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(FANOUT_SALTS - 1))))
+        joined = flows.withColumn("_salt", salt).join(dealt, ["src_ip", "_salt"], "left")
     value = or_zero(F.col("server_fanout")).cast("bigint")
     return joined.withColumn("dns_server_fanout", value).select(*flows.columns)

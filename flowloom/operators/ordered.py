@@ -243,7 +243,8 @@ def changes_in_order(df: DataFrame, order: str, value: str, span: int = 1 << 20)
         F.min_by("val", "pos").alias("first_val"),
         F.max_by("val", "pos").alias("last_val"),
     )
-    ended = per_chunk.withColumn("ended", F.struct("last_val"))
+    # Stored, for summaries are read twice and the rows are to be read once.
+    ended = stored(per_chunk.withColumn("ended", F.struct("last_val")), "chunks")
     carried = before_chunks(ended, [], {"before": ("last", "ended")})
     seam = F.col("first_val") != F.col("before.last_val")
     seamed = carried.withColumn("seam", F.coalesce(seam, F.lit(True)))

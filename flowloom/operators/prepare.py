@@ -70,6 +70,32 @@ def alignment_report(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) -
     }
 
 
+def alignment_rows(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
+    """:func:`alignment_report` with the data: a row per name, how it stands, and its present values."""
+    from flowloom.operators.profile import per_column
+
+    report = alignment_report(df, features)
+    foreign = set(report["extra"])
+    present = [c for c in df.columns if c != "label"]
+    counts = per_column(df, present, {"present": lambda c: F.count(c)})
+    standing = F.when(F.col("feature").isin(list(foreign)), "extra").otherwise("expected")
+    found = counts.select(
+        "feature",
+        standing.alias("standing"),
+        F.col("feature").isin(report["identity_like"]).alias("identity_like"),
+        "present",
+    )
+    if not report["missing"]:
+        return found
+    lost = F.explode(F.array(*[F.lit(c) for c in report["missing"]])).alias("feature")
+    one = df.sparkSession.range(1).select(lost)
+    return found.unionByName(
+        one.select(
+            "feature", F.lit("missing").alias("standing"), F.lit(False).alias("identity_like"), F.lit(0).cast("bigint").alias("present")
+        )
+    )
+
+
 def encode_label(df: DataFrame, label: str = "label") -> DataFrame:
     """ATTACK/BENIGN text to 1/0."""
     code = F.lit(None).cast("int")

@@ -336,6 +336,12 @@ def baseline_statistics(df: DataFrame, columns: Sequence[str], method: str = "ex
     return wide.select("feature", F.explode(pairs).alias("p")).select("feature", "p.stat", "p.value")
 
 
+def baseline_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The means of :func:`baseline_statistics` alone, without ranking any value."""
+    means = per_column(nan_to_null(df), columns, {"value": lambda c: F.avg(c)})
+    return means.select("feature", F.lit("mean").alias("stat"), "value")
+
+
 def compare_with_baseline(batch: DataFrame, baseline: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Means of a batch against the stored baseline means, per feature."""
     clean = nan_to_null(batch)

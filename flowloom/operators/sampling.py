@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.columns import sample_order
 from flowloom.operators.ordered import before_chunks, changes_in_order, running_totals
+from flowloom.tables import stored
 
 _DIGITS = 5
 
@@ -163,7 +164,8 @@ def pick_positions(df: DataFrame, order: str, span: int = 1 << 20) -> DataFrame:
     """
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(span)))
     sizes = chunked.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = before_chunks(sizes.withColumnRenamed("_chunk", "chunk"), [], {"_before": ("sum", "_n")})
+    sizes = stored(sizes.withColumnRenamed("_chunk", "chunk"), "chunks")
+    sizes = before_chunks(sizes, [], {"_before": ("sum", "_n")})
     sizes = sizes.withColumnRenamed("chunk", "_chunk")
     total = sizes.agg(F.sum("_n").alias("t")).scalar()
     wanted = F.array(
