@@ -105,7 +105,9 @@ pk as (
   cast(case when r then k % 6 else 0 end as int) as dns_ancount,
   cast(case k % 5 when 0 then 1 when 1 then 28 when 2 then 255 when 3 then 16 else 15 end as int)
     as dns_qtype,
-  cast(case when k % 7 = 0 then 512 * (1 + k % 8) else 0 end as int) as dns_opt_size
+  cast(case when k % 7 = 0 then 512 * (1 + k % 8) else 0 end as int) as dns_opt_size,
+  cast(case when r and k % 5 = 0 then 3 else 0 end as int) as dns_rcode, 60 * (1 + k % 4) as dns_ttl,
+  case when k % 3 = 0 then 'www.' else '' end || 'd' || (event_id % 41) || '.example.com' as dns_name
  from (select event_id, event_type, value, user_id as u, epoch_us(ts) // 1000 as ems,
          cast(json_extract_string(props, '$.k') as bigint) as k,
          event_type in ('view', 'purchase') as r,

@@ -19,18 +19,23 @@ def _address(ip: str) -> Column:
 
 
 def _dns_payload() -> Column:
-    """Header, one question for "a", address answers and at most one OPT record."""
+    """Header, one question, address answers and at most one OPT record."""
     dns = F.col("dns")
     has_opt = F.size("dns.opt_sizes") > 0
-    flags = F.when(dns["qr"], 32768).otherwise(0) + dns["opcode"] * 2048
+    flags = F.when(dns["qr"], 32768).otherwise(0) + dns["opcode"] * 2048 + dns["rcode"]
+    labels = F.transform(
+        F.split(F.get("dns.qnames", F.lit(0)), r"[.]"), lambda p: F.concat(_hex(F.length(p), 1), F.hex(p.cast("binary")))
+    )
+    answers = F.transform("dns.answer_ttls", lambda ttl: F.concat(F.lit("C00C00010001"), _hex(ttl, 4), F.lit("0004C0A80001")))
     header = [dns["id"], flags, dns["qdcount"], dns["ancount"], F.lit(0), F.when(has_opt, 1).otherwise(0)]
     opt = F.concat(F.lit("000029"), _hex(F.get("dns.opt_sizes", F.lit(0)), 2), F.lit("000000000000"))
     return F.concat(
         *[_hex(h, 2) for h in header],
-        F.lit("016100"),
+        F.array_join(labels, ""),
+        F.lit("00"),
         _hex(F.get("dns.qtypes", F.lit(0)), 2),
         F.lit("0001"),
-        F.repeat(F.lit("C00C00010001000000000004C0A80001"), dns["ancount"]),
+        F.array_join(answers, ""),
         F.when(has_opt, opt).otherwise(F.lit("")),
     )
 

@@ -38,7 +38,9 @@ from flowloom.operators.flow_features import (
     server_fanout,
     with_server_fanout,
 )
+from flowloom.operators import name_features
 from flowloom.operators.packets import (
+    FLOW_KEY,
     dns_packets,
     is_transport,
     on_dns_port,
@@ -57,7 +59,7 @@ _BASE = ["capture_id", "seq", "ts_ms", "src_ip", "dst_ip", "src_port", "dst_port
 
 _FRAME_LEN = """greatest(len, case protocol
    when 'TCP' then 54 when 'UDP' then 42 + case when is_dns
-     then 19 + 16 * dns_ancount + case when dns_opt_size > 0 then 11 else 0 end else 14 end
+     then 18 + length(dns_name) + 16 * dns_ancount + case when dns_opt_size > 0 then 11 else 0 end else 14 end
    else 42 end)"""
 
 
@@ -74,7 +76,9 @@ _FRAME_LEN = """greatest(len, case protocol
      case when shown then cast(1 as int) end as dns_qdcount,
      case when shown then dns_ancount end as dns_ancount,
      case when shown then dns_qtype end as dns_qtype,
-     case when shown and dns_opt_size > 0 then dns_opt_size end as dns_opt_size from q""",
+     case when shown and dns_opt_size > 0 then dns_opt_size end as dns_opt_size,
+     case when shown then dns_rcode end as dns_rcode, case when shown then dns_name end as dns_name,
+     case when shown and dns_ancount > 0 then dns_ttl end as dns_ttl from q""",
 )
 def frame_decode(spark, sf_dir):
     decoded = decode_frames(frames_from_packets(packets(spark, sf_dir)))
@@ -89,6 +93,9 @@ def frame_decode(spark, sf_dir):
         F.col("dns.ancount").alias("dns_ancount"),
         F.get("dns.qtypes", F.lit(0)).alias("dns_qtype"),
         F.get("dns.opt_sizes", F.lit(0)).alias("dns_opt_size"),
+        F.col("dns.rcode").alias("dns_rcode"),
+        F.get("dns.qnames", F.lit(0)).alias("dns_name"),
+        F.get("dns.answer_ttls", F.lit(0)).alias("dns_ttl"),
     )
 
 
@@ -125,7 +132,7 @@ def _captured(spark, sf_dir, **damages):
 
 _AS_CAPTURED = """q as (select *, protocol in ('UDP', 'TCP') as known, case protocol
    when 'TCP' then 54 when 'UDP' then 42 + case when is_dns
-     then 19 + 16 * dns_ancount + case when dns_opt_size > 0 then 11 else 0 end else 14 end
+     then 18 + length(dns_name) + 16 * dns_ancount + case when dns_opt_size > 0 then 11 else 0 end else 14 end
    else 42 end as least_len from pk)"""
 
 
@@ -625,3 +632,106 @@ def dns_flag_text(spark, sf_dir):
     rows = dns_packets(valid_packets(packets(spark, sf_dir)))
     text = F.get(forms, (F.col("seq") % 3).cast("int"))
     return rows.select("capture_id", "seq", dns_flag(text).alias("flag"))
+
+
+# --- names, response codes and answer times ----------------------------------
+
+_NAMED = f"""{WITH_FLOWS}, nm as (select *, is_dns and not dns_qr as asks, is_dns and dns_qr as answers from pa),
+ chars as (select capture_id, lo, hi, protocol, flow_no, c, count(*) as n from (select *, unnest(string_split(dns_name, '')) as c
+   from nm where asks) group by all),
+ ent as (select capture_id, lo, hi, protocol, flow_no, -sum(n / t * log2(n / t)) as entropy from (select *,
+   cast(sum(n) over (partition by capture_id, lo, hi, protocol, flow_no) as double) as t from chars) group by all),
+ nf as (select capture_id, lo, hi, protocol, flow_no, min(seq) as first_seq,
+   coalesce(avg(length(dns_name)) filter (asks), 0) as name_length_mean,
+   cast(coalesce(max(length(dns_name)) filter (asks), 0) as int) as name_length_max,
+   coalesce(avg(case when dns_rcode = 3 then 1.0 else 0.0 end) filter (answers), 0) as nxdomain_rate,
+   coalesce(cast(sum(dns_ttl * dns_ancount) filter (answers) as double) / nullif(sum(dns_ancount) filter (answers), 0), 0) as answer_ttl_mean,
+   count(distinct dns_name) filter (asks) as unique_domains
+  from nm group by all)"""
+
+
+def _named_flows(spark, sf_dir):
+    rows = packets(spark, sf_dir)
+    return assign_flows(rows, extra=name_features.NAME_FIELDS)
+
+
+@check(
+    "x01_name_features",
+    f"""{_NAMED} select capture_id, first_seq, {r4("name_length_mean")}, name_length_max, {r4("coalesce(entropy, 0)", "name_entropy")}
+    from nf left join ent using (capture_id, lo, hi, protocol, flow_no)""",
+)
+def names_of_flows(spark, sf_dir):
+    found = name_features.name_features(_named_flows(spark, sf_dir))
+    return found.select("capture_id", "first_seq", "name_length_mean", "name_length_max", "name_entropy")
+
+
+@check("x02_response_codes", f"""{_NAMED} select capture_id, first_seq, {r4("nxdomain_rate")} from nf""")
+def response_codes(spark, sf_dir):
+    return name_features.name_features(_named_flows(spark, sf_dir)).select("capture_id", "first_seq", "nxdomain_rate")
+
+
+@check(
+    "x03_unique_domains",
+    f"""{_NAMED} select src_ip as client, count(distinct dns_name) as unique_domains, true as within_bound from nm
+    where asks group by 1""",
+)
+def unique_domains(spark, sf_dir):
+    """Exact names per client, and whether the merged sketches of its flows come near."""
+    sketches = name_features.name_sketches(name_features.names_asked(_named_flows(spark, sf_dir)))
+    estimated = name_features.clients_of_sketches(sketches)
+    found = name_features.names_of_clients(packets(spark, sf_dir)).join(estimated, "client", "left")
+    # Three standard errors of 2^12 registers.
+    near = F.abs(F.col("estimated_domains") - F.col("unique_domains")) <= F.greatest(F.lit(0.5), F.col("unique_domains") * 0.05)
+    return found.select("client", "unique_domains", near.alias("within_bound"))
+
+
+@check(
+    "x03_unique_domains_of_flows",
+    f"{_NAMED} select capture_id, first_seq, unique_domains from nf where unique_domains > 0",
+)
+def unique_domains_of_flows(spark, sf_dir):
+    assigned = _named_flows(spark, sf_dir)
+    by = [*FLOW_KEY, "flow_no"]
+    names = name_features.unique_names(name_features.names_asked(assigned), by)
+    first = assigned.groupBy(*by).agg(F.min("seq").alias("first_seq"))
+    return first.join(names, by).select("capture_id", "first_seq", "unique_domains")
+
+
+@check("x04_answer_times", f"""{_NAMED} select capture_id, first_seq, {r4("answer_ttl_mean")} from nf""")
+def answer_times(spark, sf_dir):
+    return name_features.name_features(_named_flows(spark, sf_dir)).select("capture_id", "first_seq", "answer_ttl_mean")
+
+
+@check(
+    "x05_attack_types",
+    f"""{_NAMED}, af as (select capture_id, first_seq, nxdomain_rate, unique_domains,
+       coalesce(errors, 0) as errors from nf left join (select capture_id, lo, hi, protocol, flow_no,
+       count(*) filter (answers and dns_rcode > 0) as errors from nm group by all) using (capture_id, lo, hi, protocol, flow_no))
+    select fl.capture_id, fl.first_seq, case
+      when protocol = 'TCP' and dst_port = 53 and total_bwd_packets = 0 and flow_packets_per_sec > 0.5 then 'handshake flood'
+      when nxdomain_rate >= 0.5 and unique_domains >= 2 then 'water torture'
+      when dns_amplification_factor > 2 then 'amplification'
+      when dns_mean_answers_per_query > 2 and errors = 0 then 'reflection'
+      when dns_queries_per_second > 0.5 and dns_total_responses * 2 < dns_total_queries then 'query flood'
+      when dns_total_queries = 0 and dns_total_responses > 0 then 'spoofing' end as attack_type
+    from fl join af using (capture_id, first_seq)""",
+)
+def attack_types(spark, sf_dir):
+    """The six rules with bounds that the traffic of the tables reaches."""
+    assigned = _named_flows(spark, sf_dir)
+    features = name_features.name_features(assigned)
+    names = name_features.unique_names(name_features.names_asked(assigned), [*FLOW_KEY, "flow_no"])
+    key = ["capture_id", "first_seq"]
+    of_flows = features.join(names, [*FLOW_KEY, "flow_no"], "left").select(*key, "unique_domains")
+    bounds = {"amplification": 2.0, "answers": 2.0, "per_second": 0.5, "name_errors": 0.5, "many_names": 2}
+    rated = features.select(*key, "nxdomain_rate", "error_rate")
+    found = name_features.with_attack_type(flow_table(spark, sf_dir), rated, of_flows, key, **bounds)
+    return found.select(*key, "attack_type")
+
+
+@check(
+    "x06_floods",
+    f"""{WITH_FLOWS} select capture_id, first_seq from fl where dns_queries_per_second > 0.5 or dns_amplification_factor > 10""",
+)
+def floods(spark, sf_dir):
+    return name_features.floods(flow_table(spark, sf_dir), per_second=0.5).select(*FLOW_HANDLE)

@@ -427,6 +427,9 @@ def packets_from_extract(extract: DataFrame, capture_id: str) -> DataFrame:
         F.coalesce(field("dns.count.answers"), F.lit(0)).cast("int").alias("ancount"),
         F.array_compact(F.array(field("dns.qry.type").cast("int"))).alias("qtypes"),
         F.array().cast("array<int>").alias("opt_sizes"),
+        F.lit(None).cast("int").alias("rcode"),
+        F.array().cast("array<bigint>").alias("answer_ttls"),
+        F.array().cast("array<string>").alias("qnames"),
     )
     is_tcp = field("tcp.srcport").isNotNull()
     return extract.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,12 +59,13 @@ def with_flow_key(packets: DataFrame) -> DataFrame:
     return keyed.withColumn("key_hash", F.xxhash64("capture_id", "ep_lo", "ep_hi", "protocol"))
 
 
-def packet_facts(packets: DataFrame, questions: str = "all") -> DataFrame:
+def packet_facts(packets: DataFrame, questions: str = "all", extra: Sequence[str] = ()) -> DataFrame:
     """The narrow per-packet columns the flow features need.
 
     Arrays are reduced to numbers before the shuffle. ``questions="all"`` counts
     question types in queries and in the responses that echo them;
-    ``"queries"`` counts them in queries only.
+    ``"queries"`` counts them in queries only. ``extra`` names more fields of ``dns``
+    that come along.
     """
     if questions not in ("all", "queries"):
         raise ValueError("questions must be 'all' or 'queries'")
@@ -89,6 +92,7 @@ def packet_facts(packets: DataFrame, questions: str = "all") -> DataFrame:
         dns(F.try_element_at(F.col("dns.qtypes"), F.lit(-1))).alias("last_qtype"),
         dns(F.array_max("dns.opt_sizes")).alias("opt_size"),
         dns(F.col("dns.qtypes")).alias("qtypes"),
+        *[dns(F.col(f"dns.{name}")).alias(name) for name in extra],
     )
 
 

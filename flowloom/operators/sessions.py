@@ -15,6 +15,7 @@ code and no row is dropped whichever way it takes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -216,10 +217,11 @@ def flow_parts(
     timeout_ms: int = IDLE_TIMEOUT_MS,
     policy: HotKeyPolicy | None = DEFAULT_POLICY,
     questions: str = "all",
+    extra: Sequence[str] = (),
 ) -> list[DataFrame]:
     """Packets with flow columns, one DataFrame per route (ordinary, then hot)."""
     packets = valid_packets(packets)
-    facts = packet_facts(packets, questions)
+    facts = packet_facts(packets, questions, extra)
     hot = hot_keys(packets, policy) if policy else None
     if hot is None:
         return [_ordinary(facts, timeout_ms)]
@@ -238,9 +240,10 @@ def assign_flows(
     timeout_ms: int = IDLE_TIMEOUT_MS,
     policy: HotKeyPolicy | None = DEFAULT_POLICY,
     questions: str = "all",
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """Valid packets with ``flow_no``, ``is_new``, ``is_fwd`` and inter-arrival times."""
-    first, *rest = flow_parts(packets, timeout_ms, policy, questions)
+    first, *rest = flow_parts(packets, timeout_ms, policy, questions, extra)
     for part in rest:
         first = first.unionByName(part)
     return first

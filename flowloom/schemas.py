@@ -13,6 +13,9 @@ DNS_TYPE = T.StructType(
         T.StructField("ancount", T.IntegerType()),
         T.StructField("qtypes", T.ArrayType(T.IntegerType())),
         T.StructField("opt_sizes", T.ArrayType(T.IntegerType())),
+        T.StructField("rcode", T.IntegerType()),
+        T.StructField("answer_ttls", T.ArrayType(T.LongType())),
+        T.StructField("qnames", T.ArrayType(T.StringType())),
     ]
 )
 

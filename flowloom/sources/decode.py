@@ -81,20 +81,46 @@ def _skip_name(payload: bytes, at: int) -> int:
         at += size + 1
 
 
+def _read_name(payload: bytes, at: int) -> tuple[str, int]:
+    """The name at ``at`` in lower case, and where reading goes on.
+
+    A pointer must lead backwards, so a message cannot lead in a circle.
+    """
+    labels, end = [], _skip_name(payload, at)
+    while size := payload[at]:
+        if size >= 0xC0:
+            target = (size & 0x3F) << 8 | payload[at + 1]
+            if target >= at:
+                raise ValueError("pointer leads forward")
+            at = target
+            continue
+        if size >= 0x40:
+            raise ValueError("reserved label type")
+        label = payload[at + 1 : at + 1 + size]
+        if len(label) < size:
+            raise IndexError("label beyond the message")
+        labels.append(label.decode("ascii", "backslashreplace").lower())
+        at += size + 1
+    return ".".join(labels), end
+
+
 def _parse_dns(payload: bytes | None):
-    """Header counts, question types and OPT sizes; None if it is not DNS."""
+    """Header counts and codes, questions, OPT sizes and times to live of answers; None if it is not DNS."""
     if payload is None or len(payload) < 12:
         return None
     ident, flags, qd, an, ns, ar = struct.unpack_from(">6H", payload)
-    qtypes, opt_sizes, at = [], [], 12
+    qtypes, opt_sizes, ttls, names, at = [], [], [], [], 12
     try:
         for _ in range(qd):
-            at = _skip_name(payload, at)
+            name, at = _read_name(payload, at)
+            names.append(name)
             qtypes.append(struct.unpack_from(">H", payload, at)[0])
             at += 4
         for i in range(an + ns + ar):
             at = _skip_name(payload, at)
-            kind, size, _, length = struct.unpack_from(">HHIH", payload, at)
+            kind, size, ttl, length = struct.unpack_from(">HHIH", payload, at)
+            if i < an:
+                ttls.append(ttl)
             if kind == DNS_TYPE_OPT and i >= an + ns:
                 opt_sizes.append(size)
             at += 10 + length
@@ -102,7 +128,7 @@ def _parse_dns(payload: bytes | None):
         return None
     if at > len(payload):
         return None
-    return ident, bool(flags >> 15), (flags >> 11) & 15, qd, an, qtypes, opt_sizes
+    return ident, bool(flags >> 15), (flags >> 11) & 15, qd, an, qtypes, opt_sizes, flags & 15, ttls, names
 
 
 @F.pandas_udf(DNS_TYPE)

@@ -29,7 +29,9 @@ select event_id as seq, concat('cap', u % 2) as capture_id,
  cast(case when r then k % 6 else 0 end as int) as dns_ancount,
  cast(case k % 5 when 0 then 1 when 1 then 28 when 2 then 255 when 3 then 16 else 15 end as int)
    as dns_qtype,
- cast(case when k % 7 = 0 then 512 * (1 + k % 8) else 0 end as int) as dns_opt_size
+ cast(case when k % 7 = 0 then 512 * (1 + k % 8) else 0 end as int) as dns_opt_size,
+ cast(case when r and k % 5 = 0 then 3 else 0 end as int) as dns_rcode, 60 * (1 + k % 4) as dns_ttl,
+ concat(case when k % 3 = 0 then 'www.' else '' end, 'd', event_id % 41, '.example.com') as dns_name
 from (select event_id, event_type, value, user_id as u,
         timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', ts) as ems,
         cast(get_json_object(props, '$.k') as bigint) as k,
@@ -59,6 +61,9 @@ def packets_from_events(events: DataFrame) -> DataFrame:
         F.when(F.col("dns_opt_size") > 0, F.array("dns_opt_size"))
         .otherwise(F.array().cast("array<int>"))
         .alias("opt_sizes"),
+        F.col("dns_rcode").alias("rcode"),
+        F.array_repeat("dns_ttl", F.col("dns_ancount")).alias("answer_ttls"),
+        F.array("dns_name").alias("qnames"),
     )
     return flat_packets(events).select(
         "capture_id",

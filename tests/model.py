@@ -14,7 +14,7 @@ def packet(seq, ts, src="10.0.0.1", sp=40000, dst="192.0.2.1", dp=53, length=100
     decoded = None
     if dns is not None:
         ident, response, answers, types = dns
-        decoded = (ident, response, 0, len(types), answers, list(types), [])
+        decoded = (ident, response, 0, len(types), answers, list(types), [], 0, [], [])
     return (capture, seq, ts, src, dst, sp, dp, protocol, length, ttl, decoded)
 
 
