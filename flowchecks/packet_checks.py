@@ -710,10 +710,10 @@ def answer_times(spark, sf_dir):
     select fl.capture_id, fl.first_seq, case
       when protocol = 'TCP' and dst_port = 53 and total_bwd_packets = 0 and flow_packets_per_sec > 0.5 then 'handshake flood'
       when nxdomain_rate >= 0.5 and unique_domains >= 2 then 'water torture'
+      when dns_total_queries = 0 and dns_total_responses > 0 then 'spoofing'
       when dns_amplification_factor > 2 then 'amplification'
       when dns_mean_answers_per_query > 2 and errors = 0 then 'reflection'
-      when dns_queries_per_second > 0.5 and dns_total_responses * 2 < dns_total_queries then 'query flood'
-      when dns_total_queries = 0 and dns_total_responses > 0 then 'spoofing' end as attack_type
+      when dns_queries_per_second > 0.5 and dns_total_responses * 2 < dns_total_queries then 'query flood' end as attack_type
     from fl join af using (capture_id, first_seq)""",
 )
 def attack_types(spark, sf_dir):

@@ -112,7 +112,7 @@ def attack_type(
     """The first rule that a flow with name features meets, else NULL.
 
     Flood: more queries a second than the bound and fewer responses than half of
-    them. Spoofing: responses nobody asked for. Handshake flood: packets to TCP port
+    them. Spoofing: responses nobody asked for, whose amplification has no meaning. Handshake flood: packets to TCP port
     53 above the bound that are never answered; flags are not decoded.
     """
     per_query = F.col("dns_mean_answers_per_query")
@@ -121,10 +121,10 @@ def attack_type(
     return (
         F.when(to_tcp & (F.col("total_bwd_packets") == 0) & (F.col("flow_packets_per_sec") > per_second), "handshake flood")
         .when((F.col("nxdomain_rate") >= name_errors) & (F.col("unique_domains") >= many_names), "water torture")
+        .when((queries == 0) & (responses > 0), "spoofing")
         .when(F.col("dns_amplification_factor") > amplification, "amplification")
         .when((per_query > answers) & (F.col("error_rate") == 0), "reflection")
         .when((F.col("dns_queries_per_second") > per_second) & (responses * 2 < queries), "query flood")
-        .when((queries == 0) & (responses > 0), "spoofing")
     )
 
 

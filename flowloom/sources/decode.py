@@ -84,15 +84,16 @@ def _skip_name(payload: bytes, at: int) -> int:
 def _read_name(payload: bytes, at: int) -> tuple[str, int]:
     """The name at ``at`` in lower case, and where reading goes on.
 
-    A pointer must lead backwards, so a message cannot lead in a circle.
+    A pointer must lead in front of all that was read of the name, so a message
+    cannot lead in a circle.
     """
-    labels, end = [], _skip_name(payload, at)
+    labels, end, first = [], _skip_name(payload, at), at
     while size := payload[at]:
         if size >= 0xC0:
             target = (size & 0x3F) << 8 | payload[at + 1]
-            if target >= at:
-                raise ValueError("pointer leads forward")
-            at = target
+            if target >= first:
+                raise ValueError("pointer leads into the name itself")
+            at = first = target
             continue
         if size >= 0x40:
             raise ValueError("reserved label type")
