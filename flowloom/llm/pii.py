@@ -5,7 +5,9 @@ plus signs, digits, address schemes and identifier cues. A small parser per kind
 expands each anchor to its boundaries and validates what it found. Emails, IP
 addresses, card and phone numbers come out exactly as the leftmost,
 non-overlapping matches of the patterns below; addresses behind a scheme and
-account numbers behind a cue are added as kinds of their own.
+account numbers and secrets (keys, tokens, passwords) behind a cue are added as kinds
+of their own. A cue stands in lower case, capitals or with a capital in front, and
+not inside a word.
 
 Offsets are code points, the end is exclusive. A null or empty text has no
 spans. Repeated rows are searched each on its own. Other columns are kept.
@@ -23,10 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "account")
+KINDS = (*BASE_KINDS, "url", "account", "secret")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "tel:")
 CUES = ("iban", "account", "acct", "ssn", "passport", "konto", "compte", "cuenta")
 
+SECRET_CUES = (
+    "token", "secret", "password", "passwd", "api_key", "api-key", "api key", "apikey", "access_key", "access key",
+    "private_key", "private key", "client_secret", "auth_key", "credential", "bearer",
+)
+#: Beginnings of keys that need no cue.
+SECRET_HEADS = ("AKIA", "ghp_", "xoxb-", "xoxp-", "sk-")
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -35,6 +44,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ADDRESS = re.compile(r"[^\s<>\"']+")
 _ACCOUNT = re.compile(r"(?:\s*+(?:number|no\.?|nr\.?|id))?\s*+[:#=]?\s*+([A-Z]{0,2}[0-9](?:[ -]?[A-Z0-9])+)")
+_SECRET = re.compile(r"(?:[\"']?\s{0,4}[=:]\s{0,4}|\s{1,4})[\"']?([^\s\"'<>,;():=]+={0,2})")
+_KEY = re.compile(r"[A-Za-z0-9+/_=.~-]+")
 _TRAILING = ".,;:!?)]}"
 
 
@@ -71,6 +82,11 @@ def anchors() -> ahocorasick.Automaton:
     for cue in CUES:
         for form in (cue, cue.upper(), cue.capitalize()):
             automaton.add_word(form, ("account", len(form)))
+    for cue in SECRET_CUES:
+        for form in (cue, cue.upper(), cue.capitalize()):
+            automaton.add_word(form, ("secret", len(form)))
+    for head in SECRET_HEADS:
+        automaton.add_word(head, ("head", len(head)))
     automaton.make_automaton()
     return automaton
 
@@ -108,10 +124,40 @@ def _account(text: str, after: int) -> tuple[int, int] | None:
     return found.span(1) if 6 <= sum(c.isdigit() for c in code) else None
 
 
+def _random_looking(value: str, least: int) -> bool:
+    """Long enough, with letters and digits, and more than a few different ones."""
+    if len(value) < least or not _KEY.fullmatch(value):
+        return False
+    return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and len(set(value)) >= 6
+
+
+def _secret(text: str, after: int, cue: str) -> tuple[int, int] | None:
+    found = _SECRET.match(text, after)
+    if not found:
+        return None
+    start, value = found.start(1), found[1].rstrip(_TRAILING)
+    stated = any(c in "=:" for c in text[after:start])
+    if stated and cue.startswith("passw"):
+        return (start, start + len(value)) if len(value) >= 6 else None
+    return (start, start + len(value)) if _random_looking(value, 12 if stated else 20) else None
+
+
+def _headed(text: str, at: int) -> tuple[tuple[int, int] | None, int]:
+    """The key that begins at ``at``, and where the run of its characters ends."""
+    run = _KEY.match(text, at)[0]
+    value = run.rstrip(_TRAILING)
+    return (at, at + len(value)) if _random_looking(value, 20) else None, at + len(run)
+
+
+def _inside_word(text: str, at: int) -> bool:
+    return at > 0 and text[at - 1].isalnum()
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text, by kind as in ``KINDS``, then by start."""
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     free = dict.fromkeys(KINDS, 0)
+    runs_to = 0
 
     for last, (anchor, length) in anchors().iter(text):
         at = last - length + 1
@@ -136,13 +182,24 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 free["phone"] = match.end()
                 if 9 <= len(_digits(match[0])) <= 15:
                     found["phone"].append(match.span())
+        elif anchor in ("secret", "head"):
+            if at >= free["secret"] and not _inside_word(text, at):
+                span = None
+                if anchor == "secret":
+                    span = _secret(text, last + 1, text[at : last + 1].lower())
+                elif at >= runs_to:
+                    # One run of characters is looked at once.
+                    span, runs_to = _headed(text, at)
+                if span:
+                    free["secret"] = span[1]
+                    found["secret"].append(span)
         elif at >= free[anchor]:
             if anchor == "email":
                 span = _email(text, at, free["email"])
             elif anchor == "url":
                 span = _url(text, at)
             else:
-                span = _account(text, last + 1)
+                span = None if _inside_word(text, at) else _account(text, last + 1)
             if span:
                 free[anchor] = span[1]
                 found[anchor].append(span)
