@@ -72,7 +72,7 @@ def run(rows, timeout=120000):
         flow.dir_last[forward] = ts
         flow.last = max(flow.last, ts)
         if dns is not None and 53 in (sp, dp):
-            ident, response, _, _, answers, types, _ = dns
+            ident, response, _, _, answers, types, *_ = dns
             flow.answers += answers
             flow.types += types
             if response:
