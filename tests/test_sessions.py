@@ -273,7 +273,7 @@ def test_three_packet_capture(spark):
         packet(2, T0 + 10, *server, *client, 71, dns=(0x1111, True, 0, [1])),
         packet(3, T0 + 20, *client, *server, 79, dns=(0x2222, False, 0, [1])),
     ]
-    rows[2] = rows[2][:10] + ((0x2222, False, 0, 1, 0, [1], [4096]),)
+    rows[2] = rows[2][:10] + ((0x2222, False, 0, 1, 0, [1], [4096], 0, [], []),)
     made = flow_features(
         table(spark, rows), groups=("dns_detail",), keep=("dns_edns_present", "dns_edns_udp_size")
     )
