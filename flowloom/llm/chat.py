@@ -14,11 +14,15 @@ Edge cases: turns without a dialogue id are left out; a null text is empty; a
 null speaker is the participant ``unknown``; ``system`` turns are context and no
 participant, and a dialogue with nothing else gives no rows; turns with the same
 number are ordered by speaker and a hash of the text; repeated turns are rendered each time.
+
+Marks inside texts and names are escaped, so that none can forge a turn: ``<|``
+gets a backslash in between, ``<\\|`` a second one and so on, in names ``|>`` too.
+Taking one backslash away gives the text back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import stored
@@ -26,6 +30,16 @@ from flowloom.llm.common import stored
 PART_CHARS = 1_000_000
 
 
+def escaped(text: Column) -> Column:
+    """The text without marks that open a head."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def escaped_name(name: Column) -> Column:
+    """The name without marks that open or close a head."""
+    return F.regexp_replace(escaped(name), r"\|(\\*)>", r"|\\$1>")
+
+
 def rotate_perspectives(
     turns: DataFrame,
     dialogue: str = "conv_id",
@@ -56,10 +70,10 @@ def rotate_perspectives(
     head = (
         F.when(F.col("s") == "system", F.lit("<|system|>\n"))
         .when(own, F.lit("<|assistant|>\n"))
-        .otherwise(F.concat(F.lit("<|user name="), F.col("s"), F.lit("|>\n")))
+        .otherwise(F.concat(F.lit("<|user name="), escaped_name(F.col("s")), F.lit("|>\n")))
     )
     lines = dealt.join(people, "d").withColumns(
-        {"head": F.length(head), "line": F.concat(head, F.col("t"), F.lit("<|end|>\n")), "own": own}
+        {"head": F.length(head), "line": F.concat(head, escaped(F.col("t")), F.lit("<|end|>\n")), "own": own}
     )
     lines = lines.withColumn("size", F.length("line").cast("bigint"))
     inside = (

@@ -225,8 +225,9 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 with t as (select conv_id d, turn n, coalesce(role, 'unknown') s, coalesce(text, '') t, sha256(coalesce(text, '')) h
   from conversations where conv_id is not null),
 p as (select distinct d, s as p from t where s <> 'system'),
-l as (select d, p, n, s, h, t, s = p own, case when s = 'system' then '<|system|>' || chr(10)
-    when s = p then '<|assistant|>' || chr(10) else '<|user name=' || s || '|>' || chr(10) end head from t join p using (d)),
+l as (select d, p, n, s, h, regexp_replace(t, '<(\\*)\|', '<\\\1|', 'g') t, s = p own, case when s = 'system' then '<|system|>' || chr(10)
+    when s = p then '<|assistant|>' || chr(10) else '<|user name=' || regexp_replace(regexp_replace(s, '<(\\*)\|', '<\\\1|', 'g'),
+      '\|(\\*)>', '|\\\1>', 'g') || '|>' || chr(10) end head from t join p using (d)),
 m as (select *, head || t || '<|end|>' || chr(10) line, length(head || t || '<|end|>' || chr(10)) size from l),
 a as (select *, coalesce(sum(size) over (partition by d, p order by n, s, h
     rows between unbounded preceding and 1 preceding), 0)::bigint place from m),
