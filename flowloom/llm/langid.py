@@ -6,6 +6,11 @@ one ended. The number of phrases times the bits of a pointer into the sample,
 divided by the length, estimates the cross entropy; the language with the
 fewest normalised phrases wins.
 
+Every letter of the samples is told apart. Where all languages together have more
+letters than single symbols, the frequent ones are one symbol and the others a
+code of several, so the table stays ``WIDTH`` wide. Letters of no sample are one
+symbol that no phrase holds.
+
 The automaton walk is a table lookup, so many texts are parsed at a time: texts
 are cut into lanes of ``LANE`` symbols (a phrase ends at a cut, for every
 language alike) and all lanes of a batch advance together.
@@ -47,6 +52,20 @@ BOUND_ROWS = 4096
 #: Spreads above the median, fewest rows to learn a bound of, least spread as a part of the median.
 SPREADS, LEAST_ROWS, LEAST_SPREAD = 12.0, 20, 0.02
 SPACE, UNKNOWN, PAD = 0, 62, 63
+#: In a code of several symbols the last is up to this, those in front are above.
+LAST = 29
+
+
+def letter_codes(n: int) -> list[tuple[int, ...]]:
+    """Codes of n letters, shortest first; no code begins with another."""
+    if n < UNKNOWN:
+        return [(c,) for c in range(1, n + 1)]
+    codes: list[tuple[int, ...]] = []
+    fronts: list[tuple[int, ...]] = [()]
+    while len(codes) < n:
+        codes += [(*front, last) for front in fronts for last in range(1, LAST + 1)]
+        fronts = [(*front, more) for front in fronts for more in range(LAST + 1, UNKNOWN)]
+    return codes[:n]
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -94,13 +113,18 @@ class PhraseModel:
                 for letter in text.lower():
                     if letter.isalpha():
                         seen[letter] = seen.get(letter, 0) + 1
-        alphabet = sorted(seen, key=lambda c: (-seen[c], c))[: UNKNOWN - 1]
+        alphabet = sorted(seen, key=lambda c: (-seen[c], c))
+        codes = letter_codes(len(alphabet))
+        #: The last symbol of each letter, and those in front of it, nearest first (0: none).
         self.symbols = np.full(0x110000, SPACE, dtype=np.uint8)
+        self.fronts = np.zeros((max(map(len, codes), default=1) - 1, 0x110000), dtype=np.uint8)
         for point in range(0x110000):
             if not 0xD800 <= point < 0xE000 and chr(point).isalpha():
                 self.symbols[point] = UNKNOWN
-        for code, letter in enumerate(alphabet, 1):
-            self.symbols[ord(letter)] = code
+        for code, letter in zip(codes, alphabet, strict=True):
+            self.symbols[ord(letter)] = code[-1]
+            for back, symbol in enumerate(reversed(code[:-1])):
+                self.fronts[back, ord(letter)] = symbol
         tables, self.roots, self.bits, base = [], [], [], 0
         #: How many texts of each language reach into its sample, and the keys of those of all languages.
         self.used: dict[str, int] = {}
@@ -134,8 +158,20 @@ class PhraseModel:
         keep[1:] = (symbols[1:] != SPACE) | (symbols[:-1] != SPACE)
         starts = np.concatenate([[0], np.cumsum([len(t) for t in lowered])]).astype(np.int64)
         keep[starts[:-1]] = True
-        before = np.concatenate([[0], np.cumsum(keep)])
-        return symbols[keep], np.diff(before[starts])
+        if not len(self.fronts):
+            before = np.concatenate([[0], np.cumsum(keep)])
+            return symbols[keep], np.diff(before[starts])
+        sizes = keep.astype(np.int64)
+        for front in self.fronts:
+            sizes += front[points] > 0
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(int(before[-1]), dtype=np.uint8)
+        last = before[1:] - 1
+        out[last[keep]] = symbols[keep]
+        for back, front in enumerate(self.fronts, 1):
+            found = front[points]
+            out[last[found > 0] - back] = found[found > 0]
+        return out, np.diff(before[starts])
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases per text and language, and letters per text."""
@@ -162,7 +198,8 @@ class PhraseModel:
             [np.bincount(owner, weights=row, minlength=len(texts)) for row in count], axis=1
         )
         # Every text has a symbol at least, the space in front.
-        letters = np.add.reduceat(symbols != SPACE, offset, dtype=np.int64).astype(float)
+        ends = (symbols != SPACE) & ((symbols <= LAST) | (symbols == UNKNOWN)) if len(self.fronts) else symbols != SPACE
+        letters = np.add.reduceat(ends, offset, dtype=np.int64).astype(float)
         return total, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
