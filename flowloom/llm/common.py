@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.tables import scratch_folder, stored
 
-__all__ = ["stored", "scratch_folder", "table", "remainder", "held_out", "whole_text"]
+__all__ = ["stored", "scratch_folder", "table", "remainder", "held_out", "whole_text", "numbered"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +27,14 @@ def held_out(key: str, folds: int) -> Column:
 def whole_text(column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a number of their own, and the name of its column.
+
+    The numbers are stored, as they would change where a scan is cut in another way.
+    """
+    name, taken = "__row", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name

@@ -155,19 +155,9 @@ def contaminated(
     block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """One row per document and item found in it: key, item id, edits, span_start, span_end."""
-    spark = docs.sparkSession
-    items = items.select(
-        F.col(item_key).cast("bigint").alias("i"),
-        F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"),
-    ).filter(F.col("i").isNotNull())
-    chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-chars // block_chars))
     texts = docs.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
     out = None
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast(sorted(tuple(r) for r in part.collect()))
-        search = _searcher(shared, rate)
+    for search in _searches(items, item_key, item_text, rate, block_chars):
         hits = texts.select("__key", F.explode(search("__text")).alias("m"))
         out = hits if out is None else out.unionByName(hits)
     return out.select(
@@ -179,6 +169,36 @@ def contaminated(
     )
 
 
+def without_items(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    item_key: str = "item_id",
+    item_text: str = "text",
+    rate: float = RATE,
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The rows that hold no item. Each is judged by its own text, whatever its key, and nothing is shuffled."""
+    out = docs
+    for search in _searches(items, item_key, item_text, rate, block_chars):
+        out = out.filter(F.size(search(F.col(text).cast("string"))) == 0)
+    return out
+
+
+def _searches(items: DataFrame, item_key: str, item_text: str, rate: float, block_chars: int) -> Iterator:
+    """A search for the items of each block of about ``block_chars`` characters."""
+    spark = items.sparkSession
+    items = items.select(
+        F.col(item_key).cast("bigint").alias("i"),
+        F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t"),
+    ).filter(F.col("i").isNotNull())
+    chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-chars // block_chars))
+    for block in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block)
+        yield _searcher(spark.sparkContext.broadcast(sorted(tuple(r) for r in part.collect())), rate)
+
+
 def _searcher(shared, rate: float):
     @F.pandas_udf("array<struct<item: bigint, edits: int, span_start: int, span_end: int>>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import stored
+from flowloom.llm.common import numbered, stored
 from flowloom.llm.components import components
 
 THRESHOLD = 0.8
@@ -185,8 +185,10 @@ def near_duplicates(
     found = members.join(smallest, "root").select(
         "digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     )
+    alone = F.encode(F.concat(F.lit("text without words "), F.col("k").cast("string")), "utf-8")
     return (
-        hashed.select("k", F.when(F.col("n") > 0, F.col("digest")).alias("digest"))
+        # Texts without words belong to no set; keys of their own keep them from meeting in one task.
+        hashed.select("k", F.when(F.col("n") > 0, F.col("digest")).otherwise(alone).alias("digest"))
         .join(found, "digest", "left")
         .select(
             F.col("k").alias(key),
@@ -367,8 +369,15 @@ def _compare(frame: pd.DataFrame, same_tile: bool, least: list[int], ratio: Frac
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose key is the smallest of its class, and rows without a key."""
-    found = near_duplicates(docs, key, text).filter(F.col(key) != F.col("class_id"))
-    return docs.join(found.select(key).distinct(), key, "left_anti")
+    """One row of each class: that with the smallest key, a row without a key only where no other is there.
+
+    Rows are told apart by a number, so rows with one key are judged by their own
+    texts, and of repeated rows one stays. Texts without words all stay.
+    """
+    rows, row = numbered(docs)
+    classes = near_duplicates(rows, row, text)
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(row).alias("row")))
+    kept = classes.join(rows.select(row, key), row).groupBy("class_id").agg(first.alias("first"))
+    return rows.join(kept.select(F.col("first.row").alias(row)), row, "left_semi").drop(row)
 
 

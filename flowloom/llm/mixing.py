@@ -172,17 +172,21 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     domain: str = "domain",
+    row: str | None = None,
 ) -> DataFrame:
     """Rows (key, tokens, p_<domain>..., rate) for every document with a key.
 
+    ``row`` names a column that tells rows apart where keys may be null or repeat;
+    it takes the key's place in the result, and labels still go by the key.
+
     ``targets`` are the wanted shares of the tokens of all documents; they are
     scaled to a sum of 1.
     """
     domains = list(targets)
     weights, starts = learn_words(docs, labels, domains, key, text, domain)
-    table = stored(posteriors(docs, weights, starts, key, text), "posteriors")
+    table = stored(posteriors(docs, weights, starts, row or key, text), "posteriors")
     total = table.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     whole = sum(targets.values())
     rated = fit_rates(table, [float(total) * t / whole for t in targets.values()])
     names = [F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)]
-    return rated.select(F.col("k").alias(key), "tokens", *names, "rate")
+    return rated.select(F.col("k").alias(row or key), "tokens", *names, "rate")

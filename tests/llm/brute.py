@@ -109,3 +109,35 @@ def language_model(docs, mu, steps):
             base += math.log10(uni(w))
         out[k] = (len(own), sum(words[w] > 0 for w in own), n, base, score)
     return out
+
+
+def posteriors(docs, labels, domains, most_words, least_z):
+    """docs: (key, text), labels: {key: domain}; {key: probabilities} of a Bayes classifier on word presence."""
+    own = {}
+    for key, text in docs:
+        words = re.split(r"[\s.,;:?()\"']+|(?<=[^!])(?=!)", (text or "").lower(), flags=re.ASCII)
+        own[key] = {w for w in words if w}
+    known = [(labels[k], own[k]) for k, _ in docs if labels.get(k) in domains]
+    size = [sum(d == name for d, _ in known) for name in domains]
+    counts = {}
+    for domain, words in known:
+        for word in words:
+            counts.setdefault(word, [0] * len(domains))[domains.index(domain)] += 1
+    chosen = []
+    for word, found in counts.items():
+        share = sum(found) / max(1, len(known))
+        lift = max(abs(c - share * n) / math.sqrt(share * n + 1) for c, n in zip(found, size, strict=True))
+        held = [min((c + share) / (n + 1), 1 - 1e-6) for c, n in zip(found, size, strict=True)]
+        if lift >= least_z:
+            chosen.append((-lift, word, held))
+    table = {word: held for _, word, held in sorted(chosen)[:most_words]}
+    out = {}
+    for key, words in own.items():
+        logs = []
+        for i, n in enumerate(size):
+            log = math.log((n + 1) / (len(known) + len(domains)))
+            log += sum(math.log(held[i] if word in words else 1 - held[i]) for word, held in table.items())
+            logs.append(log)
+        raised = [math.exp(x - max(logs)) for x in logs]
+        out[key] = [x / sum(raised) for x in raised]
+    return out

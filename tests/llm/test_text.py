@@ -1,5 +1,6 @@
 """Token counts, language, personal data, decontamination."""
 
+import math
 import random
 import time
 
@@ -96,10 +97,44 @@ def test_language_is_right_on_held_out_documents(spark, data_dir):
     assert all(0 <= r["score"] <= 1 for r in rows.values())
 
 
-def test_phrases_equal_plain_parsing(texts):
+def script(first, letters):
+    return [chr(c) for c in range(first, 0x20000) if chr(c).isalpha() and chr(c).lower() == chr(c)][:letters]
+
+
+def test_letter_codes_are_prefix_free():
+    for n in (0, 1, 61, 62, 400, 2000, 30_000):
+        codes = langid.letter_codes(n)
+        known = set(codes)
+        assert len(known) == n
+        assert not any(c[:i] in known for c in codes for i in range(1, len(c)))
+        assert all(langid.SPACE < s < langid.UNKNOWN for c in codes for s in c)
+
+
+def test_languages_with_letters_of_their_own():
+    rng = random.Random(8)
+    scripts = {f"l{i}": script(0x4E00 + 400 * i, 400) for i in range(5)}
+
+    def make(language, letters):
+        own = scripts[language]
+        return "".join(rng.choice(own) + (" " if rng.random() < 0.2 else "") for _ in range(letters))
+
+    samples = {name: [make(name, 2000) for _ in range(3)] for name in scripts}
+    samples["en"] = ["the quick brown fox jumps over the lazy dog and runs away from the big bad wolf "] * 40
+    model = langid.PhraseModel(samples)
+    for name in scripts:
+        names, score = model.predict([make(name, 80) for _ in range(50)])
+        assert names == [name] * 50 and (score > 0).all()
+    assert model.predict(["the dog runs over the fox"])[0] == ["en"]
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_phrases_equal_plain_parsing(texts, wide):
     samples = {"en": [texts[0][1]], "fr": [texts[1][1]]}
+    if wide:
+        # More letters than single symbols.
+        samples["zz"] = ["".join(script(0x4E00, 1200)) + texts[2][1]]
     model = langid.PhraseModel(samples)
-    some = [t for _, t, _ in texts[2:12]] + ["", "12 34", "été Ünï ΑΒΓ"]
+    some = [t for _, t, _ in texts[2:12]] + ["", "12 34", "été Ünï ΑΒΓ", "  ".join(script(0x4E00, 1300)), "丁\U00020000 一"]
     phrases, letters = model.phrases(some)
     for row, text in enumerate(some):
         assert letters[row] == sum(c.isalpha() for c in text.lower())
@@ -148,6 +183,42 @@ def test_bits_per_letter_reject_texts_of_no_language(spark, texts):
     assert docs.count() - len(kept - {-3}) <= 0.002 * docs.count()
 
 
+def test_language_stage_equals_a_plain_one(spark, texts):
+    docs = frame(spark, [*texts, (None, texts[0][1], "en"), (9001, None, "en"), (9002, "Ю" * 400, None)])
+    model = langid.train(docs.filter(f"pmod(crc32(cast(cast(doc_id as string) as binary)), {queries.LANGUAGE_FOLDS}) <> 0"))
+    rows = [tuple(r) for r in docs.collect()]
+    one = {r[1]: [x[0] for x in model.judge([r[1] or ""])] for r in rows}
+    seen = {}
+    for key, text, lang, *_ in rows:
+        if None in (key, text, lang) or brute.crc(key) % queries.LANGUAGE_FOLDS == 0 or key in model.learned:
+            continue
+        name, _, bits, letters = one[text]
+        if name == lang and letters:
+            seen.setdefault(lang, set()).add((bits, letters))
+    at = lambda values, share: sorted(values)[math.ceil(share * len(values)) - 1]
+
+    def bound(figures):
+        middle, high = (at([b for b, _ in figures], q) for q in (0.5, 0.75))
+        upper = at([(b - middle) * math.sqrt(n) for b, n in figures], 0.75)
+        least = langid.LEAST_SPREAD * middle
+        return middle, max(high - middle, least) / 0.6745, max(upper, least) / 0.6745
+
+    limits = {name: bound(f) for name, f in seen.items() if len(f) >= langid.LEAST_ROWS}
+    everything = set().union(*seen.values())
+    assert len(everything) >= langid.LEAST_ROWS
+    kept = []
+    for row in rows:
+        name, _, bits, letters = one[row[1]]
+        if name != "und":
+            middle, spread, by_length = limits.get(name) or bound(everything)
+            if bits <= middle + langid.SPREADS * (spread + by_length / math.sqrt(letters)):
+                kept.append(row)
+    found = [tuple(r) for r in corpus_pipeline.language(spark, docs, "").collect()]
+    order = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(found, key=order) == sorted(kept, key=order)
+    assert len(kept) < len(rows)
+
+
 def test_bounds_of_few_rows(spark):
     rows = [(i, f"word{'abcdefgh'[i % 8]} " * (i + 3), "en") for i in range(10)]
     few = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
