@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.tables import scratch_folder, stored
 
-__all__ = ["stored", "scratch_folder", "table", "remainder", "held_out", "whole_text", "numbered"]
+__all__ = ["stored", "scratch_folder", "table", "remainder", "held_out", "whole_text", "numbered", "release_arrow"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +38,10 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     while name in taken:
         name += "_"
     return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def release_arrow() -> None:
+    """Gives memory of finished Arrow batches back to the system; workers live on between stages."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.common import release_arrow
+
 RATE = 0.05
 BLOCK_CHARS = 4_000_000
 _BETWEEN = re.compile(r"[\W_]+")
@@ -207,5 +209,6 @@ def _searcher(shared, rate: float):
         for texts in batches:
             found = [[dict(zip(names, m, strict=True)) for m in find(t or "")] for t in texts]
             yield pd.Series(found, dtype=object)
+        release_arrow()
 
     return search

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import numbered, stored
+from flowloom.llm.common import numbered, release_arrow, stored
 from flowloom.llm.components import components
 
 THRESHOLD = 0.8
@@ -83,6 +83,7 @@ def _word_code(word: str) -> int:
 
 def _forget_words() -> None:
     _CODES.clear()
+    release_arrow()
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -34,10 +34,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import stored
+from flowloom.llm.common import release_arrow, stored
 
 UNDETERMINED = "und"
 DOCS_PER_LANGUAGE = 64
@@ -45,7 +46,7 @@ CHARS_PER_DOC = 4096
 SAMPLE_CHARS = 16_384
 LANE = 1024
 #: Characters parsed at a time, if one text is not longer; bounds memory, not results.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 500_000
 WIDTH = 64
 #: Labelled rows per language that bounds are learned from.
 BOUND_ROWS = 4096
@@ -149,6 +150,15 @@ class PhraseModel:
             base += len(moves)
         self.moves = np.concatenate(tables).ravel() if tables else np.empty(0, dtype=np.int32)
 
+    def shared(self, spark: SparkSession) -> Broadcast:
+        """This model as a broadcast. Workers keep what they have read, so all plans of a session use one."""
+        app, found = getattr(self, "_shared", (None, None))
+        if app != spark.sparkContext.applicationId:
+            self.__dict__.pop("_shared", None)
+            found = spark.sparkContext.broadcast(self)
+            self._shared = (spark.sparkContext.applicationId, found)
+        return found
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, each behind a space, runs of spaces as one; lengths."""
         lowered = [" " + t.lower() for t in texts]
@@ -333,7 +343,7 @@ def plausible(limits: dict[str, Bound]) -> Column:
 
 def identify(docs: DataFrame, model: PhraseModel, text: str = "text", bits: bool = False) -> DataFrame:
     """Add lang_pred and score to every row, on demand also bits (per letter) and letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double, bits double, letters double")
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -351,6 +361,7 @@ def identify(docs: DataFrame, model: PhraseModel, text: str = "text", bits: bool
             figures.append(np.stack(rest))
             at = end
         score, cost, letters = np.concatenate(figures, axis=1)
+        release_arrow()
         return pd.DataFrame({"lang_pred": names, "score": score, "bits": cost, "letters": letters})
 
     added = docs.withColumn("__lang", predict(F.col(text).cast("string")))
