@@ -1,12 +1,14 @@
 """Flow building against the packet-by-packet model, on both routes."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from flowloom.operators.flow_features import flow_features
-from flowloom.operators import ordered
+from flowloom.operators import ordered, sessions
+from flowloom.operators.packets import packet_facts, valid_packets
 from flowloom.operators.sessions import HotKeyPolicy, assign_flows, flow_parts, hot_keys
 from flowloom.schemas import FLOW_COLUMNS, PACKET_SCHEMA
 from flowloom.sources.events import load_packets
@@ -288,3 +290,31 @@ def test_flow_table_has_forty_columns(spark):
     made = flow_features(table(spark, [packet(1, T0)]), label="BENIGN")
     assert made.columns == [*FLOW_COLUMNS, "label"]
     assert len(FLOW_COLUMNS) == 40
+
+
+def test_facts_are_short_enough_to_be_compiled(spark, data_dir, capsys):
+    facts = packet_facts(valid_packets(load_packets(spark, data_dir)))
+    facts.explain("codegen")
+    sizes = [int(s) for s in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_question_counts_with_missing_parts(spark):
+    types = [[255, None, 16, 255], [], None]
+    rows = [
+        packet(i, T0 + i)[:10] + ((i, i == 2, 0, 1, 0, asked, [], 0, [], []),) for i, asked in enumerate(types)
+    ]
+    rows.append(packet(3, T0 + 3, "1.2.3.4", 1000, "8.8.8.8", 2000, 71, dns=(9, False, 0, [255])))
+    for questions, last in (("all", 0), ("queries", None)):
+        made = packet_facts(table(spark, rows), questions).orderBy("seq")
+        found = made.select("any_questions", "txt_questions").collect()
+        assert [tuple(r) for r in found] == [(2, 1), (0, 0), (last, last), (None, None)]
+
+
+def test_partitions_follow_the_packets(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "TASK_ROWS", 4)
+    policy = HotKeyPolicy(one_in=1)
+    rows = [packet(i, T0 + i, "1.2.3.4", 1000 + i) for i in range(80)]
+    (part,) = flow_parts(table(spark, rows), policy=policy)
+    assert part.rdd.getNumPartitions() == 20
+    compare(spark, rows, policy)
