@@ -43,6 +43,12 @@ def test_saved_model_scores_alike(spark, forest, flows, folder):
     assert first.exceptAll(learn.score(again, flows).select("first_seq", "score")).count() == 0
 
 
+def test_forest_keeps_the_node_of_each_row(forest):
+    assert learn.classifier("forest").getCacheNodeIds()
+    assert not learn.classifier("forest", cacheNodeIds=False).getCacheNodeIds()
+    assert forest.stages[-1].getOrDefault("cacheNodeIds")
+
+
 def test_boosting_stops_early(flows):
     marked = flows.withColumn("held", F.col("first_seq") % 3 == 0)
     model = learn.fit(marked, "boosted_leafy", validation="held", maxIter=12, maxDepth=2, stepSize=1.0)
