@@ -10,7 +10,11 @@ import tempfile
 
 import numpy as np
 
-_ONE = np.uint64(1)
+#: Pairs looked up at a time.
+PIECE = 1 << 16
+#: Lowest and highest bit of each byte, the lower half of each half byte.
+_LOWEST, _HIGHEST, _PAIRS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080), np.uint64(0x3333333333333333)
+_ALL = 0xFFFFFFFFFFFFFFFF
 #: Place of the r-th one bit of each byte.
 _IN_BYTE = np.zeros((256, 8), dtype=np.uint8)
 for _byte in range(256):
@@ -32,9 +36,12 @@ def _pack(values: np.ndarray, bits: int) -> np.ndarray:
     if bits and len(values):
         at = np.arange(len(values), dtype=np.uint64) * np.uint64(bits)
         word, place = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        np.bitwise_or.at(out, word, values << place)
-        over = place + np.uint64(bits) > np.uint64(64)
-        np.bitwise_or.at(out, word[over] + 1, values[over] >> (np.uint64(64) - place[over]))
+        # A value begins in every word up to the last one.
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[: len(first)] = np.bitwise_or.reduceat(values << place, first)
+        # At most one value reaches from a word into the next.
+        over = np.flatnonzero(place + np.uint64(bits) > np.uint64(64))
+        out[word[over] + 1] |= values[over] >> (np.uint64(64) - place[over])
     return out
 
 
@@ -47,7 +54,6 @@ class EliasFano:
         self.low = np.frombuffer(buffer, np.uint64, low_words, offset)
         offset += 8 * low_words
         self.high = np.frombuffer(buffer, np.uint64, high_words, offset)
-        self.bytes = np.frombuffer(buffer, np.uint8, 8 * high_words, offset)
         offset += 8 * high_words
         #: Ones before each word.
         self.ones = np.frombuffer(buffer, np.int64, high_words + 1, offset)
@@ -62,8 +68,9 @@ class EliasFano:
         bits = max(0, (top // n).bit_length() - 1) if n else 0
         low = _pack(values & np.uint64((1 << bits) - 1), bits)
         places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros((top >> bits) // 64 + n // 64 + 3, dtype=np.uint64)
-        np.bitwise_or.at(high, places >> 6, _ONE << (places & 63).astype(np.uint64))
+        marks = np.zeros(((top >> bits) // 64 + n // 64 + 3) * 64, dtype=bool)
+        marks[places] = True
+        high = np.packbits(marks, bitorder="little").view(np.uint64)
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]).astype(np.int64)
         head = np.array([n, bits, len(low), len(high)], dtype=np.int64)
         return b"".join(x.tobytes() for x in (head, low, high, ones))
@@ -71,15 +78,16 @@ class EliasFano:
     def _select(self, rank: np.ndarray, before: np.ndarray, flip: int) -> np.ndarray:
         """Places of the bits of the given ranks (ones, or zeros if flipped)."""
         word = np.searchsorted(before, rank, side="right") - 1
-        rest = rank - before[word]
-        place = np.zeros(len(rank), dtype=np.int64)
-        for byte in range(7):
-            count = np.bitwise_count(self.bytes[word * 8 + place] ^ np.uint8(flip)).astype(np.int64)
-            # Stays at the byte that holds the bit.
-            on = (rest >= count) & (place == byte)
-            rest -= np.where(on, count, 0)
-            place += on
-        return word * 64 + place * 8 + _IN_BYTE[self.bytes[word * 8 + place] ^ np.uint8(flip), rest]
+        rest = (rank - before[word]).astype(np.uint64)
+        bits = self.high[word] ^ np.uint64(flip)
+        # Ones of each byte, then of all bytes up to it.
+        sums = bits - ((bits >> np.uint64(1)) & np.uint64(0x5555555555555555))
+        sums = (sums & _PAIRS) + ((sums >> np.uint64(2)) & _PAIRS)
+        sums = ((sums + (sums >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _LOWEST
+        # The bit lies behind the bytes whose sums do not reach beyond its rank.
+        shift = np.bitwise_count(((rest * _LOWEST | _HIGHEST) - sums) & _HIGHEST).astype(np.uint64) << np.uint64(3)
+        rest -= ((sums << np.uint64(8)) >> shift) & np.uint64(255)
+        return word * 64 + shift.astype(np.int64) + _IN_BYTE[(bits >> shift) & np.uint64(255), rest]
 
     def _low(self, index: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -111,8 +119,8 @@ class EliasFano:
         some = np.flatnonzero(inside)
         h = high[some]
         # Elements with a high part below h end in front of the h-th zero.
-        place[some] = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, 255) - (h - 1), 0)
-        stop[some] = self._select(h, self.zeros, 255) - h
+        place[some] = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, _ALL) - (h - 1), 0)
+        stop[some] = self._select(h, self.zeros, _ALL) - h
         low, end = place.copy(), stop.copy()
         while len(open_rows := np.flatnonzero(low < end)):
             middle = (low[open_rows] + end[open_rows]) >> 1
@@ -158,8 +166,23 @@ class Trie:
         )
 
     def find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Value of each pair (0 if absent), whether it is there, and its place among all pairs."""
-        number, known = self.contexts.successor(context)
+        """Value of each pair (0 if absent), whether it is there, and its place among all pairs.
+
+        Quickest for sorted pairs. They are looked up in pieces, so what that takes stays small.
+        """
+        cuts = range(0, max(1, len(context)), PIECE)
+        parts = [self._find(context[i : i + PIECE], successor[i : i + PIECE]) for i in cuts]
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+    def _find(self, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # Equal contexts that lie together are looked up once.
+        fresh = np.flatnonzero(np.concatenate([np.ones(min(1, len(context)), dtype=bool), context[1:] != context[:-1]]))
+        number, known = self.contexts.successor(context[fresh])
+        first, last = np.zeros_like(number), np.zeros_like(number)
+        first[known] = self.pointers.access(number[known])
+        last[known] = self.pointers.access(number[known] + 1)
+        runs = np.diff(np.append(fresh, len(context)))
+        number, known, first, last = (np.repeat(x, runs) for x in (number, known, first, last))
         found = known & (successor < np.uint64(self.spread))
         value = np.zeros(len(found), dtype=np.uint16)
         places = np.zeros(len(found), dtype=np.int64)
@@ -167,8 +190,7 @@ class Trie:
         relative = number[some].astype(np.uint64) * np.uint64(self.spread) + successor[some].astype(np.uint64)
         place, equal = self.successors.successor(relative)
         # The place must be inside the context's range.
-        first, last = self.pointers.access(number[some]), self.pointers.access(number[some] + 1)
-        equal &= (place >= first.astype(np.int64)) & (place < last.astype(np.int64))
+        equal &= (place >= first[some]) & (place < last[some])
         found[some] = equal
         value[some[equal]] = self.values[place[equal]]
         places[some[equal]] = place[equal]

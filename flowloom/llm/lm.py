@@ -10,9 +10,11 @@ context are spread over shards by their second word.
 
 Probability of a word behind a context, with Dirichlet smoothing:
 ``(n(context, word) + MU * p(word)) / (n(context) + MU)``, where p(word) is the
-unigram estimate ``(c + 0.1) / (N + 0.1 * (V + 1))``. Seen bigrams hold the
-quantised log10 of it in the trie (steps of 1 / 4096); unseen ones back off to
-``MU * p(word) / (n(context) + MU)``.
+unigram estimate ``(c + 0.1) / (N + 0.1 * (V + 1))``; unseen bigrams back off to
+``MU * p(word) / (n(context) + MU)``. The tries hold counts, as places among the
+distinct counts of their shard. Shards answer with counts, from which a block
+makes the estimates itself: log10, for seen bigrams and trigrams in steps of
+1 / 4096. So neither what an estimate takes nor the estimate is ever sent.
 
 A trigram is asked for where the bigram in front and the one at its end were
 seen; its key is the place of the bigram in its shard plus the word, its estimate
@@ -32,17 +34,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import held_out, scratch_folder, stored
+from flowloom.llm.common import held_out, release_arrow, scratch_folder, stored
 from flowloom.llm.elias_fano import Trie, mapped
 
 BLOCK_BYTES = 8_000_000
 MU = 10.0
 STEPS = 4096
-UNSEEN = 65_535
+MOST_STEPS = 65_534
 END = b""
 #: Block number of rows that hold a shard's level, and the id of words a model does not know.
 LEVEL, UNKNOWN = -1, 0xFFFFFFFE
@@ -64,12 +68,22 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted unsigned integers as differences."""
-    return pack(np.diff(keys, prepend=np.uint64(0)))
+    """Unsigned integers, best in runs that ascend: halves as differences, the lower ones where the upper one stays."""
+    high, low = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
+    steps = low.copy()
+    steps[1:] -= np.where(high[1:] == high[:-1], low[:-1], np.uint32(0))
+    upper = pack(np.diff(high, prepend=np.uint32(0)))
+    return len(upper).to_bytes(4, "little") + upper + pack(steps)
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
+    cut = 4 + int.from_bytes(data[:4], "little")
+    upper, steps = unpack(data[4:cut]), unpack(data[cut:])
+    low = np.cumsum(steps, dtype=np.uint32)
+    # Sums begin anew where the upper half moves.
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(upper)), dtype=bool), upper[1:] != 0]))
+    low -= np.repeat(low[first] - steps[first], np.diff(np.append(first, len(steps))))
+    return (np.cumsum(upper, dtype=np.uint32).astype(np.uint64) << np.uint64(32)) | low
 
 
 def pack_words(words: list[bytes]) -> bytes:
@@ -82,8 +96,6 @@ def unpack_words(data: bytes) -> list[bytes]:
 
 
 def shard_of(word: bytes, shards: int) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(word) % shards
 
 
@@ -96,17 +108,35 @@ def unigram(count: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
 _BLOCK = "block bigint, keys array<bigint>, held binary, lengths binary, tokens binary, words binary, counts binary, shards binary"
 
 
-def _block(number: int, keys: list, held: list[bool], docs: list[list[bytes]], shards: int) -> dict:
+def _tokens(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words in the order of their bytes; the word of each token, the end as -1; tokens of each text."""
+    # Not all texts need be valid, and only bytes are looked at.
+    whole = pa.array([t.lower() for t in texts], pa.large_binary()).view(pa.large_string())
+    lists = pc.ascii_split_whitespace(whole)
+    flat, of = lists.flatten().view(pa.large_binary()), pc.list_parent_indices(lists).to_numpy()
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    lengths = np.bincount(of[real], minlength=len(texts)) + 1
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order] = np.arange(len(order))
+    tokens = np.full(int(lengths.sum()), -1, dtype=np.int32)
+    inside = np.ones(len(tokens), dtype=bool)
+    inside[np.cumsum(lengths) - 1] = False
+    tokens[inside] = rank[coded.indices.to_numpy()]
+    return coded.dictionary.take(pa.array(order)).to_pylist(), tokens, lengths.astype(np.int64)
+
+
+def _block(number: int, keys: list, held: list[bool], texts: list[bytes], shards: int) -> dict:
     """Tokens as places in the block's words, which are sorted by shard and bytes."""
-    words = sorted({END}.union(*docs))
+    words, tokens, lengths = _tokens(texts)
+    words, tokens = [END, *words], tokens + 1
     shard = np.array([shard_of(w, shards) for w in words])
-    known = [words[i] for i in np.argsort(shard, kind="stable").tolist()]
-    place = {w: i for i, w in enumerate(known)}
-    lengths = np.array([len(d) + 1 for d in docs], dtype=np.int64)
-    end = place[END]
-    tokens = np.fromiter(
-        (t for d in docs for t in (*map(place.__getitem__, d), end)), dtype=np.int32, count=int(lengths.sum())
-    )
+    order = np.argsort(shard, kind="stable")
+    known = [words[i] for i in order.tolist()]
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order))
+    tokens = place[tokens]
     learned = np.repeat(~np.array(held, dtype=bool), lengths)
     counts = np.bincount(tokens[learned], minlength=len(known)).astype(np.int64)
     sizes = np.bincount(shard, minlength=shards).astype(np.int64)
@@ -144,7 +174,7 @@ def make_blocks(docs: DataFrame, key: str, text: str, folds: int | None, shards:
         number = TaskContext.get().partitionId() << 32
         keys: list = []
         held: list[bool] = []
-        texts: list[list[bytes]] = []
+        texts: list[bytes] = []
         size = 0
         for batch in batches:
             words = batch.column("t").cast(pa.binary())
@@ -152,12 +182,13 @@ def make_blocks(docs: DataFrame, key: str, text: str, folds: int | None, shards:
                 data = words[row].as_py() or b""
                 keys.append(batch.column("k")[row].as_py())
                 held.append(batch.column("h")[row].as_py())
-                texts.append(data.lower().split())
+                texts.append(data)
                 size += len(data)
                 if size >= BLOCK_BYTES:
                     yield _rows([_block(number, keys, held, texts, shards)], _BLOCK_ARROW)
                     number, size = number + 1, 0
                     keys, held, texts = [], [], []
+                    release_arrow()
         if texts:
             yield _rows([_block(number, keys, held, texts, shards)], _BLOCK_ARROW)
 
@@ -200,10 +231,8 @@ _ANSWER_ARROW = pa.schema(
         ("distinct", pa.int64()),
     ]
 )
-_ASK = "shard int, block bigint, keys binary, counts binary, words binary, contexts binary"
-_ASK_ARROW = pa.schema(
-    [("shard", pa.int32()), ("block", pa.int64()), *[(n, pa.binary()) for n in ("keys", "counts", "words", "contexts")]]
-)
+_ASK = "shard int, block bigint, keys binary, counts binary"
+_ASK_ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +246,6 @@ def _ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "block": row["block"],
                     "keys": pack_words(words[end - size : end]),
                     "counts": pack(counts[end - size : end]),
-                    "words": b"",
-                    "contexts": b"",
                 }
                 for shard, (size, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True))
                 if size
@@ -305,137 +332,111 @@ def _bigrams(row: dict, ids: np.ndarray, shards: int) -> tuple[np.ndarray, np.nd
     return keys[order], shard[order], place, counts
 
 
-def _answers(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    rows = sorted(rows, key=lambda r: r["shard"])
-    return np.concatenate([unpack(r["first"]) for r in rows]), np.concatenate([unpack(r["second"]) for r in rows])
-
+def _joined(rows: list[dict], column: str, read=unpack) -> np.ndarray:
+    """The answers of all shards, which were asked in the order of their numbers."""
+    return np.concatenate([read(r[column]) for r in sorted(rows, key=lambda r: r["shard"])])
 
-def _word_counts(ids: np.ndarray, counts: np.ndarray):
-    """A lookup from moved ids to counts for the words of one block."""
-    order = np.argsort(ids)
-    names, values = ids[order].astype(np.uint64) + np.uint64(1), counts[order]
 
-    def of(moved: np.ndarray) -> np.ndarray:
-        return values[np.minimum(np.searchsorted(names, moved), len(names) - 1)]
-
-    return of
+def _asks(block: int, shards: int, shard: np.ndarray, keys: np.ndarray, seen: np.ndarray) -> pa.Table:
+    """A row per shard that is asked; keys are sorted by shard."""
+    bounds = np.searchsorted(shard, np.arange(shards + 1))
+    out = []
+    for s in np.flatnonzero(np.diff(bounds)).tolist():
+        part = slice(bounds[s], bounds[s + 1])
+        row = {"shard": s, "block": block, "keys": pack_keys(keys[part]), "counts": pack(seen[part].astype(np.uint32))}
+        out.append(row)
+    return pa.Table.from_pylist(out, schema=_ASK_ARROW)
 
 
 def _ask_bigrams(shards: int, folder: str):
     def run(right: pa.Table) -> pa.Table:
-        out = []
+        release_arrow()
         answers = right.to_pylist()
-        for row in [read_block(folder, answers[0]["block"])]:
-            ids, counts = _answers(answers)
-            keys, shard, _, seen = _bigrams(row, ids, shards)
-            of = _word_counts(ids, counts)
-            end = counts[unpack_words(row["words"]).index(END)]
-            contexts = _contexts(keys, of, end)
-            bounds = np.searchsorted(shard, np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(bounds)).tolist():
-                part = slice(bounds[s], bounds[s + 1])
-                out.append(
-                    {
-                        "shard": s,
-                        "block": row["block"],
-                        "keys": pack_keys(keys[part]),
-                        "counts": pack(seen[part].astype(np.uint32)),
-                        "words": pack(of(keys[part] & np.uint64(0xFFFFFFFF))),
-                        "contexts": pack(contexts[part][_first_of_each(keys[part])]),
-                    }
-                )
-        return pa.Table.from_pylist(out, schema=_ASK_ARROW)
+        row = read_block(folder, answers[0]["block"])
+        keys, shard, _, seen = _bigrams(row, _joined(answers, "first"), shards)
+        return _asks(row["block"], shards, shard, keys, seen)
 
     return run
 
 
-def _contexts(keys: np.ndarray, of, end: int) -> np.ndarray:
-    """How often each key's context was seen in training; documents start as often as they end."""
-    names = keys >> np.uint64(32)
-    return np.where(names == 0, end, of(names))
-
-
-def _first_of_each(keys: np.ndarray) -> np.ndarray:
-    names = keys >> np.uint64(32)
-    return np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-
-
 def smoothed(seen: np.ndarray, word: np.ndarray, context: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
     return (seen + MU * unigram(word, tokens, distinct)) / (context + MU)
 
 
-def _level(rows: list[dict], tokens: int, distinct: int) -> tuple[list[np.ndarray], np.ndarray, bytes]:
-    """Keys asked by each block; counts of the shard's training bigrams in the order of their trie, and that."""
-    asked = [unpack_keys(r["keys"]) for r in rows]
-    keys, place = np.unique(np.concatenate(asked), return_inverse=True)
-    seen = np.bincount(place, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(keys))
-    word, context = np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-    word[place] = np.concatenate([unpack(r["words"]) for r in rows])
-    spread = []
-    for own, row in zip(asked, rows, strict=True):
-        first = _first_of_each(own)
-        spread.append(np.repeat(unpack(row["contexts"]), np.diff(np.append(first, len(own)))))
-    context[place] = np.concatenate(spread)
-    learned = seen > 0
-    keys, seen, word, context = keys[learned], seen[learned], word[learned], context[learned]
-    return asked, seen, _trie(keys, smoothed(seen, word, context, tokens, distinct))
+def stepped(estimate: np.ndarray) -> np.ndarray:
+    """Their log10 in steps."""
+    return np.clip(np.round(-np.log10(estimate) * STEPS), 0, MOST_STEPS) / -STEPS
 
 
-def _trie(keys: np.ndarray, estimate: np.ndarray) -> bytes:
-    codes = np.clip(np.round(-np.log10(estimate) * STEPS), 0, UNSEEN - 1).astype(np.uint16)
-    return Trie.encode(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), codes)
+class _Asked:
+    """The distinct keys that blocks ask a shard for, and where each block's keys are among them."""
 
+    def __init__(self, rows: list[dict]) -> None:
+        lists = [unpack_keys(r["keys"]) for r in rows]
+        self.rows, self.ends = rows, np.cumsum([len(k) for k in lists], dtype=np.int64)
+        self.keys, self.back = np.unique(np.concatenate([np.empty(0, dtype=np.uint64), *lists]), return_inverse=True)
 
-def _found(level: bytes, asked: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Value (or UNSEEN) and place of the keys of each block."""
-    trie = Trie(mapped(level))
-    out = []
-    for keys in asked:
-        value, found, place = trie.find(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF))
-        out.append((np.where(found, value, UNSEEN).astype(np.uint16), place))
-    return out
+    def level(self) -> tuple[bytes, np.ndarray]:
+        """The trie of the training n-grams, and their distinct counts, whose places are its values."""
+        seen = np.concatenate([unpack(r["counts"]) for r in self.rows])
+        total = np.bincount(self.back, weights=seen, minlength=len(self.keys)).astype(np.int64)
+        learned = total > 0
+        return _trie(self.keys[learned], total[learned])
 
+    def answers(self, level: bytes, counts: np.ndarray, places: bool) -> list[dict]:
+        """The count of each key, and the places in the trie of those that were seen."""
+        value, found, spot = Trie(mapped(level)).find(self.keys >> np.uint64(32), self.keys & np.uint64(0xFFFFFFFF))
+        total = np.zeros(len(self.keys), dtype=np.uint32)
+        total[found] = counts[value[found]]
+        out = []
+        for row, back in zip(self.rows, np.split(self.back, self.ends[:-1]), strict=True):
+            at = spot[back[found[back]]].astype(np.uint64) if places else None
+            out.append(_answer(row, pack(total[back]), third=b"" if at is None else pack_keys(at)))
+        return out
 
-def _bigram_answers(rows: list[dict], asked: list[np.ndarray], level: bytes, seen: np.ndarray) -> list[dict]:
-    """Value of each bigram; counts and places in the shard of the seen ones."""
-    out = []
-    for (value, place), row in zip(_found(level, asked), rows, strict=True):
-        spot = place[value != UNSEEN]
-        out.append(_answer(row, pack(value), pack(seen[spot].astype(np.uint32)), pack_keys(spot.astype(np.uint64))))
-    return out
 
+def _trie(keys: np.ndarray, seen: np.ndarray) -> tuple[bytes, np.ndarray]:
+    counts, value = np.unique(seen, return_inverse=True)
+    if len(counts) > 1 << 16:
+        raise ValueError("a shard has more distinct counts than 16 bits tell apart; use more shards")
+    return Trie.encode(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF), value.astype(np.uint16)), counts.astype(np.uint32)
 
-def _look_up(tokens: int, distinct: int):
-    """The bigrams of a shard, and answers."""
+
+def _look_up(places: bool):
+    """The n-grams of a shard, and answers."""
 
     def run(table: pa.Table) -> pa.Table:
+        release_arrow()
         rows = table.to_pylist()
-        asked, seen, level = _level(rows, tokens, distinct)
-        out = _bigram_answers(rows, asked, level, seen)
-        # The trie holds the keys; counts are in its order.
-        out.append(_answer({"shard": rows[0]["shard"], "block": LEVEL}, level, pack(seen.astype(np.uint32))))
-        return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
+        asked = _Asked(rows)
+        level, counts = asked.level()
+        # The trie holds the keys.
+        own = _answer({"shard": rows[0]["shard"], "block": LEVEL}, level, pack(counts))
+        return pa.Table.from_pylist([*asked.answers(level, counts, places), own], schema=_ANSWER_ARROW)
 
     return run
 
 
-def _known_bigrams(left: pa.Table, right: pa.Table) -> pa.Table:
+def _known_ngrams(places: bool):
     """As _look_up, by the stored level of a shard."""
-    rows, levels = left.to_pylist(), right.to_pylist()
-    asked = [unpack_keys(r["keys"]) for r in rows]
-    if levels:
-        level, seen = levels[0]["first"], unpack(levels[0]["second"])
-    else:
-        seen = np.empty(0, dtype=np.uint64)
-        level = _trie(seen, np.empty(0))
-    return pa.Table.from_pylist(_bigram_answers(rows, asked, level, seen), schema=_ANSWER_ARROW)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, levels = left.to_pylist(), right.to_pylist()
+        if levels:
+            level, counts = levels[0]["first"], unpack(levels[0]["second"])
+        else:
+            level, counts = _trie(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+        out = _Asked(asked).answers(level, counts, places) if asked else []
+        return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
+
+    return run
 
 
 # -- trigrams ----------------------------------------------------------------
 
 
 class _Trigrams:
-    """Distinct trigrams of a block whose two bigrams were seen, sorted by shard and key.
+    """Distinct trigrams of a block whose two bigrams were seen, sorted by shard, first bigram and word.
 
     A key is the place of the first bigram in its shard in the upper and the
     word in the lower 32 bits. Trigrams lie in the shard of the first bigram,
@@ -443,38 +444,37 @@ class _Trigrams:
     tell which shard the place is of.
     """
 
-    def __init__(self, row: dict, ids: np.ndarray, answers: list[dict], shards: int) -> None:
-        answers = sorted(answers, key=lambda r: r["shard"])
+    def __init__(self, row: dict, ids: np.ndarray, counts: np.ndarray, shards: int) -> None:
         keys, shard, self.place, _ = _bigrams(row, ids, shards)
-        self.codes = np.concatenate([unpack(r["first"]) for r in answers])
-        seen = self.codes != UNSEEN
-        self.counts = np.zeros(len(keys), dtype=np.int64)
-        self.counts[seen] = np.concatenate([unpack(r["second"]) for r in answers])
-        spot = np.zeros(len(keys), dtype=np.uint64)
-        spot[seen] = np.concatenate([unpack_keys(r["third"]) for r in answers])
+        self.counts = counts
+        seen = counts > 0
         lengths = unpack(row["lengths"])
         self.before = np.concatenate([[0], self.place[:-1]]) if len(self.place) else self.place
         #: Tokens behind a seen bigram, and those of them whose own bigram was seen too.
         self.behind = seen[self.before]
         self.behind[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = False
         self.asked = np.flatnonzero(self.behind & seen[self.place])
-        front, own = self.before[self.asked], self.place[self.asked]
-        word = keys[own] & np.uint64(0xFFFFFFFF)
+        front = self.before[self.asked].astype(np.uint64)
+        word = keys[self.place[self.asked]] & np.uint64(0xFFFFFFFF)
+        # Bigrams lie in the order of shard and key, so their places ascend with their numbers in a shard.
+        names, of = np.unique((front << np.uint64(32)) | word, return_inverse=True)
+        front, word = (names >> np.uint64(32)).astype(np.int64), names & np.uint64(0xFFFFFFFF)
         moved = ((word & np.uint64(15)) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(shards)
         to = (shard[front] + moved.astype(np.int64)) % shards
-        if len(spot) and int(spot.max()) >> 32:
-            raise ValueError("a shard has more bigrams than 32 bits tell apart; use more shards")
-        key = (spot[front] << np.uint64(32)) | word
-        order = np.lexsort((key, to))
-        fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = (key[order][1:] != key[order][:-1]) | (to[order][1:] != to[order][:-1])
-        self.of = np.empty(len(order), dtype=np.int64)
-        self.of[order] = np.cumsum(fresh) - 1
-        chosen = order[fresh]
-        self.keys, self.shard = key[chosen], to[chosen]
-        self.context, self.code = self.counts[front[chosen]], self.codes[own[chosen]]
+        order = np.argsort(to, kind="stable")
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        self.of, self.shard, self.front, self.word = back[of], to[order], front[order], word[order]
         learned = np.repeat(np.frombuffer(row["held"], dtype=np.uint8) == 0, lengths)[self.asked]
-        self.seen = np.bincount(self.of[learned], minlength=len(chosen))
+        self.seen = np.bincount(self.of[learned], minlength=len(names))
+
+    def keys(self, spots: np.ndarray) -> np.ndarray:
+        """By the places of the seen bigrams."""
+        if len(spots) and int(spots.max()) >> 32:
+            raise ValueError("a shard has more bigrams than 32 bits tell apart; use more shards")
+        spot = np.zeros(len(self.counts), dtype=np.uint64)
+        spot[self.counts > 0] = spots
+        return (spot[self.front] << np.uint64(32)) | self.word
 
 
 def _split(answers: list[dict]) -> list[list[dict]]:
@@ -484,54 +484,16 @@ def _split(answers: list[dict]) -> list[list[dict]]:
 
 def _ask_trigrams(shards: int, folder: str):
     def run(right: pa.Table) -> pa.Table:
-        out = []
+        release_arrow()
         answers = right.to_pylist()
         of_words, of_bigrams, _ = _split(answers)
-        for row in [read_block(folder, answers[0]["block"])]:
-            own = _Trigrams(row, _answers(of_words)[0], of_bigrams, shards)
-            bounds = np.searchsorted(own.shard, np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(bounds)).tolist():
-                part = slice(bounds[s], bounds[s + 1])
-                out.append(
-                    {
-                        "shard": s,
-                        "block": row["block"],
-                        "keys": pack_keys(own.keys[part]),
-                        "counts": pack(own.seen[part].astype(np.uint32)),
-                        "words": pack(own.code[part]),
-                        "contexts": pack(own.context[part].astype(np.uint32)),
-                    }
-                )
-        return pa.Table.from_pylist(out, schema=_ASK_ARROW)
+        row = read_block(folder, answers[0]["block"])
+        own = _Trigrams(row, _joined(of_words, "first"), _joined(of_bigrams, "first"), shards)
+        return _asks(row["block"], shards, own.shard, own.keys(_joined(of_bigrams, "third", unpack_keys)), own.seen)
 
     return run
 
 
-def _look_up_trigrams(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    asked = [unpack_keys(r["keys"]) for r in rows]
-    keys, place = np.unique(np.concatenate(asked), return_inverse=True)
-    seen = np.bincount(place, weights=np.concatenate([unpack(r["counts"]) for r in rows]), minlength=len(keys))
-    code, context = np.zeros(len(keys), dtype=np.uint16), np.zeros(len(keys), dtype=np.int64)
-    code[place] = np.concatenate([unpack(r["words"]) for r in rows])
-    context[place] = np.concatenate([unpack(r["contexts"]) for r in rows])
-    learned = seen > 0
-    keys, seen, code, context = keys[learned], seen[learned], code[learned], context[learned]
-    level = _trie(keys, (seen + MU * 10.0 ** (code / -STEPS)) / (context + MU))
-    out = [_answer(r, pack(v)) for r, (v, _) in zip(rows, _found(level, asked), strict=True)]
-    out.append(_answer({"shard": rows[0]["shard"], "block": LEVEL}, level))
-    return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
-
-
-def _known_trigrams(left: pa.Table, right: pa.Table) -> pa.Table:
-    """As _look_up_trigrams, by the stored level of a shard."""
-    rows, levels = left.to_pylist(), right.to_pylist()
-    asked = [unpack_keys(r["keys"]) for r in rows]
-    level = levels[0]["first"] if levels else _trie(np.empty(0, dtype=np.uint64), np.empty(0))
-    out = [_answer(r, pack(v)) for r, (v, _) in zip(rows, _found(level, asked), strict=True)]
-    return pa.Table.from_pylist(out, schema=_ANSWER_ARROW)
-
-
 # -- scores ------------------------------------------------------------------
 
 _SCORE = "k bigint, h boolean, n_tokens bigint, n_known bigint, base_score double, bigram_score double, score double"
@@ -550,48 +512,41 @@ _SCORE_ARROW = pa.schema(
 
 def _score(shards: int, tokens: int, distinct: int, folder: str):
     def run(right: pa.Table) -> pa.Table:
-        out = []
+        release_arrow()
         answers = right.to_pylist()
         of_words, of_bigrams, of_trigrams = _split(answers)
-        of_trigrams.sort(key=lambda r: r["shard"])
-        for row in [read_block(folder, answers[0]["block"])]:
-            ids, counts = _answers(of_words)
-            keys, _, place, _ = _bigrams(row, ids, shards)
-            deep = _Trigrams(row, ids, of_bigrams, shards)
-            codes = deep.codes
-            of = _word_counts(ids, counts)
-            end = counts[unpack_words(row["words"]).index(END)]
-            word = of(keys & np.uint64(0xFFFFFFFF))
-            logs = np.where(
-                codes == UNSEEN,
-                np.log10(smoothed(0, word, _contexts(keys, of, end), tokens, distinct)),
-                codes / -STEPS,
-            )
-            # Back off from trigrams that were not seen; seen ones hold their estimate.
-            deeper = logs[place]
-            deeper[deep.behind] += np.log10(MU / (deep.counts[deep.before[deep.behind]] + MU))
-            if of_trigrams:
-                value = np.concatenate([unpack(r["first"]) for r in of_trigrams])[deep.of]
-                deeper[deep.asked] = np.where(value == UNSEEN, deeper[deep.asked], value / -STEPS)
-            own = unpack(row["tokens"])
-            lengths = unpack(row["lengths"])
-            first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            base = np.log10(unigram(counts, tokens, distinct))
-            out.append(
-                pa.table(
-                    [
-                        pa.array(row["keys"], pa.int64()),
-                        pa.array(np.frombuffer(row["held"], dtype=np.uint8) == 1),
-                        pa.array(lengths),
-                        pa.array(np.add.reduceat((counts > 0)[own].astype(np.int64), first)),
-                        pa.array(np.add.reduceat(base[own], first)),
-                        pa.array(np.add.reduceat(logs[place], first)),
-                        pa.array(np.add.reduceat(deeper, first)),
-                    ],
-                    schema=_SCORE_ARROW,
-                )
-            )
-        return pa.concat_tables(out) if out else _SCORE_ARROW.empty_table()
+        row = read_block(folder, answers[0]["block"])
+        ids, counts = _joined(of_words, "first"), _joined(of_words, "second")
+        deep = _Trigrams(row, ids, _joined(of_bigrams, "first"), shards)
+        own, lengths = unpack(row["tokens"]), unpack(row["lengths"])
+        first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        word = counts[own]
+        # Documents start as often as they end.
+        context = np.concatenate([[0], word[:-1]])
+        context[first] = word[-1]
+        seen = deep.counts[deep.place]
+        estimate = smoothed(seen, word, context, tokens, distinct)
+        logs = np.where(seen > 0, stepped(estimate), np.log10(estimate))
+        # Back off from trigrams that were not seen.
+        deeper = logs.copy()
+        deeper[deep.behind] += np.log10(MU / (deep.counts[deep.before[deep.behind]] + MU))
+        if of_trigrams:
+            seen, at = _joined(of_trigrams, "first")[deep.of], deep.asked
+            estimate = (seen + MU * 10.0 ** logs[at]) / (deep.counts[deep.before[at]] + MU)
+            deeper[at] = np.where(seen > 0, stepped(estimate), deeper[at])
+        base = np.log10(unigram(counts, tokens, distinct))
+        return pa.table(
+            [
+                pa.array(row["keys"], pa.int64()),
+                pa.array(np.frombuffer(row["held"], dtype=np.uint8) == 1),
+                pa.array(lengths),
+                pa.array(np.add.reduceat((word > 0).astype(np.int64), first)),
+                pa.array(np.add.reduceat(base[own], first)),
+                pa.array(np.add.reduceat(logs, first)),
+                pa.array(np.add.reduceat(deeper, first)),
+            ],
+            schema=_SCORE_ARROW,
+        )
 
     return run
 
@@ -619,9 +574,9 @@ def fit_and_score(
     sums = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = int(sums[0]), int(sums[1])
     pairs = _pairs(blocks, words, shards)
-    bigrams = stored(pairs.groupBy("shard").applyInArrow(_look_up(tokens, distinct), _ANSWER), "bigrams")
+    bigrams = stored(pairs.groupBy("shard").applyInArrow(_look_up(True), _ANSWER), "bigrams")
     triples = _triples(blocks, words, bigrams, shards)
-    trigrams = stored(triples.groupBy("shard").applyInArrow(_look_up_trigrams, _ANSWER), "trigrams")
+    trigrams = stored(triples.groupBy("shard").applyInArrow(_look_up(False), _ANSWER), "trigrams")
     levels = [t.filter(F.col("block") == LEVEL) for t in (words, bigrams, trigrams)]
     model = LanguageModel(shards, tokens, distinct, *levels)
     return model, _scores(blocks, words, bigrams, trigrams, model, key)
@@ -636,8 +591,8 @@ def score(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
     blocks = make_blocks(docs.select(key, text), key, text, None, model.shards)
     asked = blocks_in(docs.sparkSession, blocks).select("block", "words", "counts", "shards").mapInArrow(_ask_words, _ASK)
     words = stored(_known(asked, model.words, _known_words), "unigrams")
-    bigrams = stored(_known(_pairs(blocks, words, model.shards), model.bigrams, _known_bigrams), "bigrams")
-    trigrams = _known(_triples(blocks, words, bigrams, model.shards), model.trigrams, _known_trigrams)
+    bigrams = stored(_known(_pairs(blocks, words, model.shards), model.bigrams, _known_ngrams(True)), "bigrams")
+    trigrams = _known(_triples(blocks, words, bigrams, model.shards), model.trigrams, _known_ngrams(False))
     return _scores(blocks, words, bigrams, trigrams, model, key)
 
 
@@ -650,26 +605,31 @@ def _known(asked: DataFrame, level: DataFrame, look_up) -> DataFrame:
     return asked.groupBy("shard").cogroup(level.groupBy("shard")).applyInArrow(look_up, _ANSWER)
 
 
-def _of_blocks(*answers: DataFrame) -> DataFrame:
-    """Answers about words, bigrams and trigrams, as level 1 to 3, without the levels of the shards."""
+def _of_blocks(*answers: tuple[DataFrame, str]) -> DataFrame:
+    """Answers about words, bigrams and trigrams, as level 1 to 3, without the levels of the shards.
+
+    Each comes with the columns that are wanted of it; the others stay behind.
+    """
     found = None
-    for level, one in enumerate(answers, 1):
-        rows = one.filter(F.col("block") != LEVEL)
-        rows = rows.select("block", "shard", "first", "second", "third", F.lit(level).alias("level"))
+    for level, (one, wanted) in enumerate(answers, 1):
+        empty = F.lit(b"")
+        columns = [F.col(c) if c in wanted.split() else empty.alias(c) for c in ("first", "second", "third")]
+        rows = one.filter(F.col("block") != LEVEL).select("block", "shard", *columns, F.lit(level).alias("level"))
         found = rows if found is None else found.unionByName(rows)
     return found
 
 
 def _pairs(blocks: str, words: DataFrame, shards: int) -> DataFrame:
-    return _of_blocks(words).groupBy("block").applyInArrow(_ask_bigrams(shards, blocks), _ASK)
+    return _of_blocks((words, "first")).groupBy("block").applyInArrow(_ask_bigrams(shards, blocks), _ASK)
 
 
 def _triples(blocks: str, words: DataFrame, bigrams: DataFrame, shards: int) -> DataFrame:
-    return _of_blocks(words, bigrams).groupBy("block").applyInArrow(_ask_trigrams(shards, blocks), _ASK)
+    answers = _of_blocks((words, "first"), (bigrams, "first third"))
+    return answers.groupBy("block").applyInArrow(_ask_trigrams(shards, blocks), _ASK)
 
 
 def _scores(blocks: str, words, bigrams, trigrams, model: LanguageModel, key: str) -> DataFrame:
-    answers = _of_blocks(words, bigrams, trigrams).groupBy("block")
+    answers = _of_blocks((words, "first second"), (bigrams, "first"), (trigrams, "first")).groupBy("block")
     scored = answers.applyInArrow(_score(model.shards, model.tokens, model.distinct, blocks), _SCORE)
     return scored.select(
         F.col("k").alias(key),

@@ -317,6 +317,16 @@ def test_trie():
         assert (known.get(tuple(pair)) == v) if f else (tuple(pair) not in known)
 
 
+def test_trie_is_the_same_in_pieces(monkeypatch):
+    keys = np.unique(np.random.default_rng(8).integers(0, 90, (2000, 2)), axis=0).astype(np.uint64)
+    trie = elias_fano.Trie(elias_fano.mapped(elias_fano.Trie.encode(keys[:, 0], keys[:, 1], np.arange(len(keys)))))
+    whole = trie.find(keys[:, 0], keys[:, 1])
+    monkeypatch.setattr(elias_fano, "PIECE", 100)
+    assert whole[1].all() and np.array_equal(whole[2], np.arange(len(keys)))
+    assert all(np.array_equal(a, b) for a, b in zip(whole, trie.find(keys[:, 0], keys[:, 1]), strict=True))
+    assert all(len(x) == 0 for x in trie.find(keys[:0, 0], keys[:0, 1]))
+
+
 def test_packing():
     for values in (np.array([], np.uint16), np.array([3, 1, 2**40], np.int64), np.array([0, 5], np.uint32)):
         assert np.array_equal(lm.unpack(lm.pack(values)), values)
@@ -373,6 +383,28 @@ def test_trigrams_equal_plain_counts(spark, texts, monkeypatch):
     assert sum(r["score"] for r in held) != sum(r["bigram_score"] for r in held)
 
 
+def test_a_bigram_is_asked_for_with_its_key_and_count_only(spark):
+    """Estimates and what they take are not sent to the shards: 1.8 bytes a bigram here, 2.8 with them."""
+    draw = random.Random(9)
+    docs = [(k, " ".join(f"w{int(40_000 * draw.random() ** 3)}" for _ in range(300))) for k in range(400)]
+    docs = frame(spark, docs).coalesce(1)
+    blocks = lm.make_blocks(docs, "doc_id", "text", 10, 1)
+    asked = lm.blocks_in(spark, blocks).select("block", "words", "counts", "shards").mapInArrow(lm._ask_words, lm._ASK)
+    words = asked.groupBy("shard").applyInArrow(lm._count_words(1), lm._ANSWER)
+    rows = [r.asDict() for r in lm._pairs(blocks, words, 1).collect()]
+    sent = sum(len(v) for r in rows for v in r.values() if isinstance(v, (bytes, bytearray)))
+    keys = sum(len(lm.unpack_keys(r["keys"])) for r in rows)
+    assert sent < 2.2 * keys
+
+
+def test_block_tokens_are_those_of_plain_splitting():
+    texts = [b" A\x1cb \x85c\xa0\td\x0b\x0cE\r\n", b"", b" \t", b"x\xffy z X\xffY", "\u00c9 \u3000 \u00c9".encode()]
+    words, tokens, lengths = lm._tokens(texts)
+    split = [t.lower().split() for t in texts]
+    assert words == sorted({w for d in split for w in d})
+    assert [[words[i] if i >= 0 else None for i in p] for p in np.split(tokens, np.cumsum(lengths)[:-1])] == [[*d, None] for d in split]
+
+
 def test_stored_levels_score_other_documents(spark, texts, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 40_000)
     model, scored = lm.fit_and_score(frame(spark, texts))
