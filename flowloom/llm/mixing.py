@@ -7,9 +7,8 @@ the targets in the (weighted) least-squares sense: accelerated projected gradien
 steps in the metric weighted by tokens, starting from rate 1. A step needs one sum per
 domain over all documents and updates each document on its own.
 
-All of it is DataFrame operations. ``TRAIN_ROWS`` bounds the labelled rows that
-the classifier is fitted on (those with the smallest hashes of the key) and
-``WORDS`` the words it uses; the rates are fitted on all documents.
+All of it is DataFrame operations. The classifier is fitted on all labelled
+rows and uses every word that stands out, the rates are fitted on all documents.
 
 Edge cases: rows of one key are one document, their tokens add up; a null key
 takes no part; a text without words has 0 tokens; labels whose
@@ -28,8 +27,10 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import stored
 
-TRAIN_ROWS = 20_000
-WORDS = 4096
+#: Most words of the classifier: all that stand out.
+WORDS = None
+#: Tables of labels and of words up to this size are sent to all tasks; larger ones are joined by a shuffle.
+SMALL_ROWS = 500_000
 SMOOTH = 1.0
 LEAST_Z = 3.0
 STEPS, UNROLLED = 60, 6
@@ -43,20 +44,24 @@ def words_of(text: str) -> Column:
     return F.filter(F.split(lowered, BETWEEN), lambda w: w != "")
 
 
+def small(table: DataFrame) -> DataFrame:
+    """The stored table, broadcast if it has few rows; the rows of a join are the same either way."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def learn_words(
     docs: DataFrame, labels: DataFrame, domains: list[str], key: str, text: str, domain: str
 ) -> tuple[DataFrame, list[float]]:
-    """What each word adds to a domain's log odds (a bounded table), and the logs of a document without any."""
+    """What each word adds to a domain's log odds, and the logs of a document without any."""
     known = (
         labels.filter(F.col(domain).isin(*domains) & F.col(key).isNotNull())
         .groupBy(F.col(key).alias("k"))
         .agg(F.min(domain).alias("domain"))
-        .orderBy(F.xxhash64("k"), "k")
-        .limit(TRAIN_ROWS)
     )
-    # At most TRAIN_ROWS rows.
-    labelled = docs.select(F.col(key).alias("k"), words_of(text).alias("words")).join(F.broadcast(known), "k")
-    each = labelled.select("k", "domain", F.explode(F.array_distinct("words")).alias("word"))
+    # Words are split behind the join, of labelled rows only.
+    known = small(stored(known, "labels"))
+    labelled = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(known, "k")
+    each = labelled.select("domain", F.explode(F.array_distinct(words_of("text"))).alias("word"))
     n = range(len(domains))
     counts = each.groupBy("word").agg(
         *[F.sum((F.col("domain") == d).cast("bigint")).alias(f"c{i}") for i, d in enumerate(domains)]
@@ -75,14 +80,7 @@ def learn_words(
         without.append(F.ln(1.0 - held).alias(f"a{i}"))
     # Words that stand out in no domain would only add noise.
     lift = F.greatest(*lifts) if len(lifts) > 1 else lifts[0]
-    table = (
-        counts.select("word", lift.alias("lift"), *logs, *without)
-        .filter(F.col("lift") >= LEAST_Z)
-        .orderBy(F.desc("lift"), "word")
-        .limit(WORDS)
-        .drop("lift")
-    )
-    table = stored(table, "weights")
+    table = stored(counts.filter(lift >= LEAST_Z).select("word", *logs, *without), "weights")
     absent = table.agg(*[F.coalesce(F.sum(f"a{i}"), F.lit(0.0)) for i in n]).first()
     starts = [math.log((s + 1) / (seen + len(domains))) + float(a) for s, a in zip(size, absent, strict=True)]
     return table.select("word", *[f"w{i}" for i in n]), starts
@@ -97,9 +95,8 @@ def posteriors(
         "k", F.size("words").alias("size"), F.posexplode_outer(F.array_distinct("words")).alias("at", "word")
     )
     n = range(len(starts))
-    # The table of weights has at most WORDS rows.
     logs = (
-        each.join(F.broadcast(weights), "word", "left")
+        each.join(small(weights), "word", "left")
         .groupBy("k")
         .agg(
             F.coalesce(F.sum(F.when(F.col("at") == 0, F.col("size"))), F.lit(0)).alias("tokens"),

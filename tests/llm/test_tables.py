@@ -191,6 +191,13 @@ def test_posteriors_equal_plain_bayes(spark, texts):
         assert np.allclose([row[f"p_{d}"] for d in domains], wanted[row["doc_id"]], atol=1e-6)
 
 
+def test_every_word_that_stands_out_counts(spark):
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{w}" for w in range(2500))) for i in range(80)]
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(80)], "doc_id bigint, domain string")
+    weights, _ = mixing.learn_words(frame(spark, rows), labels, ["a", "b"], "doc_id", "text", "domain")
+    assert weights.count() == 5000
+
+
 def test_fitted_rates_equal_plain_projected_gradient(spark):
     rng = np.random.default_rng(3)
     p = rng.dirichlet([0.3, 0.3, 0.3], 40)

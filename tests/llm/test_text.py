@@ -219,6 +219,16 @@ def test_language_stage_equals_a_plain_one(spark, texts):
     assert len(kept) < len(rows)
 
 
+def test_bounds_count_every_labelled_row(spark):
+    draw = random.Random(5)
+    rows = [(i, "xx", "".join(draw.choices("abcde fgh", k=60))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    model = langid.train(docs)
+    _, _, bits, letters = model.judge([t for k, _, t in rows if k not in set(model.learned)])
+    seen = sorted({(b, n) for b, n in zip(bits.tolist(), letters.tolist(), strict=True)})
+    assert langid.bounds(docs, model)["xx"].median == seen[math.ceil(len(seen) / 2) - 1][0]
+
+
 def test_bounds_of_few_rows(spark):
     rows = [(i, f"word{'abcdefgh'[i % 8]} " * (i + 3), "en") for i in range(10)]
     few = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
