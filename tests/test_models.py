@@ -49,6 +49,16 @@ def test_forest_keeps_the_node_of_each_row(forest):
     assert forest.stages[-1].getOrDefault("cacheNodeIds")
 
 
+def test_training_rows_are_dealt_evenly_and_alike_ones_together(spark):
+    uneven = spark.range(40_000).select((F.col("id") % 7).alias("a"), "id").coalesce(1)
+    made = learn.spread(uneven, ["a"])
+    rows = [[r.a for r in part] for part in made.rdd.glom().collect()]
+    assert [len(part) for part in rows] == [5_000] * 8
+    assert all(part == sorted(part) for part in rows)
+    assert made.exceptAll(uneven).count() == 0
+    assert learn.spread(uneven.limit(3), ["a"]).rdd.getNumPartitions() == 1
+
+
 def test_boosting_stops_early(flows):
     marked = flows.withColumn("held", F.col("first_seq") % 3 == 0)
     model = learn.fit(marked, "boosted_leafy", validation="held", maxIter=12, maxDepth=2, stepSize=1.0)
