@@ -1,10 +1,14 @@
 """Training, stored encoders and the three ways through the library."""
 
+import math
+import re
+
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from flowchecks.base import flow_table
-from flowloom.operators import evaluate, learn
+from flowloom.operators import evaluate, learn, prepare, sampling
 from flowloom.plans.flow_tables import detect, trained_model
 
 
@@ -59,6 +63,30 @@ def test_training_rows_are_dealt_evenly_and_alike_ones_together(spark):
     assert learn.spread(uneven.limit(3), ["a"]).rdd.getNumPartitions() == 1
 
 
+def test_training_and_scoring_run_in_methods_that_are_compiled(forest, flows, capsys):
+    """The JVM interprets methods of more than 8000 bytes."""
+    train = sampling.hash_split(flows, 0.2, ["first_seq"]).filter("split = 'train'")
+    ready = learn.prepare_features(train, learn.FEATURE_COLUMNS, ["label"])
+    encoder = Pipeline(stages=learn.feature_stages()).fit(ready)
+    for table in (encoder.transform(ready).select("features", "label"), learn.score(forest, flows, keep_all=False)):
+        capsys.readouterr()
+        table.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+        assert sizes and max(sizes) <= 8000
+
+
+def test_missing_and_infinite_values_of_both_float_types(spark):
+    values = [1.5, -0.0, None, math.nan, math.inf, -math.inf]
+    rows = spark.createDataFrame([(v, v, None if v is None else 3, None) for v in values], "d double, f float, n int, s string")
+    for inf_value, put in ((None, 7.0), (math.nan, 7.0), (-1.0, -1.0)):
+        made = prepare.clean_values(rows, inf_value, 7.0)
+        assert dict(made.dtypes)["f"] == ("float" if inf_value is None else "double")
+        kept = made.collect()
+        assert [r.d for r in kept] == [r.f for r in kept] == [1.5, 0.0, 7.0, 7.0, put, put]
+        assert [r.n for r in kept] == [3, 3, 7, 3, 3, 3]
+        assert {r.s for r in kept} == {"0"}
+
+
 def test_boosting_stops_early(flows):
     marked = flows.withColumn("held", F.col("first_seq") % 3 == 0)
     model = learn.fit(marked, "boosted_leafy", validation="held", maxIter=12, maxDepth=2, stepSize=1.0)
