@@ -279,3 +279,86 @@ def test_flows_of_two_captures_are_audited_apart(spark, folder):
     assert report.filter("status <> 'PASS'").count() == 0
     lines = audit_summary(report).collect()
     assert sorted(r.is_total for r in lines) == [0, 0, 1]
+
+
+def test_headers_of_a_batch_are_those_of_the_column_expressions(spark):
+    """Whole, cut and damaged frames of all kinds, missing ones too."""
+    import random
+
+    from flowloom.sources.decode import _number, _transport_of_ipv6
+
+    draw = random.Random(4)
+    a, b = bytes.fromhex("20010db8" + "00" * 11 + "01"), bytes.fromhex("fe80" + "00" * 13 + "02")
+    whole = udp(CLIENT, 5000, SERVER, 53, message(8, 0x8000, "a.b", opt=512, answers=2))
+    six = udp(a, 53, b, 5000, message(7, 0, "a.b"), v6=True)
+    chain = six[:20] + bytes([0]) + six[21:54] + bytes([44, 0] + [0] * 6) + bytes([17, 0, 0, 0] + [0] * 4) + six[54:]
+    later = chain[:64] + bytes([1, 0]) + chain[66:]
+    tcp = whole[:23] + b"\6" + whole[24:]
+    seeds = [whole, six, chain, later, tcp, udp(CLIENT, 9, SERVER, 53, message(1, 0, "c"), vlan=True), whole + bytes(30)]
+    rows = [(None, 1), (b"", 1), (whole, None)]
+    for frame in seeds:
+        rows += [(frame, link) for link in (0, 1, 113, 7)] + [(frame[14:], 7), (bytes(4) + frame[14:], 0)]
+        rows += [(frame[: draw.randrange(len(frame))], 1) for _ in range(12)]
+        for _ in range(25):
+            spoilt = bytearray(frame)
+            for _ in range(2):
+                spoilt[draw.randrange(12, min(70, len(frame)))] = draw.randrange(256)
+            rows.append((bytes(spoilt), draw.choice([1, 1, 1, 113, 0])))
+    made = [("x", i, 1000 + i, link, 60, frame, "ok" if i % 9 else "malformed") for i, (frame, link) in enumerate(rows)]
+    frames = spark.createDataFrame(made, "capture_id string, seq bigint, ts_ms bigint, link_type int, orig_len int, frame binary, status string").repartition(3)
+
+    data, zero = F.col("frame"), F.lit(0)
+    tags = [0x8100, 0x88A8]
+    tag, second = _number(data, F.lit(12), 2), _number(data, F.lit(16), 2)
+    start = F.when(tag.isin(tags) & second.isin(tags), 22).when(tag.isin(tags), 18).otherwise(14)
+    link = F.col("link_type")
+    l3 = F.when(link == 1, start).when(link == 113, 16).when(link == 0, 4).otherwise(zero)
+    kind = F.when(link.isin(1, 113), _number(data, l3 - 2, 2))
+    version = F.floor(_number(data, l3, 1) / 16)
+    ip = F.when((version == 4) & (kind.isNull() | (kind == 0x0800)), 4).when((version == 6) & (kind.isNull() | (kind == 0x86DD)), 6)
+    v4 = F.struct(
+        F.when(_number(data, l3 + 6, 2) % 8192 == 0, _number(data, l3 + 9, 1)).alias("kind"),
+        (l3 + (_number(data, l3, 1) % 16) * 4).alias("at"),
+    )
+    behind = F.when(ip == 4, v4).when(ip == 6, _transport_of_ipv6(data, l3))
+    staged = frames.withColumns({"l3": l3, "ip": ip}).withColumn("behind", behind)
+    at, proto, ip, l3 = F.col("behind.at"), F.col("behind.kind"), F.col("ip"), F.col("l3")
+    enough = F.length(data) >= at + F.when(proto == 6, 20).otherwise(8)
+    protocol = F.when((proto == 6) & enough, "TCP").when((proto == 17) & enough, "UDP")
+
+    def by_ip(four, six):
+        return F.when(ip == 4, four).when(ip == 6, six)
+
+    def address(four, six):
+        dotted = F.concat_ws(".", *[_number(data, l3 + four + i, 1).cast("string") for i in range(4)])
+        return by_ip(dotted, F.concat_ws(":", *[F.lower(F.hex(_number(data, l3 + six + 2 * i, 2))) for i in range(8)]))
+
+    wanted = staged.select(
+        "seq",
+        address(12, 8).alias("src_ip"),
+        address(16, 24).alias("dst_ip"),
+        F.when(protocol.isNotNull(), _number(data, at, 2)).alias("src_port"),
+        F.when(protocol.isNotNull(), _number(data, at + 2, 2)).alias("dst_port"),
+        protocol.alias("protocol"),
+        F.length(data).alias("len"),
+        by_ip(_number(data, l3 + 8, 1), _number(data, l3 + 7, 1)).alias("ip_ttl"),
+        F.when((F.col("status") == "ok") & protocol.isNull(), "other").otherwise(F.col("status")).alias("status"),
+    )
+    found = decode_frames(frames)
+    assert sorted(map(tuple, found.select(wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+    assert found.filter("dns is not null").count() > 20
+
+
+def test_small_ranges_share_a_task_and_their_split_points(spark, folder, monkeypatch):
+    frames = many(6000)
+    write(f"{folder}/a.pcap", frames, snap=200)
+    write(f"{folder}/b.pcap", frames[:500], snap=200)
+    reader = capture.CaptureReader({"path": folder, "splitbytes": "1000"})
+    tasks = reader.partitions()
+    assert sum(len(t.ranges) for t in tasks) > 500 and 32 <= len(tasks) <= 96
+    looked = []
+    monkeypatch.setattr(capture, "split_point", lambda read, start, *rest, f=capture.split_point: looked.append(start) or f(read, start, *rest))
+    rows = [r for t in tasks for batch in reader.read(t) for r in batch.to_pylist()]
+    assert len({(r["capture_id"], r["seq"]) for r in rows}) == len(rows) == 6500
+    # Each range of its own would look at some six points for each of its ends.
+    assert len(looked) < 6 * sum(len(t.ranges) for t in tasks)
